@@ -38,14 +38,17 @@ def mix_sources(
     percent: int = 150,
     most: int = 2,
     seed: str = "mix",
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 4_096,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     size: Column | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """Words taken of each document: doc_id, source, size, source_size, target, taken, mix_key.
 
+    With ``carry``, a column ``row`` holds all columns of ``docs`` too.
+
     Each document gets a random key, md5 of seed and id. Within a source, documents
     are put in key order; a document's prefix sum is what precedes it. Whole epochs
     are taken of all, and the rest of the source's budget cuts the order at the
@@ -57,20 +60,19 @@ def mix_sources(
     source; a null id has a key of its own; repeated rows count each and tie in any order;
     an empty table gives no rows. Other columns are not read.
     """
-    measured = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.size(words(F.col(text_col))) if size is None else size).cast("long").alias("size")),
-        "sizes",
-    )
+    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.size(words(F.col(text_col))) if size is None else size).cast("long").alias("size")]
+    measured = materialize(docs.select(*own), "sizes")
     sources = measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     largest = sources.agg(F.max("n")).first()[0] or 0
     digits = 0
     while largest > bucket_rows * 16**digits:
         digits += 1
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    keyed = measured.withColumn("mix_key", key).withColumn("range", F.substring("mix_key", 1, digits) if digits else F.lit(""))
+    ranged = lambda rows: rows.withColumn("mix_key", key).withColumn("range", F.substring("mix_key", 1, digits) if digits else F.lit(""))
+    keyed = ranged(docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))) if carry else ranged(measured)
 
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranges = ranged(measured).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     targets = source_targets(sources.select("source", "source_size"), weights, percent, most)
@@ -83,4 +85,14 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("k.size"), rest - F.col("range_before") - F.col("in_range")))
-    return joined.select(F.col("k.id").alias(id_col), F.col("k.source").alias(source_col), "k.size", "source_size", "target", (epochs * F.col("k.size") + cut).cast("long").alias("taken"), "k.mix_key")
+    return joined.select(F.col("k.id").alias(id_col), F.col("k.source").alias(source_col), "k.size", "source_size", "target", (epochs * F.col("k.size") + cut).cast("long").alias("taken"), "k.mix_key", *(["k.row"] if carry else []))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row once per epoch, and a document that the budget cuts is whole.
+
+    So a source's words exceed its target by less than one document. Columns are those of ``docs``.
+    """
+    mixed = mix_sources(docs, carry=True, **options).where("taken > 0")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), times)).alias("epoch")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -41,4 +41,36 @@ SELECT doc_id, size, source_size, target,
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": OP9}
+OP4 = rf"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+shingles AS (
+    SELECT DISTINCT row_id, doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s
+    FROM docs, unnest(generate_series(1, greatest(1, len(w) - 2))) AS u(i)
+    WHERE len(w) > 0
+),
+sizes AS (SELECT row_id, count(*) AS n FROM shingles GROUP BY row_id),
+shared AS (
+    SELECT a.row_id AS a, b.row_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.row_id < b.row_id
+    GROUP BY 1, 2
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.row_id = a JOIN sizes y ON y.row_id = b
+    WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
+),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT row_id AS a, row_id AS b FROM docs
+    UNION
+    SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a
+)
+SELECT d.doc_id, coalesce(max(sizes.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d JOIN reach ON reach.a = d.row_id JOIN docs o ON o.row_id = reach.b LEFT JOIN sizes ON sizes.row_id = d.row_id
+GROUP BY d.row_id, d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_ngram_jaccard": OP4, "op9_mixing": OP9}

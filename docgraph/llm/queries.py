@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docgraph.llm.common import table
+from docgraph.llm.jaccard import jaccard_components
+from docgraph.llm.language import identify_language, train_language_model
 from docgraph.llm.mixing import mix_sources
 from docgraph.llm.packing import pack_documents
+from docgraph.llm.quality_model import held_out, score_quality, train_quality_model
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,15 +22,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents"), shingle=3, at_least=(90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_language(docs.select("doc_id", "text", "lang", "source"), train_language_model(docs), F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", "language.lang", F.round("language.posterior", 6).alias("posterior"), "language.text_lang", "language.kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
+    "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
