@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Ite
     """Row ranges of ``batch`` whose ``column`` holds about ``most_bytes`` at most; one longer row is a range of its own."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
     ends = np.cumsum(np.nan_to_num(sizes.to_numpy(zero_copy_only=False).astype(np.float64)))
     at = 0
     while at < batch.num_rows:

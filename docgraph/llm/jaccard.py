@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,7 +221,7 @@ def jaccard_components(
                 keep = pa.array([int(_node(x)) if len(x) else 0 for x in found], pa.uint64()).view(pa.int64())
                 sketch = pa.array([parity(x, filter_bits(len(x))).tobytes() for x in found], pa.binary())
                 out = pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), sketch, own], names=["node", "component", "size", "sketch", "members_sorted"])
-                yield out.filter(pa.compute.equal(keep, out.column(0)))  # a repeated id may have other texts too
+                yield out.filter(pc.equal(keep, out.column(0)))  # a repeated id may have other texts too
 
     few = wanted.count() <= broadcast_rows  # of some 40 bytes each
     of_wanted = texts.alias("t").join((F.broadcast(wanted) if few else wanted).alias("w"), F.col("t.id").eqNullSafe(F.col("w.id"))).select("t.id", "t.text", "w.node", "w.component", "w.size")

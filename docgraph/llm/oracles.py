@@ -74,3 +74,91 @@ GROUP BY d.row_id, d.doc_id
 """
 
 ORACLES: dict[str, str] = {"op4_ngram_jaccard": OP4, "op9_mixing": OP9}
+
+OP1 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.e, x.e), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id != x.vec_id
+),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+OP2 = r"""
+WITH rules(rule_host, rule_path, verdict) AS (
+    VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+),
+parts AS (
+    SELECT row_number() OVER () AS row_id, page_id,
+           translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+),
+fits AS (
+    SELECT row_id, rule_host || rule_path AS rule, verdict,
+           row_number() OVER (PARTITION BY row_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC, verdict DESC) AS k
+    FROM parts JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON parts.row_id = fits.row_id AND k = 1
+"""
+
+OP6 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+windows AS (
+    SELECT row_id, i, count(*) OVER (PARTITION BY row_id, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS n
+    FROM docs, unnest(generate_series(1, len(w) - 4)) AS u(i)
+),
+repeats AS (
+    SELECT row_id, count(DISTINCT i + k) AS n FROM windows, unnest([0, 1, 2, 3, 4]) AS u(k) WHERE n > 1 GROUP BY row_id
+),
+lines AS (
+    SELECT row_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+    FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_id
+),
+measured AS (
+    SELECT doc_id, text, len(w)::BIGINT AS n_words,
+           length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
+           (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+           coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+           length(text) - length(translate(text, '!', '')) AS n_shouts,
+           length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_capitals,
+           greatest(1, length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))) AS n_letters,
+           greatest(1, coalesce(n_lines, 0)) AS n_lines
+    FROM docs LEFT JOIN repeats USING (row_id) LEFT JOIN lines USING (row_id)
+),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(1, n_words) AS n FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 100 > n * 30 OR n_shouts * 100 > n * 40 OR (n_capitals * 100 > n_letters * 50 AND n_letters >= 40)
+            OR word_chars > n * 20 OR word_chars * 2 < n * 3 OR n_dup_lines * 100 > n_lines * 50) AS kept
+FROM based
+"""
+
+
+def _escaped_length(column: str) -> str:
+    """Code points after escaping: one more for each backslash and each control string."""
+    strings = ["\\", "<s>", "</s>", "[INST]", "[/INST]"]
+    return f"(length({column}) + " + " + ".join(f"(length({column}) - length(replace({column}, '{s}', ''))) // {len(s)}" for s in strings) + ")"
+
+
+OP7 = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({_escaped_length("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped_length("text")} + CASE WHEN role = 'assistant' THEN 8 ELSE 14 END)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLES |= {"op1_pivot_top_k": OP1, "op2_url_filter": OP2, "op6_quality_rules": OP6, "op7_chat_format": OP7}

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.llm.chat import conversation_digests, format_turns
 from docgraph.llm.common import table
 from docgraph.llm.jaccard import jaccard_components
 from docgraph.llm.language import identify_language, train_language_model
 from docgraph.llm.mixing import mix_sources
 from docgraph.llm.packing import pack_documents
+from docgraph.llm.pivot_search import exact_top_k, quantized, usable_vector
 from docgraph.llm.quality_model import held_out, score_quality, train_quality_model
+from docgraph.llm.quality_rules import base_metrics, default_rules, order_rules, quality_cascade
+from docgraph.llm.token_counts import length_histogram, token_lengths
+from docgraph.llm.url_filter import filter_urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +27,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The listed url prefixes of the url query, as host, path and verdict.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+#: A conversation whose texts are made of control strings.
+PLANTED_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(usable_vector(F.col("embedding"))).select("vec_id", quantized(F.col("embedding")).alias("embedding"))
+    return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(token_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken")))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(table(spark, sf_dir, "documents"), shingle=3, at_least=(90, 100))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -31,6 +62,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = base_metrics(docs)
+    judged = quality_cascade(measured, order_rules(docs, default_rules(F.col("text"))))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select(*columns, (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED_TURNS, "conv_id long, turn long, role string, text string")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    return conversation_digests(format_turns(turns.unionByName(planted), path), path)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify_language(docs.select("doc_id", "text", "lang", "source"), train_language_model(docs), F.col("text"), declared=F.col("lang"), host=F.col("source"))
@@ -49,8 +95,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivot_top_k": op1_pivot_top_k,
+    "op2_url_filter": op2_url_filter,
+    "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
