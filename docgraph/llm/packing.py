@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +16,25 @@ from pyspark.sql import functions as F
 
 from docgraph.llm.common import materialize, slices
 
-#: Words that one Python worker keeps the ids of; the store is emptied when it is full.
-KEPT_WORDS = 400_000
+#: Words, and pieces of words, that one Python worker keeps the ids of; a store is emptied when it is full.
+KEPT_WORDS = 1_000_000
+KEPT_PIECES = 700_000
 
-_STORES: dict[str, tuple[object, dict[str, bytes]]] = {}
+_STORES: dict[str, tuple[object, dict[str, bytes], dict[str, bytes]]] = {}
+#: Words of printable ASCII and Latin-1 letters: composed already, and lower-cased alike everywhere.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: How the tokenizer splits such a word; its pieces are encoded apart.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else one after U+0100 in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 def _store(path: str):
@@ -27,27 +44,47 @@ def _store(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _STORES[path] = (Tokenizer.from_file(path), {})
+        _STORES[path] = (Tokenizer.from_file(path), {}, {})
     return _STORES[path]
 
 
+def _encode_pieces(model, texts: list[str], known: dict[str, bytes]) -> None:
+    """Pieces are normalized and split already, so they go to the merges at once."""
+    for text in texts:
+        known[text] = array("I", [t.id for t in model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+
+
+def _encode_whole(tokenizer, texts: list[str], known: dict[str, bytes]) -> None:
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        for text, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[text] = array("I", found.ids).tobytes()
+
+
 def word_ids(texts: list[str], path: str) -> Iterator[bytes]:
     """Each text's ids, as little-endian unsigned 32-bit values.
 
-    For tokenizers that split at white space and drop it: their ids of a text
-    are those of its words in a row. So each distinct word is encoded once and kept.
+    For tokenizers that lower-case, split at white space and drop it: their ids of a text
+    are those of its words in a row, and those of a plain word the ids of its pieces (runs of letters,
+    single digits, runs of signs). So each distinct piece is encoded once and kept, and so is each word;
+    words with ``<|``, of which special tokens are made, and words of other scripts are encoded whole.
     """
-    tokenizer, known = _store(path)
+    tokenizer, known, pieces = _store(path)
     split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
     if len(known) > KEPT_WORDS:
         known.clear()
-    new = [w for w in set().union(*split) if w not in known]
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+    if len(pieces) > KEPT_PIECES:
+        pieces.clear()
+    new = set().union(*split).difference(known)
+    plain = {w: _PIECES.findall(w.lower()) for w in new if _PLAIN.fullmatch(w) and "<|" not in w}
+    _encode_pieces(tokenizer.model, list(set().union(*plain.values()).difference(pieces)), pieces)
+    piece = pieces.__getitem__
+    for word, parts in plain.items():
+        known[word] = b"".join(map(piece, parts))
+    _encode_whole(tokenizer, [w for w in new if w not in plain], known)
+    word = known.__getitem__
     for row in split:
-        yield b"".join([known[w] for w in row])
+        yield b"".join(map(word, row))
 
 
 def differencing(sizes: np.ndarray, ways: int) -> list[list[int]]:
@@ -55,26 +92,43 @@ def differencing(sizes: np.ndarray, ways: int) -> list[list[int]]:
 
     Karmarkar-Karp for several ways: each item begins as a partial partition of
     its own; the two with the largest spread merge, the largest part of one with
-    the smallest of the other, until one is left. Parts that are equally empty
-    stay implicit, so a merge costs what the partitions hold.
+    the smallest of the other, until one is left. A partial partition keeps its sums in
+    falling order without the empty ones; which part went where is kept per merge and
+    followed back at the end.
     """
-    heap: list[tuple[int, int, list[tuple[int, list[int]]]]] = []
-    for k, size in enumerate(sizes.tolist()):
-        heapq.heappush(heap, (-size, k, [(size, [k])]))
-    tick = len(heap)
+    n = len(sizes)
+    if not n:
+        return []
+    heap = [(-int(size), k) for k, size in enumerate(sizes.tolist())]
+    heapq.heapify(heap)
+    sums: dict[int, np.ndarray] = {k: sizes[k : k + 1].astype(np.int64) for k in range(n)}
+    merges: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)  # a, b: parts above the lowest, by falling sum
-        _, _, b = heapq.heappop(heap)
-        if len(a) + len(b) <= ways:
-            merged = sorted([*a, *b], key=lambda x: -x[0])
-        else:
-            wide_a = a + [(0, [])] * (ways - len(a))
-            wide_b = b + [(0, [])] * (ways - len(b))
-            merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(wide_a, reversed(wide_b), strict=True)), key=lambda x: -x[0])
-        low = merged[-1][0] if len(merged) == ways else 0
-        heapq.heappush(heap, (-(merged[0][0] - low), tick, merged))
-        tick += 1
-    return [part for _, part in heap[0][2]] if heap else []
+        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
+        of_a, of_b = sums.pop(a), sums.pop(b)
+        width = min(ways, len(of_a) + len(of_b))
+        # place of each part of a from the front, of each part of b from the back
+        at_b = width - 1 - np.arange(len(of_b))
+        total = np.zeros(width, dtype=np.int64)
+        total[: len(of_a)] = of_a
+        total[at_b] += of_b
+        order = np.argsort(-total, kind="stable")
+        place = np.empty(width, dtype=np.int64)
+        place[order] = np.arange(width)
+        merged = total[order]
+        made = n + len(merges)
+        merges.append((a, b, place[: len(of_a)], place[at_b]))
+        sums[made] = merged
+        heapq.heappush(heap, (-int(merged[0] - (merged[-1] if width == ways else 0)), made))
+    where: dict[int, np.ndarray] = {heap[0][1]: np.arange(len(sums[heap[0][1]]))}
+    for made in range(n + len(merges) - 1, n - 1, -1):
+        a, b, place_a, place_b = merges[made - n]
+        own = where.pop(made)
+        where[a], where[b] = own[place_a], own[place_b]
+    parts: list[list[int]] = [[] for _ in range(ways)]
+    for k in range(n):
+        parts[int(where[k][0])].append(k)
+    return parts
 
 
 def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
