@@ -134,5 +134,9 @@ def query(last: str) -> str:
                 need(CTES[name])
 
     need(last)
+    own = last.strip()
     parts = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in needed]
-    return f"WITH {'RECURSIVE ' if 'fold' in needed or 'walk' in needed else ''}{', '.join(parts)}\n{last}" if parts else last
+    if not parts:
+        return last
+    rest = f", {own.removeprefix('WITH ')}" if own.startswith("WITH ") else f"\n{own}"
+    return f"WITH {'RECURSIVE ' if 'fold' in needed else ''}{', '.join(parts)}{rest}"
