@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ PAGE_BREAK = "<!-- page break -->"
 IMAGE = "<!-- image -->"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once and written once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -65,9 +72,10 @@ def last_index(c: Column, what: str) -> Column:
 
 def cut_at_sentence(c: Column, most: Column | int, share: float = 0.7) -> Column:
     """First ``most`` characters, back to the last ``. `` or line feed if that is past ``share`` of them, and three dots."""
-    head = F.substring(c, F.lit(1), F.lit(most) if isinstance(most, int) else most)
-    cut = F.greatest(last_index(head, ". "), last_index(head, "\n"))
-    return F.concat(F.when(cut > F.length(head) * share, F.substring(head, F.lit(1), cut + 1)).otherwise(head), F.lit("..."))
+    def cut(head: Column) -> Column:
+        return let(F.greatest(last_index(head, ". "), last_index(head, "\n")), lambda at: F.concat(F.when(at > F.length(head) * share, F.substring(head, F.lit(1), at + 1)).otherwise(head), F.lit("...")))
+
+    return let(F.substring(c, F.lit(1), F.lit(most) if isinstance(most, int) else most), cut)
 
 
 def model_tokens(c: Column) -> Column:

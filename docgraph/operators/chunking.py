@@ -151,14 +151,13 @@ def chunk_statistics(chunks: DataFrame, most_tokens: int = 1000) -> DataFrame:
 
 
 def pack_paragraphs(md: DataFrame, most: int = 400) -> DataFrame:
-    """doc_id, piece, text: paragraphs put together up to ``most`` characters; a longer one stands alone."""
-    paragraphs = F.filter(F.transform(F.split("markdown", r"\n\s*\n"), strip), lambda p: p != "")
+    """doc_id, piece, text: paragraphs, each with the blank line after it, put together up to ``most`` characters; a longer one stands alone."""
+    paragraphs = F.transform(F.split("markdown", "\n\n", -1), lambda p: F.concat(p, F.lit("\n\n")))
     empty = F.array().cast("array<string>")
 
     def pack(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + F.length(p) + 2 <= most)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(acc, F.array(p)))
+        last = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))
+        fits = (F.size(acc) > 0) & (F.length(last) + F.length(p) <= most)
+        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, p)))).otherwise(F.concat(acc, F.array(p)))
 
-    safe = lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(pack(acc, p))
-    return md.select("doc_id", F.posexplode(F.aggregate(paragraphs, empty, safe)).alias("piece", "text"))
+    return md.where("markdown != ''").select("doc_id", F.posexplode(F.aggregate(paragraphs, empty, pack)).alias("piece", "text"))

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from docgraph.functions.text import IMAGE, PAGE_BREAK, is_table_line, strip
 
 HEADER = r"^(#+)\s+(.+)$"
-BY_LINE = Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def by_line():
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def lines(md: DataFrame) -> DataFrame:
@@ -23,7 +26,7 @@ def lines(md: DataFrame) -> DataFrame:
 def line_pages(lines_df: DataFrame) -> DataFrame:
     """Adds page_number: a line that holds the page-break comment belongs to the page it ends."""
     is_break = F.col("text").contains(PAGE_BREAK).cast("int")
-    return lines_df.withColumn("page_number", (1 + F.coalesce(F.sum(is_break).over(BY_LINE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
+    return lines_df.withColumn("page_number", (1 + F.coalesce(F.sum(is_break).over(by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
 
 
 def page_spans(paged: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def table_ranges(lines_df: DataFrame) -> DataFrame:
             "last_line": F.max("line_no").over(Window.partitionBy("doc_id")),
         }
     )
-    tagged = tagged.withColumn("section", F.last("title", ignorenulls=True).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    tagged = tagged.withColumn("section", F.last("title", ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     island = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id", "is_table").orderBy("line_no"))
     runs = tagged.withColumn("island", island).where("is_table").groupBy("doc_id", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max("last_line").alias("last_line"), F.min("section").alias("section"))
     return runs.where("end_line < last_line").select("doc_id", "start_line", "end_line", "section")
