@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
 from array import array
@@ -14,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialize, slices
+from docgraph.llm.common import materialize, slices, small_batches
 
-#: Words, and pieces of words, that one Python worker keeps the ids of; a store is emptied when it is full.
-KEPT_WORDS = 1_000_000
-KEPT_PIECES = 700_000
+#: Words, and pieces of words, that one Python worker keeps the ids of; a store is emptied when it is full, and cut down at a task's end.
+KEPT_WORDS = 600_000
+KEPT_PIECES = 450_000
+KEPT_BETWEEN_TASKS = 60_000
 
 _STORES: dict[str, tuple[object, dict[str, bytes], dict[str, bytes]]] = {}
 #: Words of printable ASCII and Latin-1 letters: composed already, and lower-cased alike everywhere.
@@ -48,6 +50,17 @@ def _store(path: str):
     return _STORES[path]
 
 
+def _plain_pieces(word: str) -> tuple[str, ...] | list[str]:
+    """The pieces of a plain word; none of other words."""
+    if not (word.isascii() or _PLAIN.fullmatch(word)):
+        return ()
+    if word.isalpha():
+        return (word.lower(),)
+    if word[-1:] in (".", ",") and word[:-1].isalpha():
+        return word[:-1].lower(), word[-1]
+    return _PIECES.findall(word.lower()) if _PLAIN.fullmatch(word) and "<|" not in word else ()
+
+
 def _encode_pieces(model, texts: list[str], known: dict[str, bytes]) -> None:
     """Pieces are normalized and split already, so they go to the merges at once."""
     for text in texts:
@@ -70,13 +83,14 @@ def word_ids(texts: list[str], path: str) -> Iterator[bytes]:
     words with ``<|``, of which special tokens are made, and words of other scripts are encoded whole.
     """
     tokenizer, known, pieces = _store(path)
-    split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+    lowered = [text.lower() if text.isascii() and "<|" not in text else text for text in texts]
+    split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in lowered]
     if len(known) > KEPT_WORDS:
         known.clear()
     if len(pieces) > KEPT_PIECES:
         pieces.clear()
     new = set().union(*split).difference(known)
-    plain = {w: _PIECES.findall(w.lower()) for w in new if _PLAIN.fullmatch(w) and "<|" not in w}
+    plain = {w: found for w in new if (found := _plain_pieces(w))}
     _encode_pieces(tokenizer.model, list(set().union(*plain.values()).difference(pieces)), pieces)
     piece = pieces.__getitem__
     for word, parts in plain.items():
@@ -87,6 +101,14 @@ def word_ids(texts: list[str], path: str) -> Iterator[bytes]:
         yield b"".join(map(word, row))
 
 
+def forget_words(path: str) -> None:
+    """Keep what was met first, and so mostly is frequent: a worker lives on after its task, and others need its memory."""
+    for store in _STORES.get(path, ())[1:]:
+        first = dict(itertools.islice(store.items(), KEPT_BETWEEN_TASKS))
+        store.clear()
+        store.update(first)
+
+
 def differencing(sizes: np.ndarray, ways: int) -> list[list[int]]:
     """Indexes of ``sizes`` in ``ways`` parts of near-equal sums.
 
@@ -138,7 +160,7 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         parts = differencing(sizes, ways)
         if all(int(sizes[p].sum()) <= capacity for p in parts):
             return [p for p in parts if p]
-        ways += max(1, ways // 200)
+        ways += max(1, ways // 100)
 
 
 def pack_documents(
@@ -163,12 +185,18 @@ def pack_documents(
     Null or blank text is the end id alone. Repeated rows are packed as often as they come.
     A null id is kept as null; an empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession, 4096)
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pieces_of(batches)
+        finally:
+            forget_words(path)
+
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 23):
+            for batch in slices(whole, "text", 1 << 21):
                 owner, start, length, crc, total = [], [], [], [], []
                 texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
                 for row, ids in enumerate(encode(texts, path)):
