@@ -135,7 +135,7 @@ def query(last: str) -> str:
 
     need(last)
     own = last.strip()
-    parts = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in needed]
+    parts = [f"{n} AS {'' if n == 'fold' else 'MATERIALIZED '}({CTES[n].strip()})" for n in CTES if n in needed]
     if not parts:
         return last
     rest = f", {own.removeprefix('WITH ')}" if own.startswith("WITH ") else f"\n{own}"
