@@ -66,7 +66,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of ``rows`` rows at most from here on: whole texts are long, and both the JVM and Python hold a batch of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def array_slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[pa.Array]:
+    """``slices`` of one column."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", most_bytes):
+        yield part.column(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of ``batch`` whose ``column`` holds about ``most_bytes`` at most; one longer row is a range of its own."""
     if not batch.num_rows:
         return

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import slices
+from docgraph.llm.common import slices, small_batches
 
 _ENCODINGS: dict[str, object] = {}
 
@@ -29,6 +29,8 @@ def rank_encoding(path: str):
 def token_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """One column ``n_tokens``: the length of each whole text under the encoding at ``path``; null and empty texts have 0."""
 
+    small_batches(docs.sparkSession)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(path)
         for whole in batches:
