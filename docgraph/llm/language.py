@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import free_name, slices
+from docgraph.llm.common import array_slices, free_name, materialize, slices, small_batches
 
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 16
@@ -61,6 +61,7 @@ def train_language_model(docs: DataFrame, most_rows: int = 1500, smooth: float =
     The bound is a parameter, so what comes to the driver (a bucket count per language) doesn't
     grow with the corpus. The ``most_languages`` commonest languages are learned. Null texts and languages take no part.
     """
+    small_batches(docs.sparkSession)
     usable = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     there = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     languages = sorted(there)
@@ -101,6 +102,7 @@ def identify_language(
     suffix_rows: float = 20.0,
     sharpness: float = 60.0,
     least: float = 0.5,
+    broadcast_hosts: int = 100_000,
 ) -> DataFrame:
     """``docs`` with one column ``language``: struct(lang, posterior, text_lang, kept).
 
@@ -110,43 +112,40 @@ def identify_language(
     ``trust_declared``, and so is a suffix that names a language. The prior of a host is its
     share of each language by text, smoothed by ``suffix_rows`` rows of its suffix's shares, and these
     by the shares of all: grouped aggregates of one vote per row. Values that are no
-    known language (regions cut off, case ignored) are no evidence.
+    known language (regions cut off, case ignored) are no evidence. The priors are broadcast up to
+    ``broadcast_hosts`` hosts, so texts aren't shuffled; beyond, they are joined by a shuffle.
 
     A row is kept if its best language has a posterior of at least ``least``. Null or letterless texts
     have no text evidence; without any evidence at all lang is the commonest language. Null hosts and suffixes are
     groups of their own. A column named ``language`` in ``docs`` stays, and the result gets underscores before its name.
     """
     languages, n = model.languages, len(model.languages)
-    work = free_name(docs, "work")
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<text_part:array<double>,top:int>")
+    def likelihoods(texts: pa.Array) -> pa.Array:
+        parts, tops = [np.empty((0, n))], [np.empty(0, dtype=np.int64)]
+        for part in array_slices(texts):
+            mean, count = model.mean_log_likelihood(part)
+            parts.append((mean - mean.max(axis=1, keepdims=True)) * np.minimum(count, sharpness)[:, None])
+            tops.append(np.where(count > 0, mean.argmax(axis=1), -1))
+        return pa.StructArray.from_arrays([pa.array(list(np.concatenate(parts)), pa.list_(pa.float64())), pa.array(np.concatenate(tops), pa.int32())], names=["text_part", "top"])
+
     null = F.lit(None).cast("string")
-    made = docs.withColumn(
-        work,
-        F.struct(
-            text.cast("string").alias("text"),
-            _known(declared if declared is not None else null, languages).alias("declared"),
-            F.lower(suffix if suffix is not None else null).alias("suffix"),
-            F.lower(host if host is not None else null).alias("host"),
-        ),
-    )
-
-    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, whole.schema.names[-1]):
-                mean, count = model.mean_log_likelihood(batch.column(batch.num_columns - 1))
-                text_part = (mean - mean.max(axis=1, keepdims=True)) * np.minimum(count, sharpness)[:, None]
-                top = np.where(count > 0, mean.argmax(axis=1), -1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(text_part), pa.list_(pa.float64())), pa.array(top, pa.int32())], names=[*batch.schema.names[:-1], "text_part", "top"])
-
-    def scored(rows: DataFrame) -> DataFrame:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        return rows.mapInArrow(likelihoods, f"{schema + ', ' if schema else ''}text_part array<double>, top int")
-
-    votes = scored(made.select(f"{work}.suffix", f"{work}.host", f"{work}.text")).where("top >= 0").groupBy("suffix", "host", "top").agg(F.count("*").alias("n"))
-    priors = _host_priors(votes, n, host_rows, suffix_rows)
-
-    keep = [c for c in made.columns if c != work]
-    rows = made.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"), f"{work}.declared", f"{work}.suffix", f"{work}.host", f"{work}.text")
-    rows = scored(rows).alias("d").join(priors.alias("p"), F.col("d.suffix").eqNullSafe(F.col("p.suffix")) & F.col("d.host").eqNullSafe(F.col("p.host")), "left")
+    evidence_of = [
+        likelihoods(text.cast("string")).alias("seen"),
+        _known(declared if declared is not None else null, languages).alias("declared"),
+        F.lower(suffix if suffix is not None else null).alias("suffix"),
+        F.lower(host if host is not None else null).alias("host"),
+    ]
+    votes = docs.select(*evidence_of).select("suffix", "host", F.col("seen.top").alias("top")).where("top >= 0").groupBy("suffix", "host", "top").agg(F.count("*").alias("n"))
+    priors = materialize(_host_priors(votes, n, host_rows, suffix_rows), "host-priors")
+    if priors.count() <= broadcast_hosts:
+        priors = F.broadcast(priors)
+
+    keep = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"), *evidence_of).select("own", "declared", "suffix", "host", "seen.*")
+    rows = rows.alias("d").join(priors.alias("p"), F.col("d.suffix").eqNullSafe(F.col("p.suffix")) & F.col("d.host").eqNullSafe(F.col("p.host")), "left")
     by_suffix = _known(F.col("d.suffix"), languages)
     terms = []
     for k, name in enumerate(languages):
