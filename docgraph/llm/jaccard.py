@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import free_name, longs, materialize, slices, words
+from docgraph.llm.common import free_name, longs, materialize, slices, small_batches, words
 from docgraph.llm.components import connected_components, in_blocks
 from docgraph.llm.shingles import mix, shingle_sets
 
@@ -32,8 +32,8 @@ def most_difference(smaller: int, p: int, q: int) -> int:
 
 
 def filter_bits(size: int) -> int:
-    """Bits of the filter sketch of a set: a power of two that grows with the set, so that it stays selective."""
-    return max(_FILTER_BITS, 1 << max(0, (size - 1).bit_length() - 1))
+    """Bits of the filter sketch of a set: a power of two and at least its size, so that unrelated sets differ in more bits than similar ones may."""
+    return max(_FILTER_BITS, 1 << (size - 1).bit_length())
 
 
 def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -50,14 +50,17 @@ def part_keys(hashes: np.ndarray, scheme: int, edges: list[int], p: int, q: int)
     """Keys of a set's sketch in the scheme of one size band: one for each part of the sketch.
 
     The scheme has one part more than the symmetric difference may be, so by the pigeonhole
-    principle two sets that link agree in a part. A part is 64 bits of the sketch.
+    principle two sets that link agree in a part: a token in one set only changes one part. A part is wide
+    (one bit per possible token), so it is kept as the XOR of its tokens' codes.
     """
     parts = most_difference(edges[scheme + 1] - 1, p, q) + 1
     if parts == 1:  # similar sets are equal ones, and these are one class already
         return np.empty(0, dtype=_U)
-    part = ((hashes >> _U(32)) * _U(parts)) >> _U(32)
-    odd = np.bincount((part * _U(64) + (hashes & _U(63))).astype(np.int64), minlength=64 * parts).astype(np.uint8) & 1
-    sketch = np.packbits(odd, bitorder="little").view(_U)
+    part = ((hashes >> _U(32)) * _U(parts)) >> _U(32)  # rises with the sorted hashes
+    start = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
+    sketch = np.zeros(parts, dtype=_U)
+    filled = np.flatnonzero(start[1:] > start[:-1])
+    sketch[filled] = np.bitwise_xor.reduceat(mix(hashes), start[filled])
     return mix(sketch ^ mix(np.arange(parts, dtype=_U) + _U(scheme << 40)))
 
 
@@ -148,7 +151,7 @@ def jaccard_components(
     at_least: tuple[int, int] = (80, 100),
     most_size: int = 1 << 32,
     group_rows: int = 8192,
-    task_shingles: int = 4_000_000,
+    task_shingles: int = 1_000_000,
     broadcast_rows: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -174,6 +177,7 @@ def jaccard_components(
     Null texts and texts without words have an empty set, linked with nothing. Equal texts share
     a class, also under one id. A null id is kept, and ignored as a least id. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     p, q = at_least
     edges = band_edges(most_size, p, q)
 
