@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,6 +94,15 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Ite
         at = to
 
 
+def free_memory() -> None:
+    """Give memory that a finished task has left unused in this worker back to the system; workers live on and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def longs(a: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as the signed longs that Spark knows."""
     return pa.array(np.ascontiguousarray(a).view(np.int64))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import free_name, longs, materialize, slices, small_batches, words
+from docgraph.llm.common import free_memory, free_name, longs, materialize, slices, small_batches, words
 from docgraph.llm.components import connected_components, in_blocks
 from docgraph.llm.shingles import mix, shingle_sets
 
@@ -140,6 +140,7 @@ def _forests(members: DataFrame, p: int, q: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        free_memory()
 
     columns = ["task", "node", "size", "sketch", *(["members_sorted"] if exact else [])]
     return members.select(*columns).repartition("task").sortWithinPartitions("task", "node").mapInArrow(link, "a long, b long")
@@ -202,6 +203,7 @@ def jaccard_components(
                     [batch.column(0), batch.column(2), pa.array(size, pa.int64()), longs(np.array(node, dtype=_U)), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["id", "text_hash", "size", "node", "sketch", "keys"],
                 )
+        free_memory()
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     id_type = texts.schema["id"].dataType.simpleString()
@@ -226,6 +228,7 @@ def jaccard_components(
                 sketch = pa.array([parity(x, filter_bits(len(x))).tobytes() for x in found], pa.binary())
                 out = pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), sketch, own], names=["node", "component", "size", "sketch", "members_sorted"])
                 yield out.filter(pc.equal(keep, out.column(0)))  # a repeated id may have other texts too
+        free_memory()
 
     few = wanted.count() <= broadcast_rows  # of some 40 bytes each
     of_wanted = texts.alias("t").join((F.broadcast(wanted) if few else wanted).alias("w"), F.col("t.id").eqNullSafe(F.col("w.id"))).select("t.id", "t.text", "w.node", "w.component", "w.size")

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialize, slices, small_batches
+from docgraph.llm.common import free_memory, materialize, slices, small_batches
 
 #: Words, and pieces of words, that one Python worker keeps the ids of; a store is emptied when it is full, and cut down at a task's end.
-KEPT_WORDS = 600_000
-KEPT_PIECES = 450_000
-KEPT_BETWEEN_TASKS = 60_000
+KEPT_WORDS = 250_000
+KEPT_PIECES = 250_000
+KEPT_BETWEEN_TASKS = 30_000
 
 _STORES: dict[str, tuple[object, dict[str, bytes], dict[str, bytes]]] = {}
 #: Words of printable ASCII and Latin-1 letters: composed already, and lower-cased alike everywhere.
@@ -185,7 +185,7 @@ def pack_documents(
     Null or blank text is the end id alone. Repeated rows are packed as often as they come.
     A null id is kept as null; an empty table gives no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 4096)
+    small_batches(docs.sparkSession)
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +193,11 @@ def pack_documents(
             yield from pieces_of(batches)
         finally:
             forget_words(path)
+            free_memory()
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 20):
                 owner, start, length, crc, total = [], [], [], [], []
                 texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
                 for row, ids in enumerate(encode(texts, path)):
