@@ -131,6 +131,7 @@ def identify_language(
             tops.append(np.where(count > 0, mean.argmax(axis=1), -1))
         return pa.StructArray.from_arrays([pa.array(list(np.concatenate(parts)), pa.list_(pa.float64())), pa.array(np.concatenate(tops), pa.int32())], names=["text_part", "top"])
 
+    likelihoods = likelihoods.asNondeterministic()  # else a filter on its result evaluates it once more, in workers of its own
     null = F.lit(None).cast("string")
     evidence_of = [
         likelihoods(text.cast("string")).alias("seen"),
