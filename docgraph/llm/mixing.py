@@ -60,7 +60,7 @@ def mix_sources(
     source; a null id has a key of its own; repeated rows count each and tie in any order;
     an empty table gives no rows. Other columns are not read.
     """
-    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.size(words(F.col(text_col))) if size is None else size).cast("long").alias("size")]
+    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"), (F.size(words(F.col(text_col))) if size is None else size).cast("long").alias("size")]
     measured = materialize(docs.select(*own), "sizes")
     sources = measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     largest = sources.agg(F.max("n")).first()[0] or 0
@@ -71,21 +71,21 @@ def mix_sources(
     ranged = lambda rows: rows.withColumn("mix_key", key).withColumn("range", F.substring("mix_key", 1, digits) if digits else F.lit(""))
     keyed = ranged(docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))) if carry else ranged(measured)
 
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    ranges = ranged(measured).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    by_range = ["no_source", "source_key", "range"]  # keys without nulls: the window and the join share one shuffle
+    ranges = ranged(measured).groupBy("source", *by_range).agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     targets = source_targets(sources.select("source", "source_size"), weights, percent, most)
-    offsets = ranges.alias("r").join(targets.alias("t"), same("r", "t")).select("r.source", "r.range", "range_before", "source_size", "target")
+    offsets = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(*by_range, "range_before", "source_size", "target")
 
-    within = Window.partitionBy("source", "range").orderBy("mix_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("in_range", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("k")
-    joined = placed.join(offsets.alias("o"), same("k", "o") & (F.col("k.range") == F.col("o.range")))
+    within = Window.partitionBy(*by_range).orderBy("mix_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("in_range", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(offsets, by_range)
     budget = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("k.size"), rest - F.col("range_before") - F.col("in_range")))
-    return joined.select(F.col("k.id").alias(id_col), F.col("k.source").alias(source_col), "k.size", "source_size", "target", (epochs * F.col("k.size") + cut).cast("long").alias("taken"), "k.mix_key", *(["k.row"] if carry else []))
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_before") - F.col("in_range")))
+    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"), "mix_key", *(["row"] if carry else []))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
