@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,20 +66,81 @@ def reconcile(entries: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first", "second")))
 
 
-def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, planes: int = 12, tables: int = 8, seed: int = 1, id_col: str = "id") -> DataFrame:
-    """(first, second, score) over the corpus: sign hashes of random planes give candidates, each verified by its cosine.
+def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, planes: int = 12, tables: int = 8, seed: int = 1, id_col: str = "id", block_rows: int = 8192) -> DataFrame:
+    """(first, second, score) links over the corpus: sign hashes of random planes give buckets, whose members are compared with each other.
 
-    Pairs are found if they share a hash in some table, so recall is below 1 and is measured in the tests. Buckets are
-    joined with their least member and its successors by id: a bucket of n members gives n - 1 candidates, so one very
-    common page doesn't give all pairs; near copies are linked along the chain.
+    Equal vectors are one class: each member has a link to the class's least id, and only that is hashed. All members of a
+    bucket are compared; one of more than ``block_rows`` is dealt into blocks, and each pair of blocks is a task. A task gives a
+    forest of links that connects what its pairs of ``at_least`` connect, so many near copies don't give all their pairs, and
+    documents joined by near pairs are reached along links. Pairs that share a hash in no table are not compared; the
+    tests measure recall against brute force.
+    Null vectors and vectors with null or NaN in them have no links.
     """
     import random
 
-    width = vectors.select(F.max(F.size("vec"))).first()[0] or 0
+    usable = vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x)) AND exists(vec, x -> x != 0)")
+    if vectors.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        usable = usable.checkpoint()  # read several times, made once
+    width = usable.select(F.max(F.size("vec"))).first()[0] or 0
+    classes = usable.groupBy("vec").agg(F.min("id").alias("id"))
+    copies = usable.join(classes.withColumnRenamed("id", "first"), "vec").where("id != first").select("first", F.col("id").alias("second"), F.lit(1.0).alias("score"))
+
     rng = random.Random(seed)
     normals = [[[rng.gauss(0, 1) for _ in range(width)] for _ in range(planes)] for _ in range(tables)]
-    key = lambda t: F.concat_ws("", F.lit(str(t)), *[F.when(F.aggregate(F.zip_with("vec", F.array(*map(F.lit, n)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0, "1").otherwise("0") for n in normals[t]])
-    keyed = vectors.select(F.col(id_col).alias("id"), "vec", F.explode(F.array(*map(key, range(tables)))).alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy("id")
-    chained = keyed.withColumns({"other": F.lag("id").over(order), "other_vec": F.lag("vec").over(order)}).where("other IS NOT NULL")
-    return chained.select(F.col("other").alias("first"), F.col("id").alias("second"), cosine(F.col("vec"), F.col("other_vec")).alias("score")).where(F.col("score") >= at_least).distinct()
+    dot = lambda n: F.aggregate(F.zip_with("vec", F.array(*map(F.lit, n)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    key = lambda t: F.concat_ws("", F.size("vec"), F.lit(f":{t}:"), *[F.when(dot(n) > 0, "1").otherwise("0") for n in normals[t]])
+    keyed = classes.select("id", F.explode(F.array(*map(key, range(tables)))).alias("bucket"))
+    parts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.when(F.col("n") > block_rows, F.ceil(F.col("n") * 2 / block_rows)).otherwise(1).cast("int").alias("parts"))
+    own, other = F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")).cast("int"), F.col("other")
+    dealt = keyed.join(parts, "bucket").withColumn("own", own)
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("own")))
+    tasks = dealt.withColumn("other", F.explode(others)).select("id", F.xxhash64("bucket", F.least("own", other), F.greatest("own", other)).alias("task"))
+    members = tasks.join(classes, "id").select("task", "id", "vec").repartition("task").sortWithinPartitions("task", "id")
+    kind = usable.schema["id"].dataType.simpleString()
+    near = members.mapInArrow(lambda batches: _links(batches, at_least), f"first {kind}, second {kind}, score double")
+    return near.groupBy("first", "second").agg(F.max("score").alias("score")).unionByName(copies)
+
+
+def _forest(v: np.ndarray, at_least: float, most: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, score) links that connect the unit rows whose product is ``at_least`` or more: a search from each row not reached yet."""
+    left, reached = np.arange(len(v)), np.empty(0, dtype=np.int64)
+    while len(left):
+        if not len(reached):
+            reached, left = left[:1], left[1:]
+        now, reached = reached[:most], reached[most:]
+        scores = v[left] @ v[now].T
+        if not scores.size:
+            continue
+        best = scores.argmax(axis=1)
+        score = scores[np.arange(len(left)), best]
+        hit = score >= at_least
+        yield now[best[hit]], left[hit], score[hit]
+        reached, left = np.append(reached, left[hit]), left[~hit]
+
+
+def _links(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.RecordBatch]:
+    """Links among the members (task, id, vec), sorted by task and id, of each task."""
+
+    def link(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if len(rows) < 2:
+            return
+        v = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        ids = rows.column("id").combine_chunks()
+        for a, b, score in _forest(v, at_least):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.minimum(a, b))), ids.take(pa.array(np.maximum(a, b))), pa.array(np.minimum(score, 1.0))], names=["first", "second", "score"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        task = batch.column("task").to_numpy()
+        starts = np.flatnonzero(np.append(True, task[1:] != task[:-1])) if len(task) else np.empty(0, dtype=np.int64)
+        for a, b in zip(starts, np.append(starts[1:], len(task))):
+            if task[a] != last and held:
+                yield from link(held)
+                held = []
+            last = task[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from link(held)

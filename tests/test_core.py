@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,33 @@ def test_duplicates(spark):
     assert lsh.count() >= 19
 
 
+def test_near_pages_among_strangers(spark):
+    rng = np.random.default_rng(5)
+    strangers = rng.normal(size=(600, 8))
+    copies = strangers[:150] + 0.05 * rng.normal(size=(150, 8))
+    v = np.concatenate([strangers, copies, strangers[:20]])  # a copy's id is far from its original's: strangers lie between them
+    ids = [int(x) for x in np.concatenate([rng.permutation(750), np.arange(750, 770)])]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id long, vec array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))]
+    for block_rows in (8192, 8):
+        links = D.near_pages_lsh(rows, 0.95, planes=3, block_rows=block_rows).collect()
+        group = {i: i for i in ids}
+
+        def root(i):
+            while group[i] != i:
+                i = group[i]
+            return i
+
+        for x in links:
+            assert x.first < x.second and x.score >= 0.95
+            group[root(x.first)] = root(x.second)
+        assert sum(root(a) == root(b) for a, b in near) >= 0.9 * len(near)
+        true = {frozenset(p) for p in near}
+        assert all(frozenset((x.first, x.second)) in true for x in links)
+        assert sum(x.score == 1.0 for x in links) >= 20
+
+
 def test_sources_and_sinks(spark, tmp_path):
     root = tmp_path / "docs"
     for name, text in (("d1", "# A\nhello"), ("d2", "plain")):
