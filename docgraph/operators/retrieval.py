@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +77,48 @@ def search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, limit: int
     return ordered_union([found, grown.select("query_id", F.col("chunk_id").alias("id"), "rank")], limit)
 
 
-def provenance(used: DataFrame, seed: DataFrame, grown: DataFrame) -> DataFrame:
-    """query_id, id, place, source (seed, graph_expanded or initial), similarity_score, rerank_score."""
+class Pass(NamedTuple):
+    """A retrieval's chunks (query_id, id, place), seeds and expansions (query_id, id, score)."""
+
+    used: DataFrame
+    seed: DataFrame
+    grown: DataFrame
+
+
+def provenance(used: DataFrame, seed: DataFrame, grown: DataFrame, second: Pass | None = None, page_summary: DataFrame | None = None) -> DataFrame:
+    """query_id, id, place, source, similarity_score, rerank_score of each chunk that a query has retrieved.
+
+    Sources are seed, graph_expanded and initial; chunks that only the ``second`` pass found follow as second_seed, second_expanded
+    and second_retrieval; ``page_summary`` (query_id, id) are the chunks of queries that summarize a page, by their number.
+    """
+    labelled = _labelled(Pass(used, seed, grown), "seed", "graph_expanded", "initial")
+    if second is not None:
+        before = used.groupBy("query_id").agg(F.max("place").alias("before"))
+        late = _labelled(second._replace(used=second.used.join(used, ["query_id", "id"], "left_anti")), "second_seed", "second_expanded", "second_retrieval")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "id")) + F.coalesce("before", F.lit(0))
+        labelled = labelled.unionByName(late.join(before, "query_id", "left").withColumn("place", place).drop("before"))
+    if page_summary is not None:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+        none = F.lit(None).cast("double")
+        labelled = labelled.unionByName(page_summary.select("query_id", "id", place.alias("place"), F.lit("page_summary").alias("source"), none.alias("similarity_score"), none.alias("rerank_score")))
+    return labelled
+
+
+def _labelled(found: Pass, as_seed: str, as_grown: str, otherwise: str) -> DataFrame:
+    used, seed, grown = found
     own = seed.select("query_id", "id", F.col("score").alias("similarity_score"))
     best = grown.groupBy("query_id", "id").agg(F.max("score").alias("rerank_score"))
     joined = used.join(own, ["query_id", "id"], "left").join(best, ["query_id", "id"], "left")
-    source = F.when(F.col("similarity_score").isNotNull(), "seed").when(F.col("rerank_score").isNotNull(), "graph_expanded").otherwise("initial")
+    source = F.when(F.col("similarity_score").isNotNull(), as_seed).when(F.col("rerank_score").isNotNull(), as_grown).otherwise(otherwise)
     return joined.select("query_id", "id", "place", source.alias("source"), "similarity_score", "rerank_score")
 
 
-def retrieval_statistics(labelled: DataFrame) -> DataFrame:
-    """query_id, total_chunks_used, seed_chunks, graph_expanded_chunks, reranked_chunks."""
+def retrieval_statistics(labelled: DataFrame, all_labels: bool = False) -> DataFrame:
+    """query_id, total_chunks_used, seed_chunks, graph_expanded_chunks, reranked_chunks; with ``all_labels`` a count of each further label too."""
+    more = ("second_seed", "second_expanded", "second_retrieval", "page_summary") if all_labels else ()
     return labelled.groupBy("query_id").agg(
-        F.count("*").alias("total_chunks_used"), F.count_if(F.col("source") == "seed").alias("seed_chunks"), F.count_if(F.col("source") == "graph_expanded").alias("graph_expanded_chunks"), F.count("rerank_score").alias("reranked_chunks")
+        F.count("*").alias("total_chunks_used"), F.count_if(F.col("source") == "seed").alias("seed_chunks"), F.count_if(F.col("source") == "graph_expanded").alias("graph_expanded_chunks"), F.count("rerank_score").alias("reranked_chunks"),
+        *[F.count_if(F.col("source") == x).alias(f"{x}_chunks") for x in more],
     )
 
 

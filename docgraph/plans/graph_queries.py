@@ -233,6 +233,14 @@ def labelled(s, d):
     return R.provenance(used(s, d), found, R.seed_expansions(found, vector_edges(s, d), vector_ids(s, d)))
 
 
+def labelled_passes(s, d):
+    """Both passes of each query, and page summaries: rows of another remainder ask for the first page of their document."""
+    found, again = R.seeds(query_rows(s, d), vector_ids(s, d)), R.seeds(query_rows(s, d, 1).withColumn("query_id", F.col("query_id") - 1), vector_ids(s, d))
+    grown = R.seed_expansions(found, vector_edges(s, d), vector_ids(s, d))
+    pages = query_rows(s, d, 2).select("query_id", "doc_id").join(vector_chunks(s, d).where("page_number = 1").select("doc_id", F.col("chunk_index").alias("id")), "doc_id").select("query_id", "id")
+    return R.provenance(used(s, d), found, grown, R.Pass(used_again(s, d), again, grown), pages)
+
+
 register("r01_route", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", R.route(F.col("turn") % 3 == 0, F.col("turn"), F.col("role") == "user").alias("route")),
          "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND turn > 0 THEN 'summarize_page' WHEN role = 'user' THEN 'use_history' ELSE 'normal_retrieval' END AS route FROM conversations")
 register("r02_initial_retrieval", used, "SELECT * FROM used")
@@ -250,6 +258,8 @@ SELECT query_id, id, min(stage)::INT AS stage, (row_number() OVER (PARTITION BY
 FROM (SELECT query_id, id, 0 AS stage, rank FROM near UNION ALL SELECT query_id, id, 1, rank FROM g) GROUP BY query_id, id QUALIFY place <= 15""")
 register("r08_provenance", lambda s, d: rounded(labelled(s, d), "similarity_score", "rerank_score"), "SELECT query_id, id, place, source, round(similarity_score, 6) AS similarity_score, round(rerank_score, 6) AS rerank_score FROM provenance")
 register("r09_retrieval_statistics", lambda s, d: R.retrieval_statistics(labelled(s, d)), "SELECT query_id, count(*) AS total_chunks_used, count(*) FILTER (WHERE source = 'seed') AS seed_chunks, count(*) FILTER (WHERE source = 'graph_expanded') AS graph_expanded_chunks, count(rerank_score) AS reranked_chunks FROM provenance GROUP BY 1")
+register("r08_provenance_both_passes", lambda s, d: rounded(labelled_passes(s, d), "similarity_score", "rerank_score"))
+register("r09_statistics_both_passes", lambda s, d: R.retrieval_statistics(labelled_passes(s, d), all_labels=True))
 register("r10_only_grounded", lambda s, d: R.only_grounded(used(s, d), used(s, d).where("place % 2 = 0").groupBy("query_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("chunk_ids"))), "SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY id DESC))::INT AS place FROM used WHERE place % 2 = 0")
 register("r11_lookup", lambda s, d: R.lookup(table(s, d, "labels").select(F.col("doc_id").alias("request_id"), "doc_id", F.array(F.lit(2), F.lit(0), F.lit(2)).alias("ids")), chunks(s, d).select("doc_id", "chunk_index", "heading")),
          "SELECT l.doc_id AS request_id, l.doc_id, CASE chunk_index WHEN 2 THEN 0 ELSE 1 END AS place, chunk_index, heading FROM labels l JOIN chunks c ON c.doc_id = l.doc_id AND chunk_index IN (0, 2)")

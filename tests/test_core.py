@@ -13,6 +13,7 @@ from docgraph.operators import graph as G
 from docgraph.operators import grounding as N
 from docgraph.operators import inference as P
 from docgraph.operators import layout as L
+from docgraph.operators import retrieval as Q
 from docgraph.operators import tables as R
 from docgraph.operators import usage as U
 from docgraph.operators import vectors as V
@@ -205,6 +206,22 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
 
 
+def test_provenance_of_both_passes(spark):
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    place, score = "query_id long, id int, place int", "query_id long, id int, score double"
+    first, found, grown = rows(place, (0, 1, 1), (0, 2, 2), (0, 3, 3)), rows(score, (0, 1, 0.9)), rows(score, (0, 2, 0.5))
+    again, found2, grown2 = rows(place, (0, 1, 1), (0, 4, 2), (0, 5, 3), (0, 6, 4), (7, 8, 1)), rows(score, (0, 1, 0.8), (0, 4, 0.7)), rows(score, (0, 5, 0.4))
+    pages = rows("query_id long, id int", (9, 5), (9, 2))
+    out = Q.provenance(first, found, grown, Q.Pass(again, found2, grown2), pages)
+    assert {(r.query_id, r.place, r.id, r.source, r.similarity_score, r.rerank_score) for r in out.collect()} == {
+        (0, 1, 1, "seed", 0.9, None), (0, 2, 2, "graph_expanded", None, 0.5), (0, 3, 3, "initial", None, None),
+        (0, 4, 4, "second_seed", 0.7, None), (0, 5, 5, "second_expanded", None, 0.4), (0, 6, 6, "second_retrieval", None, None),
+        (7, 1, 8, "second_retrieval", None, None), (9, 1, 2, "page_summary", None, None), (9, 2, 5, "page_summary", None, None),
+    }
+    counts = {r.query_id: r for r in Q.retrieval_statistics(out, all_labels=True).collect()}
+    assert (counts[0].total_chunks_used, counts[0].second_seed_chunks, counts[0].second_expanded_chunks, counts[0].second_retrieval_chunks, counts[9].page_summary_chunks) == (6, 1, 1, 1, 2)
+
+
 def test_flow(spark):
     text = "# Energy\nSolar panels convert sunlight into power.\n## Storage\nBatteries store power overnight.\n" + f"{PB}\n# Wind\nTurbines need steady wind."
     corpus = flows.build(flows.ingest(md(spark, text)), similar=True, width=16)
