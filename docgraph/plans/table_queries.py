@@ -13,6 +13,7 @@ from docgraph.functions import text as T
 from docgraph.plans import sql as S
 from docgraph.plans.adapters import markdown, table
 from docgraph.plans.graph_queries import D_pages, used, query_rows, vectors, labelled
+from docgraph.sources.sinks import shared_dir
 from docgraph.streaming import streams as Z
 
 QUERIES, SQL = {}, {}
@@ -174,15 +175,15 @@ register("s18_register", lambda s, d: K.register_documents(records(s, d).where("
 
 
 def stream(s, d, make, mode):
-    """Run a stream over the events table to its end and give what it has put out."""
+    """Run a stream over the events table to its end and give what it has put out, by files in the checkpoint folder."""
     raw = table(s, d, "events")
-    name = f"s{uuid.uuid4().hex}"
     source = s.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     v = F.floor(F.col("value")).cast("long")
     events = source.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("step"), F.col("event_type").alias("phase"), F.col("user_id").alias("document_id"), v.alias("input_tokens"), v.alias("output_tokens"), v.alias("embedding_tokens"))
-    q = make(events).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name)
+    made = make(events)
+    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    Z.write_result(made, f"{path}/out", f"{path}/checkpoint", mode).awaitTermination()
+    return s.read.schema(made.schema).parquet(f"{path}/out")
 
 
 register("z01_daily_rollup", lambda s, d: stream(s, d, Z.daily_rollup, "complete"), "SELECT ts::DATE AS day, event_type AS phase, event_type AS step, sum(floor(value))::BIGINT AS input_tokens, sum(floor(value))::BIGINT AS output_tokens, sum(floor(value))::BIGINT AS embedding_tokens, count(*) AS events FROM events GROUP BY 1, 2, 3")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the one of ``spark.checkpoint.dir``, or else (local tests) the context's checkpoint folder."""
+    if named := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def bucketed(df: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 

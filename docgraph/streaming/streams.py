@@ -32,6 +32,17 @@ def latest_events(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").agg(F.max_by(row, F.struct("ts", "event_id")).alias("e")).select("document_id", "e.*")
 
 
+def write_result(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Put a stream's whole result into ``path`` as Parquet, each batch in place of the one before; no row passes through the driver."""
+    if mode != "complete":
+        raise ValueError(f"a batch in {mode} mode isn't the whole result")
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return result.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def build_documents(docs: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
     """Run a batch function over newly landed documents and put its rows in place of theirs.
 

@@ -17,7 +17,7 @@ from docgraph.operators import retrieval as Q
 from docgraph.operators import tables as R
 from docgraph.operators import usage as U
 from docgraph.operators import vectors as V
-from docgraph.plans import flows
+from docgraph.plans import flows, registry
 from docgraph.sources import readers, sinks
 from docgraph.streaming import streams as Z
 
@@ -206,6 +206,16 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
 
 
+def test_stream_queries_keep_rows_off_the_driver(spark, tmp_path):
+    events = spark.createDataFrame([(k, f"2026-01-0{1 + k // 40} 10:00:00", k % 30, "view", float(k)) for k in range(120)], "event_id long, ts string, user_id long, event_type string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("props", F.lit("{}")).write.parquet(f"{tmp_path}/events.parquet")
+    for name, rows in (("z03_latest_events", 30), ("z01_daily_rollup", 3)):
+        out = registry.QUERIES[name](spark, str(tmp_path))
+        assert out.count() == rows and out.inputFiles()  # read from files, not from a table in the driver's memory
+    latest = registry.QUERIES["z03_latest_events"](spark, str(tmp_path))
+    assert {(r.document_id, r.event_id) for r in latest.collect()} == {(k, 90 + k) for k in range(30)}
+
+
 def test_provenance_of_both_passes(spark):
     rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
     place, score = "query_id long, id int, place int", "query_id long, id int, score double"
