@@ -11,13 +11,14 @@ from docgraph.llm.chat import conversation_digests, format_turns
 from docgraph.llm.common import table
 from docgraph.llm.jaccard import jaccard_components
 from docgraph.llm.language import identify_language, train_language_model
+from docgraph.llm.markup import declared_language, host_suffix, visible_text
 from docgraph.llm.mixing import mix_sources
 from docgraph.llm.packing import pack_documents
 from docgraph.llm.pivot_search import exact_top_k, quantized, usable_vector
 from docgraph.llm.quality_model import held_out, score_quality, train_quality_model
 from docgraph.llm.quality_rules import base_metrics, default_rules, order_rules, quality_cascade
 from docgraph.llm.token_counts import length_histogram, token_lengths
-from docgraph.llm.url_filter import filter_urls
+from docgraph.llm.url_filter import filter_urls, url_host
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,6 +84,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "language.lang", F.round("language.posterior", 6).alias("posterior"), "language.text_lang", "language.kept")
 
 
+def op8_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = url_host(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", visible_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("declared"), host.alias("host"), host_suffix(host).alias("suffix"))
+    model = train_language_model(table(spark, sf_dir, "documents"))
+    found = identify_language(pages, model, F.col("text"), declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"))
+    return found.select("page_id", "language.lang", F.round("language.posterior", 6).alias("posterior"), "language.text_lang", "language.kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_language_id": op8_language_id,
+    "op8_language_pages": op8_language_pages,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.llm import chat, components, jaccard, language, mixing, packing, pivot_search, quality_model, quality_rules, shingles, token_counts, url_filter
+from docgraph.llm import chat, components, jaccard, language, markup, mixing, packing, pivot_search, quality_model, quality_rules, queries, shingles, token_counts, url_filter
 from docgraph.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,6 +207,29 @@ def test_quality_model(spark, docs, none):
     assert quality_model.keep_good(table, flat).count() == 450
 
 
+def test_language_of_pages(spark, tmp_path):
+    html = ('<html\n dir="ltr" LANG=\'de-AT\'><head><title>the</title></head><body><!-- the --><script>var the = "<p>";</script><style>p{}</style>'
+            "<p class=x>nicht keit&#32;k&ouml;nnen &#x26; &amp;amp; &bogus; AT&T</p></body></html>")
+    row = spark.createDataFrame([(html,), (None,)], "h string").select(markup.visible_text(F.col("h")).alias("t"), markup.declared_language(F.col("h")).alias("l")).collect()
+    assert row[0].t.split() == ["nicht", "keit", "können", "&", "&amp;", "&bogus;", "AT&T"] and row[0].l == "de-AT" and row[1].t is None and row[1].l is None
+    hosts = spark.createDataFrame([("a.example.FR",), ("u@b.de:80",), ("10.0.0.1",), ("",)], "h string").select(markup.host_suffix(F.col("h")).alias("s"))
+    assert [r.s for r in hosts.collect()] == ["fr", "de", None, None]
+
+    rng = random.Random(4)
+    words = {"en": ["the", "thing", "with", "and", "ation"], "de": ["der", "ung", "nicht", "keit", "ist"]}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=12))
+    spark.createDataFrame([(k, text(lang), lang, "s") for k in range(120) for lang in [list(words)[k % 2]]], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    page = lambda lang, text: f'<html lang="{lang}"><head><title>x</title></head><body><p>{text}</p></body></html>'
+    pages = [(k, f"http://h{k % 4}.example.com/", page("en" if k % 2 else "de", text("en" if k % 2 else "de"))) for k in range(40)]
+    pages += [(100, "http://new.example.de/", page("", "ung the")), (101, "http://new.example.en/", page("", "ung the")), (102, "http://new.example.com/", page("de", "ung the")), (103, "http://new.example.com/", page("en", "ung the")), (104, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: r for r in queries.QUERIES["op8_language_pages"](spark, str(tmp_path)).collect()}
+    assert len(out) == len(pages) and all(out[k].kept and out[k].lang == ("en" if k % 2 else "de") for k in range(40))
+    assert not out[104].kept
+    weight = lambda k, lang: out[k].posterior if out[k].lang == lang else 1 - out[k].posterior
+    assert weight(100, "de") > weight(101, "de") and weight(102, "de") > weight(103, "de")  # the suffix and the markup count
+
+
 def test_language(spark, none):
     rng = random.Random(2)
     words = {"en": ["the", "thing", "with", "and", "ation"], "de": ["der", "ung", "nicht", "keit", "ist"], "fr": ["les", "eaux", "étre", "que", "ç"]}
