@@ -15,6 +15,8 @@ from docgraph.llm.common import array_slices, free_name, materialize, slices, sm
 
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 16
+#: The class of texts in none of a model's languages.
+OTHER = "other"
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, dtype=bool)
@@ -46,6 +48,13 @@ class LanguageModel:
 
     languages: list[str]
     log_p: np.ndarray  # bucket, language
+    own: np.ndarray | None = None  # language: mean log likelihood of its training text; None: not known, so no text is foreign
+
+    def foreign(self, share: float) -> np.ndarray:
+        """Mean log likelihood below which a text isn't in the language: ``share`` of the way from its own text's to that of uniform trigrams."""
+        if self.own is None:
+            return np.full(len(self.languages), -np.inf)
+        return self.own + share * (-np.log(BUCKETS) - self.own)
 
     def mean_log_likelihood(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(mean log likelihood of a text's trigrams by language, number of trigrams)."""
@@ -85,8 +94,11 @@ def train_language_model(docs: DataFrame, most_rows: int = 1500, smooth: float =
     found = chosen.mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) * BUCKETS)
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    counts = counts.reshape(len(languages), BUCKETS) + smooth
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.copy())
+    counts = counts.reshape(len(languages), BUCKETS)
+    log_p = np.log((counts + smooth) / (counts + smooth).sum(axis=1, keepdims=True))
+    seen = counts.sum(axis=1)
+    own = np.where(seen > 0, (counts * log_p).sum(axis=1) / np.maximum(seen, 1), -np.inf)
+    return LanguageModel(languages, log_p.T.copy(), own)
 
 
 def identify_language(
@@ -102,6 +114,8 @@ def identify_language(
     suffix_rows: float = 20.0,
     sharpness: float = 60.0,
     least: float = 0.5,
+    foreign_share: float = 0.6,
+    other_prior: float = 0.01,
     broadcast_hosts: int = 100_000,
 ) -> DataFrame:
     """``docs`` with one column ``language``: struct(lang, posterior, text_lang, kept).
@@ -115,20 +129,30 @@ def identify_language(
     known language (regions cut off, case ignored) are no evidence. The priors are broadcast up to
     ``broadcast_hosts`` hosts, so texts aren't shuffled; beyond, they are joined by a shuffle.
 
-    A row is kept if its best language has a posterior of at least ``least``. Null or letterless texts
-    have no text evidence; without any evidence at all lang is the commonest language. Null hosts and suffixes are
+    A text in none of the model's languages is in the class ``OTHER``. The evidence for it is how far the text's trigrams, each in the
+    language that has it most, lie below a floor: ``foreign_share`` of the way from the mean log likelihood of the best
+    language's own training text to that of uniform trigrams. Its prior is ``other_prior``.
+
+    A row is kept if its best class is a language, with a posterior of at least ``least``, and its text has letters. Null or
+    letterless texts have no text evidence and aren't kept; without any evidence at all lang is the commonest language. Null hosts and suffixes are
     groups of their own. A column named ``language`` in ``docs`` stays, and the result gets underscores before its name.
     """
     languages, n = model.languages, len(model.languages)
+    floor = model.foreign(foreign_share)
+    # a text of two known languages is in neither, but not foreign: each trigram counts by the language that has it most
+    measured = LanguageModel([*languages, OTHER], np.append(model.log_p, model.log_p.max(axis=1, keepdims=True), axis=1))
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<text_part:array<double>,top:int>")
     def likelihoods(texts: pa.Array) -> pa.Array:
-        parts, tops = [np.empty((0, n))], [np.empty(0, dtype=np.int64)]
+        parts, tops = [np.empty((0, n + 1))], [np.empty(0, dtype=np.int64)]
         for part in array_slices(texts):
-            mean, count = model.mean_log_likelihood(part)
-            parts.append((mean - mean.max(axis=1, keepdims=True)) * np.minimum(count, sharpness)[:, None])
-            tops.append(np.where(count > 0, mean.argmax(axis=1), -1))
+            mean, count = measured.mean_log_likelihood(part)
+            top = mean[:, :n].argmax(axis=1)
+            foreign = floor[top] - mean[:, n]
+            both = np.append(mean[:, :n] - mean[:, :n].max(axis=1, keepdims=True), foreign[:, None], axis=1)
+            parts.append(np.where(count > 0, np.minimum(count, sharpness), 0)[:, None] * np.maximum(both, -1e6))
+            tops.append(np.where(count > 0, np.where(foreign > 0, n, top), -1))
         return pa.StructArray.from_arrays([pa.array(list(np.concatenate(parts)), pa.list_(pa.float64())), pa.array(np.concatenate(tops), pa.int32())], names=["text_part", "top"])
 
     likelihoods = likelihoods.asNondeterministic()  # else a filter on its result evaluates it once more, in workers of its own
@@ -139,7 +163,7 @@ def identify_language(
         F.lower(suffix if suffix is not None else null).alias("suffix"),
         F.lower(host if host is not None else null).alias("host"),
     ]
-    votes = docs.select(*evidence_of).select("suffix", "host", F.col("seen.top").alias("top")).where("top >= 0").groupBy("suffix", "host", "top").agg(F.count("*").alias("n"))
+    votes = docs.select(*evidence_of).select("suffix", "host", F.col("seen.top").alias("top")).where(F.col("top").between(0, n - 1)).groupBy("suffix", "host", "top").agg(F.count("*").alias("n"))
     priors = materialize(_host_priors(votes, n, host_rows, suffix_rows), "host-priors")
     if priors.count() <= broadcast_hosts:
         priors = F.broadcast(priors)
@@ -149,17 +173,18 @@ def identify_language(
     rows = rows.alias("d").join(priors.alias("p"), F.col("d.suffix").eqNullSafe(F.col("p.suffix")) & F.col("d.host").eqNullSafe(F.col("p.host")), "left")
     by_suffix = _known(F.col("d.suffix"), languages)
     terms = []
-    for k, name in enumerate(languages):
-        evidence = F.get("text_part", F.lit(k)) + F.coalesce(F.get("log_prior", F.lit(k)), F.lit(-float(np.log(n))))
+    for k, name in enumerate([*languages, OTHER]):
+        prior = F.lit(float(np.log(other_prior))) if k == n else F.coalesce(F.get("log_prior", F.lit(k)), F.lit(-float(np.log(n))))
+        evidence = F.get("text_part", F.lit(k)) + prior
         for said, trust in ((F.col("declared"), trust_declared), (by_suffix, trust_suffix)):
             other = (1 - trust) / max(1, n - 1)
-            evidence = evidence + F.when(said.isNull() | F.lit(n == 1), 0.0).when(said == name, float(np.log(trust))).otherwise(float(np.log(max(other, 1e-9))))
-        terms.append(F.struct(evidence.alias("e"), F.lit(name).alias("lang")))
+            evidence = evidence + F.when(said.isNull() | F.lit(n == 1), 0.0).when(F.lit(k < n) & (said == name), float(np.log(trust))).otherwise(float(np.log(max(other, 1e-9))))
+        terms.append(F.struct(evidence.alias("e"), F.lit(name).alias("lang"), F.lit(k < n).alias("known")))
     judged = rows.withColumn("terms", F.array(*terms)).withColumn("best", F.array_max("terms"))
     total = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.exp(t["e"] - F.col("best.e")))
     posterior = 1 / total
-    text_lang = F.when(F.col("top") >= 0, F.get(F.array(*map(F.lit, languages)), F.col("top")))
-    result = F.struct(F.col("best.lang").alias("lang"), posterior.alias("posterior"), text_lang.alias("text_lang"), (posterior >= least).alias("kept"))
+    text_lang = F.when(F.col("top") >= 0, F.get(F.array(*map(F.lit, [*languages, OTHER])), F.col("top")))
+    result = F.struct(F.col("best.lang").alias("lang"), posterior.alias("posterior"), text_lang.alias("text_lang"), ((posterior >= least) & F.col("best.known") & (F.col("top") >= 0)).alias("kept"))
     return judged.select(*[F.col("own").getField(c).alias(c) for c in keep], result.alias(free_name(docs, "language")))
 
 

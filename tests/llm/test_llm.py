@@ -230,6 +230,21 @@ def test_language_of_pages(spark, tmp_path):
     assert weight(100, "de") > weight(101, "de") and weight(102, "de") > weight(103, "de")  # the suffix and the markup count
 
 
+def test_language_rejects_foreign_and_letterless(spark):
+    rng = random.Random(3)
+    words = {"en": ["the", "thing", "with", "and", "ation"], "de": ["der", "ung", "nicht", "keit", "ist"]}
+    clean = [(k, " ".join(rng.choices(words[lang], k=12)), lang, f"host{k % 2}") for k in range(200) for lang in [list(words)[k % 2]]]
+    foreign = ["Il gatto dorme sul tavolo della cucina mentre fuori piove", "Быстрая лиса прыгает через ленивую собаку", "我们今天去公园散步然后回家吃饭", "Pies śpi na stole w kuchni a na zewnątrz pada deszcz", "zxqv kjwq pfgh wqzx vbnm plok"]
+    bare = [None, "", "12 34 -- 56", "*** !!! ***"]
+    rows = clean + [(1000 + k, t, "en", "host0") for k, t in enumerate(foreign)] + [(2000 + k, t, "en", "host0") for k, t in enumerate(bare)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.train_language_model(table.where("doc_id < 100"))
+    out = {r.doc_id: r.language for r in language.identify_language(table, model, F.col("text"), F.col("lang"), host=F.col("source")).collect()}
+    assert all(out[k].kept and out[k].lang == lang for k, _, lang, _ in clean)
+    assert all(not out[1000 + k].kept and out[1000 + k].lang == language.OTHER for k in range(len(foreign)))
+    assert not any(out[2000 + k].kept for k in range(len(bare)))
+
+
 def test_language(spark, none):
     rng = random.Random(2)
     words = {"en": ["the", "thing", "with", "and", "ation"], "de": ["der", "ung", "nicht", "keit", "ist"], "fr": ["les", "eaux", "étre", "que", "ç"]}
