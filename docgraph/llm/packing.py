@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import heapq
-import itertools
-import re
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,98 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.llm.common import free_memory, materialize, slices, small_batches
-
-#: Words, and pieces of words, that one Python worker keeps the ids of; a store is emptied when it is full, and cut down at a task's end.
-KEPT_WORDS = 250_000
-KEPT_PIECES = 250_000
-KEPT_BETWEEN_TASKS = 30_000
-
-_STORES: dict[str, tuple[object, dict[str, bytes], dict[str, bytes]]] = {}
-#: Words of printable ASCII and Latin-1 letters: composed already, and lower-cased alike everywhere.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: How the tokenizer splits such a word; its pieces are encoded apart.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else one after U+0100 in order."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-_LETTERS = _byte_letters()
-
-
-def _store(path: str):
-    if path not in _STORES:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        _STORES[path] = (Tokenizer.from_file(path), {}, {})
-    return _STORES[path]
-
-
-def _plain_pieces(word: str) -> tuple[str, ...] | list[str]:
-    """The pieces of a plain word; none of other words."""
-    if not (word.isascii() or _PLAIN.fullmatch(word)):
-        return ()
-    if word.isalpha():
-        return (word.lower(),)
-    if word[-1:] in (".", ",") and word[:-1].isalpha():
-        return word[:-1].lower(), word[-1]
-    return _PIECES.findall(word.lower()) if _PLAIN.fullmatch(word) and "<|" not in word else ()
-
-
-def _encode_pieces(model, texts: list[str], known: dict[str, bytes]) -> None:
-    """Pieces are normalized and split already, so they go to the merges at once."""
-    for text in texts:
-        known[text] = array("I", [t.id for t in model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
-
-
-def _encode_whole(tokenizer, texts: list[str], known: dict[str, bytes]) -> None:
-    for at in range(0, len(texts), 20_000):
-        part = texts[at : at + 20_000]
-        for text, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[text] = array("I", found.ids).tobytes()
-
-
-def word_ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids, as little-endian unsigned 32-bit values.
-
-    For tokenizers that lower-case, split at white space and drop it: their ids of a text
-    are those of its words in a row, and those of a plain word the ids of its pieces (runs of letters,
-    single digits, runs of signs). So each distinct piece is encoded once and kept, and so is each word;
-    words with ``<|``, of which special tokens are made, and words of other scripts are encoded whole.
-    """
-    tokenizer, known, pieces = _store(path)
-    lowered = [text.lower() if text.isascii() and "<|" not in text else text for text in texts]
-    split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in lowered]
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    if len(pieces) > KEPT_PIECES:
-        pieces.clear()
-    new = set().union(*split).difference(known)
-    plain = {w: found for w in new if (found := _plain_pieces(w))}
-    _encode_pieces(tokenizer.model, list(set().union(*plain.values()).difference(pieces)), pieces)
-    piece = pieces.__getitem__
-    for word, parts in plain.items():
-        known[word] = b"".join(map(piece, parts))
-    _encode_whole(tokenizer, [w for w in new if w not in plain], known)
-    word = known.__getitem__
-    for row in split:
-        yield b"".join(map(word, row))
-
-
-def forget_words(path: str) -> None:
-    """Keep what was met first, and so mostly is frequent: a worker lives on after its task, and others need its memory."""
-    for store in _STORES.get(path, ())[1:]:
-        first = dict(itertools.islice(store.items(), KEPT_BETWEEN_TASKS))
-        store.clear()
-        store.update(first)
-
+from docgraph.llm.piece_store import KEPT_BETWEEN_TASKS, piece_store
 
 def differencing(sizes: np.ndarray, ways: int) -> list[list[int]]:
     """Indexes of ``sizes`` in ``ways`` parts of near-equal sums.
@@ -163,61 +69,52 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         ways += max(1, ways // 100)
 
 
-def pack_documents(
-    docs: DataFrame,
-    path: str,
-    end_id: int = 2,
-    capacity: int = 4096,
-    batch_items: int = 2048,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    encode: Callable[[list[str], str], Iterator[bytes]] = word_ids,
-) -> DataFrame:
+def cut_rows(ids: np.ndarray, rows: np.ndarray, end_id: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """(row, start, length, crc32, row's ids) of the pieces of each row of ``ids``, an end id put after each row."""
+    tail = np.array([end_id], dtype="<u4").tobytes()
+    sizes = np.diff(rows) + 1
+    n = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), n)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+    length = np.minimum(capacity, sizes[row] - start)
+    view = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+    first = 4 * (rows[row] + start)
+    last = np.minimum(first + 4 * length, 4 * rows[row + 1])  # without the end id
+    ends = (start + length == sizes[row]).tolist()
+    crc = [zlib.crc32(tail, zlib.crc32(view[a:b])) if end else zlib.crc32(view[a:b]) for a, b, end in zip(first.tolist(), last.tolist(), ends, strict=True)]
+    return row, start, length, crc, sizes[row]
+
+
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, batch_items: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every document's ids into pieces and pack these into windows of ``capacity`` ids.
 
     A document of several windows' length is cut into full windows, which need no
     packing, and a rest. The rests are dealt by a random key into batches of about
     ``batch_items``; in each, differencing gives near-equal windows, one more at a
-    time while any is over ``capacity``. No task holds more than one batch, whatever
+    time while any is over ``capacity``. No task holds more than one batch at a time, whatever
     the number of documents, and equal rows are dealt apart.
 
     Returns one row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    Null or blank text is the end id alone. Repeated rows are packed as often as they come.
-    A null id is kept as null; an empty table gives no rows. Other columns are not read.
+    Null, empty and blank texts are the end id alone; very long ones are read whole. Repeated rows are packed as
+    often as they come; ties in size fall in order of the pieces' row numbers. A null id is kept as null; an empty
+    table gives no rows. Other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
-    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = piece_store(path)
         try:
-            yield from pieces_of(batches)
+            for whole in batches:
+                for batch in slices(whole, "text", 1 << 21):
+                    row, *numbers = cut_rows(*store.encode(batch.column(1)), end_id, capacity)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in numbers)], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
         finally:
-            forget_words(path)
+            store.keep_first(KEPT_BETWEEN_TASKS)  # a worker lives on after its task, and others need its memory
             free_memory()
 
-    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                owner, start, length, crc, total = [], [], [], [], []
-                texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-                for row, ids in enumerate(encode(texts, path)):
-                    ids += tail
-                    n = len(ids) // 4
-                    for at in range(0, n, capacity):
-                        piece = ids[4 * at : 4 * (at + capacity)]
-                        owner.append(row)
-                        start.append(at)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
-                    names=["id", "start", "length", "ids_crc32", "doc_tokens"],
-                )
-
     id_type = docs.schema[id_col].dataType.simpleString()
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
-    pieces = materialize(pieces, "pieces").withColumn("uid", F.monotonically_increasing_id())  # of a written table: the same in each run
+    pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     rests = pieces.where(F.col("length") < capacity)
     batches = max(1, -(-rests.count() // batch_items))
     dealt = rests.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(batches)).alias("batch"))
@@ -231,6 +128,7 @@ def pack_documents(
             offset[members] = np.cumsum(sizes[members]) - sizes[members]
         return pd.DataFrame({"uid": part["uid"], "sequence_id": int(key[0]) * (1 << 32) + window, "offset": offset})
 
-    placed = dealt.groupBy("batch").applyInPandas(place, "uid long, sequence_id long, offset long")
+    tasks = min(100_000, -(-batches // 16))  # a stated number, as a batch is more work than its bytes say
+    placed = dealt.repartition(tasks, "batch").groupBy("batch").applyInPandas(place, "uid long, sequence_id long, offset long")
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
     return rests.join(placed, "uid").unionByName(full).drop("uid").withColumnRenamed("id", id_col)
