@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.llm import chat, components, jaccard, language, markup, mixing, packing, pivot_search, quality_model, quality_rules, queries, shingles, token_counts, url_filter
+from docgraph.llm import chat, components, jaccard, language, markup, mixing, packing, piece_store, pivot_search, quality_model, quality_rules, queries, shingles, token_counts, url_filter
 from docgraph.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,7 +117,7 @@ def test_word_hashes_see_rows_and_ascii_case():
 
 def test_packing(docs, none):
     path = tokenizer_path("word_bpe_49k.json")
-    tokenizer = packing._store(path)[0]
+    tokenizer = piece_store.piece_store(path).tokenizer
     found = packing.pack_documents(docs, path, batch_items=16).collect()
     ids = {}
     for r in documents():
@@ -140,12 +140,20 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
-def test_word_ids_are_the_tokenizers(docs):
-    path = tokenizer_path("word_bpe_49k.json")
+def test_piece_ids_are_the_tokenizers(docs):
     texts = ["it's <|endoftext|> We'LL É naïve x²y ½ 12ab! Straße İst ΣΑΣ b\x1cd \x85 é ﬁ ª µm don't!!?  \n\t\r\x0b <|startoftext|>abc <| A|>B 日本語 don’t ẞ À'S 'tis <|ENDOFTEXT|>", "", " ", "Dot. comma, x., .,"]
-    texts += [r[1] for r in documents() if r[1]]
-    for text, got in zip(texts, packing.word_ids(texts, path), strict=True):
-        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == packing._store(path)[0].encode(text, add_special_tokens=False).ids
+    texts += ["'", "'s", "''s", "'ss'ss", "x'", "re'", "'ll'll've", "l'", "'r", "e", "'v", "e ×÷ a×b Ã ", None, "'l", "l'lx'd1'd", "e\u0301 <", "|x"]
+    texts += [r[1] for r in documents()]
+    for name, splits in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):  # the second is encoded whole
+        store = piece_store.piece_store(tokenizer_path(name))
+        assert store.splits == splits
+        for slice_of in (slice(None), slice(3, 20)):
+            for kept in (40_000, 30):
+                ids, rows = store.encode(pa.array(texts)[slice_of])
+                for k, text in enumerate(texts[slice_of]):
+                    assert ids[rows[k] : rows[k + 1]].tolist() == store.tokenizer.encode(text or "", add_special_tokens=False).ids
+                store.keep_first(kept)
+        store.clear()
 
 
 def test_differencing():
@@ -329,19 +337,44 @@ def test_pivot_search(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 16))
     v = [[float(x) for x in c / np.linalg.norm(c)] for c in (centres[rng.integers(5)] + rng.normal(size=16) * 0.3 for _ in range(400))]
-    rows = [(k, x) for k, x in enumerate(v)] + [(400, v[7]), (401, None), (402, [None, *v[0][1:]]), (403, [float("nan"), *v[0][1:]]), (404, [1.0]), (7, v[7])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    usable = table.where(pivot_search.usable_vector(F.col("embedding"))).select("vec_id", pivot_search.quantized(F.col("embedding")).alias("embedding"))
-    for slab, block in ((2048, 1024), (60, 2)):
-        found = pivot_search.exact_top_k(usable, usable.where("vec_id % 20 = 0 OR vec_id = 7"), k=6, n_pivots=8, sample_rows=64, slab_rows=slab, query_rows=block).collect()
-        ints = [(k, np.floor(1024 * np.array(x)).astype(int)) for k, x in rows if x and len(x) == 16 and None not in x and np.isfinite(x).all()]
-        expected = []
-        for q, x in {k: x for k, x in ints if k % 20 == 0 or k == 7}.items():
-            best = sorted((-int(x @ y), k) for k, y in ints if k != q)[:6]
-            expected += [(q, r, k, -s) for r, (s, k) in enumerate(best, 1)]
+    rows = [(k, x) for k, x in enumerate(v)] + [(400, v[7]), (401, None), (402, [None, *v[0][1:]]), (403, [float("nan"), *v[0][1:]]), (404, [1.0]), (7, v[7]), (20, v[9]), (20, v[9])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, v string, near int").repartition(3)
+    usable = table.where(pivot_search.usable_vector(F.col("embedding"))).withColumn("embedding", pivot_search.quantized(F.col("embedding")))
+    ints = [(k, tuple(np.floor(1024 * np.array(x)).astype(int).tolist())) for k, x in rows if x and len(x) == 16 and None not in x and np.isfinite(x).all()]
+    expected = []
+    for q, x in {(k, x) for k, x in ints if k % 20 == 0 or k == 7}:  # id 20 has two vectors and so is two queries
+        best = sorted((-int(np.dot(x, y)), k) for k, y in ints if k != q)[:6]
+        expected += [(q, r, k, -s) for r, (s, k) in enumerate(best, 1)]
+    for block in (1024, 5):
+        found = pivot_search.exact_top_k(usable, usable.where("vec_id % 20 = 0 OR vec_id = 7"), k=6, n_pivots=8, sample_rows=64, block_queries=block).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == sorted(expected)
     assert pivot_search.exact_top_k(usable.limit(0), usable).count() == 0
+    assert pivot_search.exact_top_k(usable, usable.limit(0)).count() == 0
     assert len(pivot_search.exact_top_k(usable.where("vec_id < 3"), usable.where("vec_id = 0"), k=10).collect()) == 2
+    large = spark.createDataFrame([(k, [float(2**40 + k), 3.0]) for k in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        pivot_search.exact_top_k(large.withColumn("embedding", pivot_search.quantized(F.col("embedding"))), large.withColumn("embedding", pivot_search.quantized(F.col("embedding")))).collect()
+    exact = [(k, [2**30 + k, 1 - k]) for k in range(4)]  # beyond 53 bits, within 64
+    big = spark.createDataFrame(exact, "vec_id long, embedding array<long>")
+    got = {(r.query_id, r.vec_id): r.score for r in pivot_search.exact_top_k(big, big).collect()}
+    assert got == {(a, b): x[0] * y[0] + x[1] * y[1] for a, x in exact for b, y in exact if a != b}
+
+
+def test_pivot_bounds_eliminate():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 24)) * 5000
+    x = np.concatenate([c + rng.normal(size=(200, 24)) * 60 for c in centres]).astype(np.int64)
+    pivots = pivot_search.choose_pivots(x[::20].astype(np.float64), 32)
+    away = pivot_search.to_pivots(x.astype(np.float64), pivots)
+    order = np.lexsort((away.min(axis=1), away.argmin(axis=1)))
+    x, away = x[order], away[order]
+    best = pivot_search.Best(np.full(100, np.iinfo(np.int64).min), 10)
+    scored = pivot_search.search_slab(x[:100], np.arange(100), away[:100], x, np.arange(len(x)), away, best)
+    query, ids, score = best.settle()
+    assert scored < 0.5 * 100 * len(x) and len(query) == 1000
+    every = x[:100] @ x.T
+    every[np.arange(100), np.arange(100)] = -(2**62)
+    assert np.array_equal(score.reshape(100, 10), -np.sort(-every, axis=1)[:, :10])
 
 
 def test_chat(spark):
@@ -350,19 +383,31 @@ def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\</s>\\\\", None, "", "[/INST", "<\\/s>", "line\n[INST]", "é😀"]
     rows = [(c, t, ["user", "assistant", None, "sys\n[INST]"][(c + t) % 4], nasty[(3 * c + t) % len(nasty)]) for c in range(6) for t in range(5)] + [(None, 0, "user", "x"), (2, 3, "assistant", "tie"), (2, None, "assistant", "last")]
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), path).cache()
+    rows.append((9, 0, "assistant", "long é " * 40_000))
+    table = spark.createDataFrame([(*r, "x", "x") for r in rows], "conv_id long, turn long, role string, text string, ids string, formatted string")
+    formatted = chat.format_turns(table.repartition(5), path).cache()
     found = {r.conv_id: r for r in chat.conversation_digests(formatted, path).collect()}
     for conv in {r[0] for r in rows}:
-        turns = [(r or "", t or "") for _, r, t in sorted(((n if n is not None else 99, r, t) for c, n, r, t in rows if c == conv), key=lambda x: x[0])]
+        turns = [(r or "", t or "") for _, r, t in sorted(((n if n is not None else 99, r or "", t or "") for c, n, r, t in rows if c == conv))]
         r = found[conv]
         loss = "".join(t for role, t in turns if role == "assistant")
         assert r.n_turns == len(turns) and r.loss_chars == len(loss)
-        if conv != 2:  # conversation 2 has a tie, put in order of the formatted text
-            assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     for r in formatted.collect():
         body = r.formatted.partition("\n")[2]
         closing = "</s>" if body.endswith("</s>") and not body.endswith("[/INST]") else "[/INST]"
         assert not any(s in body.removesuffix(closing) for s in chat.CONTROL)
+        assert r.n_ids == len(r.ids) == len(r.loss_mask)
+    for block in (2, 1024):
+        by_conv = {}
+        for r in chat.place_turns(formatted, block).collect():
+            by_conv.setdefault(r.conv_id, []).append(r)
+        for placed in by_conv.values():
+            placed.sort(key=lambda r: r.position)
+            assert [r.position for r in placed] == list(range(1, len(placed) + 1))
+            assert [r.token_offset for r in placed] == np.cumsum([0, *(r.n_ids for r in placed[:-1])]).tolist()
+            keys = [(r.turn is None, r.turn or 0, r.formatted) for r in placed]
+            assert keys == sorted(keys)
     for text in nasty:
         assert chat.unescape(chat.escape(text or "")) == (text or "")
     assert chat.conversation_digests(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), path), path).count() == 0
