@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: White space that separates words, as the inside of a regular-expression class.
 BLANKS = " \\t-\\r"
-#: The same six characters, for translate().
-BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

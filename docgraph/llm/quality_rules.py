@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import BLANK_CHARS, free_name, materialize, words
+from docgraph.llm.common import BLANKS, free_name, materialize, words
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -18,93 +20,92 @@ def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
-
-def word_chars(text: Column) -> Column:
-    """Code points in words."""
-    return F.length(F.translate(_text(text), BLANK_CHARS, "")).cast("long")
+def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is evaluated once however often ``f`` takes it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(_text(text)) - F.length(F.translate(_text(text), SYMBOLS, ""))).cast("long")
-
+    return F.regexp_count(_text(text), F.lit(f"[{SYMBOLS}]")).cast("long")
 
-def worded_lines(text: Column) -> Column:
-    """Lines that have a word."""
-    return F.filter(F.split(_text(text), "\n", -1), lambda line: F.translate(line, BLANK_CHARS, "") != "")
 
+def line_measures(text: Column) -> Column:
+    """struct(n_lines, n_dup_lines): lines that have a word, and those of them that equal an earlier one."""
+    worded = F.filter(F.split(_text(text), "\n", -1), lambda line: line.rlike(f"[^{BLANKS}]"))
+    return _bind(worded, lambda lines: F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines")))
 
-def n_dup_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    return F.get(F.transform(F.array(worded_lines(text)), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))), F.lit(0)).cast("long")
 
+def n_repeat_words(words_of: Column, width: int = 5, few: int = 32) -> Column:
+    """Words in ``width``-word windows found twice or more in the list of words, the first finding included.
 
-def n_repeat_words(text: Column, width: int = 5) -> Column:
-    """Words in ``width``-word windows found twice or more in the text, the first finding included.
-
-    Windows are compared by a 64-bit hash. A text without equal windows ends after a distinct
-    count; else windows are sorted by hash, those equal to a neighbour are put in
-    order of place, and the places they cover are added up.
+    Words are hashed once, and windows are hashes of word hashes (64 bits). A text without equal windows ends after a
+    distinct count. Else hashes are sorted, and those equal to their neighbour are the repeated ones. The places of up to ``few`` different
+    ones are looked for one by one; beyond, hashes are sorted with their places. The places' windows are added up where they don't overlap.
     """
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates value once
-
-    def of_hashes(h: Column) -> Column:
-        return F.when(F.size(h) == F.size(F.array_distinct(h)), F.lit(0)).otherwise(bind(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), of_sorted))
 
-    def of_sorted(s: Column) -> Column:
-        n = F.size(s)
-        before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(s, 1, n - 1))
-        after = F.concat(F.slice(s, 2, n - 1), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-        around = F.arrays_zip(s.alias("s"), before.alias("b"), after.alias("a"))
-        same = lambda z: F.coalesce(z["s"]["h"] == z["b"]["h"], F.lit(False)) | F.coalesce(z["s"]["h"] == z["a"]["h"], F.lit(False))
-        return bind(F.sort_array(F.transform(F.filter(around, same), lambda z: z["s"]["i"])), covered)
+    def repeated(h: Column) -> Column:
+        n = F.size(h)
+        by_hash = lambda: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda s: F.filter(s, lambda x, k: (x["h"] == F.get(s, k + 1)["h"]) | ((k > 0) & (x["h"] == F.get(s, F.greatest(k - 1, F.lit(0)))["h"])))
+        some = lambda found: F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(found, F.get(h, i)))
+        many = lambda: F.sort_array(F.transform(_bind(by_hash(), same), lambda x: x["i"]))
+        found = lambda s: F.array_distinct(F.filter(s, lambda x, k: x == F.get(s, k + 1)))
+        places = _bind(_bind(F.sort_array(h), found), lambda x: F.when(F.size(x) <= few, some(x)).otherwise(many()))
+        return F.when(n == F.size(F.array_distinct(h)), F.lit(0)).otherwise(_bind(places, covered))
 
     def covered(places: Column) -> Column:
-        steps = F.zip_with(F.slice(places, 2, F.size(places)), F.slice(places, 1, F.size(places) - 1), lambda b, a: F.least(b - a, F.lit(width)))
-        return F.aggregate(steps, F.lit(width), lambda a, b: a + b)
+        return F.aggregate(F.transform(places, lambda x, k: F.least(F.coalesce(F.get(places, k + 1) - x, F.lit(width)), F.lit(width))), F.lit(0), lambda a, b: a + b)
 
-    def of_words(w: Column) -> Column:
-        n = F.size(w) - (width - 1)
-        windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-        return F.when(n < 2, F.lit(0)).otherwise(bind(windows, of_hashes))
+    def windows(h: Column) -> Column:
+        n = F.size(h) - (width - 1)
+        made = F.transform(F.slice(h, 1, F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, width)]))
+        return F.when(n < 2, F.lit(0)).otherwise(_bind(made, repeated))
 
-    return bind(words(text), of_words).cast("long")
+    return _bind(F.transform(words_of, lambda x: F.xxhash64(x)), windows).cast("long")
+
+
+def word_measures(text: Column) -> Column:
+    """struct(n_words, word_chars, n_repeat_words); a text is split into its words once. word_chars counts code points."""
+    return _bind(
+        words(text),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_repeat_words(w).alias("n_repeat_words")),
+    )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named test of a text that is true for what must go."""
+    """A named test of a row that is true for what must go."""
 
     name: str
     rejects: Column
 
 
 def default_rules(text: Column) -> list[Rule]:
-    """Rules beside the base ones: symbols, shouting, characters per word, repeated lines, tables."""
-    n = F.greatest(n_words(text), F.lit(1))
-    letters = F.greatest(F.length(F.regexp_replace(_text(text), r"[^\p{L}]", "")), F.lit(1))
+    """Rules beside the base ones, over a text and what ``base_metrics`` found: symbols, shouting, characters per word, repeated lines."""
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    capitals = F.length(F.regexp_replace(_text(text), r"\P{Lu}+", ""))
+    letters = F.length(F.regexp_replace(_text(text), r"\P{L}+", ""))
     return [
-        Rule("symbols", n_symbols(text) * 100 > n * 30),
-        Rule("exclamations", (F.length(_text(text)) - F.length(F.translate(_text(text), "!", ""))) * 100 > n * 40),
-        Rule("capitals", (F.length(F.regexp_replace(_text(text), r"[^\p{Lu}]", "")) * 100 > letters * 50) & (letters >= 40)),
-        Rule("word_length", (word_chars(text) > n * 20) | (word_chars(text) * 2 < n * 3)),
-        Rule("dup_lines", n_dup_lines(text) * 100 > F.greatest(F.size(worded_lines(text)), F.lit(1)) * 50),
+        Rule("symbols", F.col("n_symbols") * 100 > n * 30),
+        Rule("exclamations", (F.length(_text(text)) - F.length(F.replace(_text(text), F.lit("!"), F.lit("")))) * 100 > n * 40),
+        Rule("capitals", (capitals > 20) & _bind(letters, lambda x: (x >= 40) & (capitals * 100 > x * 50))),  # half of 40 letters at least, so the cheaper count comes first
+        Rule("word_length", (F.col("word_chars") > n * 20) | (F.col("word_chars") * 2 < n * 3)),
+        Rule("dup_lines", F.col("n_dup_lines") * 100 > F.greatest(F.col("n_lines"), F.lit(1)) * 50),
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 2_000, repeats: int = 2) -> list[Rule]:
-    """Rules by falling rejection per cost, measured on a sample of about ``sample_rows`` rows.
+def order_rules(docs: DataFrame, rules: list[Rule], prepare: Callable[[DataFrame], DataFrame] = lambda docs: docs, sample_rows: int = 2_000, repeats: int = 2) -> list[Rule]:
+    """Rules by falling rejection per cost, measured on a sample of about ``sample_rows`` rows of ``docs``.
 
-    Cost: the time of a pass over the sample that evaluates the rule alone, less that of a pass that only
-    measures texts, best of ``repeats``. Selectivity: the share that it rejects. The order changes
-    what is evaluated, never the verdict. The bound doesn't grow with the corpus.
+    ``prepare`` adds the columns that rules need. Cost: the time of a pass over the sample that evaluates the rule alone, less that of a pass
+    that only counts rows, best of ``repeats``, rounded to a power of two; equal worths are in order of name. So the order seldom differs between
+    runs, though it may; it changes what is evaluated, never which rows are rejected. Selectivity: the share that the rule rejects; a null test rejects
+    nothing. The bound doesn't grow with the corpus. An empty table leaves the rules as they are; repeated rows and very long texts are rows like others.
     """
     there = docs.count()
     if not there:
         return list(rules)
-    sample = materialize(docs.select(text_col).sample(min(1.0, sample_rows / there), seed=3), "rule-sample").coalesce(1)
+    sample = materialize(prepare(materialize(docs.sample(min(1.0, sample_rows / there), seed=3), "rule-sample").coalesce(1)), "rule-measures").coalesce(1)
 
     def measured(test: Column) -> tuple[float, float]:
         best, share = float("inf"), 0.0
@@ -114,12 +115,12 @@ def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", samp
             best = min(best, time.perf_counter() - began)
         return best, share
 
-    floor, _ = measured(F.length(text_col) < 0)
+    floor, _ = measured(F.lit(False))
     worth = {}
     for rule in rules:
         cost, share = measured(rule.rejects)
-        worth[rule.name] = share / max(cost - floor, 1e-3)
-    return sorted(rules, key=lambda r: -worth[r.name])
+        worth[rule.name] = share / 2.0 ** round(math.log2(max(cost - floor, 1e-3)))
+    return sorted(rules, key=lambda r: (-worth[r.name], r.name))
 
 
 def quality_cascade(docs: DataFrame, rules: list[Rule], name: str = "rejected_by") -> DataFrame:
@@ -135,7 +136,13 @@ def quality_cascade(docs: DataFrame, rules: list[Rule], name: str = "rejected_by
 
 
 def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every whole text; null texts have no words."""
-    text = F.col(text_col)
-    measured = docs.select(F.col(id_col), text, n_words(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"))
-    return measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    """id, text, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed of every whole text.
+
+    Null, empty and blank texts have no words, symbols or lines, and fail; very long ones are measured whole, in their row. Repeated rows have a row each,
+    null ids too; an empty table gives no rows. Other columns of ``docs``, whatever their names, are not read.
+    """
+    text = F.col("text")
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    measured = read.select("id", "text", word_measures(text).alias("w"), n_symbols(text).alias("n_symbols"), line_measures(text).alias("l"))
+    columns = [F.col("id").alias(id_col), F.col("text").alias(text_col), "w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words"]
+    return measured.select(*columns, ((F.col("w.n_words") < 10) | (100 * F.col("w.n_repeat_words") > 20 * F.col("w.n_words"))).alias("base_failed"))

@@ -65,8 +65,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    measured = base_metrics(docs)
-    judged = quality_cascade(measured, order_rules(docs, default_rules(F.col("text"))))
+    judged = quality_cascade(base_metrics(docs), order_rules(docs, default_rules(F.col("text")), prepare=base_metrics))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*columns, (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
 

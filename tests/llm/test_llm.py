@@ -316,7 +316,11 @@ def test_quality_rules(spark, docs, none):
                 covered |= {i + k for i in places for k in range(5)}
         return len(covered)
 
+    rng = random.Random(6)
     rows = documents() + [(900, "a b c d e a b c d e a b c d e z\nq\n q\nq\n\n#|", "en", "s", 0), (901, "a a a a a a", "en", "s", 0)]
+    for k in range(40):  # few and many different repeated windows, near and far, at the ends and between
+        own = [rng.choice("abcdefgh") if k % 2 else f"u{rng.randrange(900)}" for _ in range(rng.randint(3, 400))]
+        rows.append((910 + k, " ".join(own + own[: rng.randint(0, len(own))] + [f"v{i}" for i in range(k % 7)] + own[-rng.randint(1, 9) :]), "en", "s", 0))
     table = spark.createDataFrame(rows, DOCS)
     found = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.base_metrics(table).collect())
     expected = []
