@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the one named in ``spark.checkpoint.dir``.
 
-    It is the one named in ``spark.checkpoint.dir``; only where none is set
-    (local tests) a temporary folder becomes the checkpoint folder.
+    Only where none is set and all runs in one process (local tests), a temporary folder becomes the checkpoint folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
 
+#: Where the tables lie that ``materialize`` has written, and those still there in order.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -44,7 +52,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _PATHS[read] = path
+    return read
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialize`` has written and nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` gave, once nothing reads it any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            drop_tables(df.sparkSession, [path])
+
+
+@contextmanager
+def kept_only() -> Iterator[list[DataFrame]]:
+    """Tables written within are deleted at its end, but for those put into the list."""
+    before, keep = set(_WRITTEN), []
+    yield keep
+    there = {_PATHS[df] for df in keep}
+    if keep:
+        drop_tables(keep[0].sparkSession, [p for p in _WRITTEN if p not in before and p not in there])
 
 
 def words(text: Column) -> Column:
