@@ -67,11 +67,14 @@ class LanguageModel:
 def train_language_model(docs: DataFrame, most_rows: int = 1500, smooth: float = 0.5, text_col: str = "text", lang_col: str = "lang", most_languages: int = 200) -> LanguageModel:
     """Trigram frequencies of about ``most_rows`` rows of each declared language, chosen by a hash of the text.
 
-    The bound is a parameter, so what comes to the driver (a bucket count per language) doesn't
-    grow with the corpus. The ``most_languages`` commonest languages are learned. Null texts and languages take no part.
+    Declarations are read as in ``identify_language``: letters up to the first other character, in lower case, so ``en-US`` and ``EN`` are one.
+    The bounds are parameters, so what comes to the driver (a bucket count per language) doesn't
+    grow with the corpus. There are fewer languages with a code of two letters than ``most_languages``; if there are more declarations than
+    that, the commonest are learned, and texts in others are in the class ``OTHER``. Null texts and languages take no part; equal texts are chosen
+    together, and count as often as they come. An empty table gives a model of one language, ``und``.
     """
     small_batches(docs.sparkSession)
-    usable = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    usable = docs.select(F.col(text_col).alias("text"), _code(F.col(lang_col)).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     there = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     languages = sorted(there)
     if not languages:
@@ -123,10 +126,10 @@ def identify_language(
     log posterior = text + declared language + address suffix + host prior.
     Text: mean log likelihood of the trigrams times at most ``sharpness``, so that a long
     text isn't trusted without bound. A declared language is right with
-    ``trust_declared``, and so is a suffix that names a language. The prior of a host is its
-    share of each language by text, smoothed by ``suffix_rows`` rows of its suffix's shares, and these
-    by the shares of all: grouped aggregates of one vote per row. Values that are no
-    known language (regions cut off, case ignored) are no evidence. The priors are broadcast up to
+    ``trust_declared``, and so is a suffix that names a language. The prior of a row is its host's
+    share of each language by text, smoothed by ``host_rows`` rows of its suffix's shares, and these by ``suffix_rows`` rows
+    of the shares of all: grouped aggregates of one vote per row, of which the row's own is taken back, so no text counts twice. Values that are no
+    known language (regions cut off, case ignored) are no evidence. The votes are broadcast up to
     ``broadcast_hosts`` hosts, so texts aren't shuffled; beyond, they are joined by a shuffle.
 
     A text in none of the model's languages is in the class ``OTHER``. The evidence for it is how far the text's trigrams, each in the
@@ -135,7 +138,8 @@ def identify_language(
 
     A row is kept if its best class is a language, with a posterior of at least ``least``, and its text has letters. Null or
     letterless texts have no text evidence and aren't kept; without any evidence at all lang is the commonest language. Null hosts and suffixes are
-    groups of their own. A column named ``language`` in ``docs`` stays, and the result gets underscores before its name.
+    groups of their own. Repeated rows are a row and a vote each; ties between languages go to the later in code-point order; long texts are read whole. An empty
+    table gives no rows. A column named ``language`` in ``docs`` stays, and the result gets underscores before its name.
     """
     languages, n = model.languages, len(model.languages)
     floor = model.foreign(foreign_share)
@@ -164,7 +168,7 @@ def identify_language(
         F.lower(host if host is not None else null).alias("host"),
     ]
     votes = docs.select(*evidence_of).select("suffix", "host", F.col("seen.top").alias("top")).where(F.col("top").between(0, n - 1)).groupBy("suffix", "host", "top").agg(F.count("*").alias("n"))
-    priors = materialize(_host_priors(votes, n, host_rows, suffix_rows), "host-priors")
+    priors = materialize(_host_votes(votes, n), "host-votes")
     if priors.count() <= broadcast_hosts:
         priors = F.broadcast(priors)
 
@@ -172,9 +176,18 @@ def identify_language(
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"), *evidence_of).select("own", "declared", "suffix", "host", "seen.*")
     rows = rows.alias("d").join(priors.alias("p"), F.col("d.suffix").eqNullSafe(F.col("p.suffix")) & F.col("d.host").eqNullSafe(F.col("p.host")), "left")
     by_suffix = _known(F.col("d.suffix"), languages)
+    voted = F.when(F.col("top").between(0, n - 1), 1.0).otherwise(0.0)
+
+    def log_prior(k: int) -> Column:
+        own = F.when(F.col("top") == k, 1.0).otherwise(0.0)
+        at = lambda counts, less: (F.get(counts, F.lit(k)) - own, F.get(counts, F.lit(n)) - less)  # noqa: E731  count and total
+        (host_n, host_all), (suffix_n, suffix_all) = at("host_votes", voted), at("suffix_votes", voted)
+        by_suffix_rows = (suffix_n + suffix_rows * F.get("all_shares", F.lit(k))) / (suffix_all + suffix_rows)
+        return F.coalesce(F.log((host_n + host_rows * by_suffix_rows) / (host_all + host_rows)), F.lit(-float(np.log(n))))
+
     terms = []
     for k, name in enumerate([*languages, OTHER]):
-        prior = F.lit(float(np.log(other_prior))) if k == n else F.coalesce(F.get("log_prior", F.lit(k)), F.lit(-float(np.log(n))))
+        prior = F.lit(float(np.log(other_prior))) if k == n else log_prior(k)
         evidence = F.get("text_part", F.lit(k)) + prior
         for said, trust in ((F.col("declared"), trust_declared), (by_suffix, trust_suffix)):
             other = (1 - trust) / max(1, n - 1)
@@ -188,20 +201,21 @@ def identify_language(
     return judged.select(*[F.col("own").getField(c).alias(c) for c in keep], result.alias(free_name(docs, "language")))
 
 
+def _code(value: Column) -> Column:
+    """The language of a declaration: its first letters, in lower case; null if it has none."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(value.cast("string"), F.lit("")), "^([A-Za-z]+)", 1)), F.lit(""))
+
+
 def _known(value: Column, languages: list[str]) -> Column:
-    base = F.lower(F.regexp_extract(F.coalesce(value.cast("string"), F.lit("")), "^([A-Za-z]+)", 1))
-    return F.when(base.isin(*languages), base)
+    return F.when(_code(value).isin(*languages), _code(value))
 
 
-def _host_priors(votes: DataFrame, n: int, host_rows: float, suffix_rows: float) -> DataFrame:
-    """(suffix, host, log_prior) of vote counts (suffix, host, top, n); a host has as many rows as it has languages at most."""
+def _host_votes(votes: DataFrame, n: int) -> DataFrame:
+    """(suffix, host, host_votes, suffix_votes, all_shares) of vote counts (suffix, host, top, n): votes by language with their total last, shares by language."""
     count = lambda k: F.sum(F.when(F.col("top") == k, F.col("n")).otherwise(0)).cast("double")
-    hosts = votes.groupBy("suffix", "host").agg(F.array(*map(count, range(n))).alias("counts"))
-    add = lambda c: F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(n)))
-    share = lambda counts, weight, prior: F.transform(counts, lambda x, k: (x + weight * F.get(prior, k)) / (F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + weight))
-    suffixes = hosts.groupBy("suffix").agg(add("counts").alias("suffix_counts"))
-    everything = suffixes.agg(add("suffix_counts").alias("all_counts"))
-    uniform = F.array(*([F.lit(1.0 / n)] * n))
-    suffixes = suffixes.join(F.broadcast(everything)).select("suffix", share(F.col("suffix_counts"), F.lit(suffix_rows), share(F.col("all_counts"), F.lit(1.0), uniform)).alias("suffix_share"))
-    joined = hosts.alias("h").join(suffixes.alias("s"), F.col("h.suffix").eqNullSafe(F.col("s.suffix")))
-    return joined.select("h.suffix", "h.host", F.transform(share(F.col("counts"), F.lit(host_rows), F.col("suffix_share")), lambda x: F.log(x)).alias("log_prior"))
+    hosts = votes.groupBy("suffix", "host").agg(F.array(*map(count, range(n)), F.sum("n").cast("double")).alias("host_votes"))
+    add = lambda c: F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(n + 1)))
+    suffixes = hosts.groupBy("suffix").agg(add("host_votes").alias("suffix_votes"))
+    everything = suffixes.agg(add("suffix_votes").alias("v")).select(F.array(*((F.get("v", F.lit(k)) + 1 / n) / (F.get("v", F.lit(n)) + 1) for k in range(n))).alias("all_shares"))
+    joined = hosts.alias("h").join(suffixes.alias("s"), F.col("h.suffix").eqNullSafe(F.col("s.suffix"))).join(F.broadcast(everything))
+    return joined.select("h.suffix", "h.host", "host_votes", "suffix_votes", "all_shares")
