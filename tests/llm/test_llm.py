@@ -70,7 +70,8 @@ def test_jaccard_components(docs, n, p):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
     expected = sorted((str(r[0]), len(s), str(least.get(find(i)) if s else r[0])) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
-    for options in ({}, {"group_rows": 4, "task_shingles": 120, "broadcast_rows": 0}):  # the second cuts all groups into blocks
+    # the second settles groups by representatives and cuts the rest into blocks
+    for options in ({}, {"group_rows": 4, "task_shingles": 120, "broadcast_rows": 0, "hot_rows": 1}):
         found = jaccard.jaccard_components(docs, n, (p, 100), **options).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == expected
 
@@ -98,6 +99,28 @@ def test_sketches_bound_the_symmetric_difference():
         assert np.searchsorted(edges, m, side="right") - np.searchsorted(edges, n, side="right") <= 1
 
 
+@pytest.mark.parametrize("p", [90, 80, 60])
+def test_unrelated_sets_share_few_keys(p):
+    rng = np.random.default_rng(p)
+    edges = jaccard.band_edges(5000, p, 100)
+    starts = np.array(edges)
+    unique = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+
+    def keys(a):
+        band = int(np.searchsorted(starts, len(a), side="right")) - 1
+        return np.concatenate([jaccard.part_keys(a, s, edges, p, 100) for s in (band - 1, band) if s >= 0])
+
+    for low, high in ((10, 30), (150, 200), (900, 1000)):
+        sets = [unique(n) for n in rng.integers(low, high, 3000)]
+        _, counts = np.unique(np.concatenate([np.unique(keys(a)) for a in sets]), return_counts=True)
+        assert (counts > 1).sum() <= 30 and counts.max() <= 40  # against 3000 sets; pairs don't grow with the square
+    for _ in range(400):  # similar sets share a key, few tokens or many
+        a = unique(int(rng.choice([1, 2, 3, 4, 6, 9, 30, 200])))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.9, 0.8, 1.0])], unique(int(rng.integers(0, 1 + len(a) // 3)))]))
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= p * len(np.union1d(a, b)) and not np.array_equal(a, b):
+            assert len(np.intersect1d(keys(a), keys(b)))
+
+
 def shingles_parity(a):
     return jaccard.parity(a, 1024)
 
@@ -271,6 +294,59 @@ def test_language(spark, none):
     assert language.train_language_model(none).languages == ["und"]
 
 
+def test_language_posterior_by_hand(spark):
+    """The posterior of every row against the same sum worked out row by row."""
+    rng = random.Random(9)
+    words = {"en": ["the", "thing", "with", "and"], "de": ["der", "ung", "nicht", "keit"], "fr": ["les", "eaux", "que"]}
+    pick = lambda lang, k: " ".join(rng.choices(words[lang], k=k))
+    rows = [(k, pick(lang, rng.randint(1, 4)) + (" " + pick("de", 1) if k % 5 == 0 else ""), rng.choice([lang, "EN-us", "de", None, "xx"]), rng.choice(["fr", "com", None]), f"h{k % 4}" if k % 7 else None) for k in range(150) for lang in [rng.choice(list(words))]]
+    table = spark.createDataFrame(rows, "id long, text string, said string, suffix string, host string")
+    model = language.train_language_model(table.withColumn("lang", F.substring("said", 1, 2)).where("lang IS NOT NULL AND lang != 'xx'"))
+    assert model.languages == ["de", "en", "fr"]
+    n, names = 3, [*model.languages, language.OTHER]
+    means, counts = model.mean_log_likelihood(pa.array([r[1] for r in rows]))
+    most = language.LanguageModel(["x"], model.log_p.max(axis=1, keepdims=True)).mean_log_likelihood(pa.array([r[1] for r in rows]))[0][:, 0]
+    floor = model.foreign(0.6)
+    top = [int(m.argmax()) if f <= 0 else n for m, f in zip(means, floor[means.argmax(axis=1)] - most, strict=True)]
+    out = {r.id: r.language for r in language.identify_language(table, model, F.col("text"), F.col("said"), F.col("suffix"), F.col("host")).collect()}
+    votes = [(r[3], r[4], t) for r, t in zip(rows, top, strict=True) if t < n]
+    share_all = [(sum(v[2] == k for v in votes) + 1 / n) / (len(votes) + 1) for k in range(n)]
+    for r, mean, count, t in zip(rows, means, counts, top, strict=True):
+        others = list(votes)
+        if t < n:
+            others.remove((r[3], r[4], t))
+        of_suffix, of_host = [v[2] for v in others if v[0] == r[3]], [v[2] for v in others if v[:2] == (r[3], r[4])]
+        evidence = []
+        for k in range(n + 1):
+            e = min(count, 60.0) * ((mean[k] - mean.max()) if k < n else (floor[mean.argmax()] - most[r[0]]))
+            e += np.log((of_host.count(k) + 20 * (of_suffix.count(k) + 20 * share_all[k]) / (len(of_suffix) + 20)) / (len(of_host) + 20)) if k < n else np.log(0.01)
+            said = {"en-us": "en"}.get((r[2] or "").lower(), r[2])
+            for value, trust in ((said, 0.9), (r[3], 0.8)):
+                if value in model.languages:
+                    e += np.log(trust if value == names[k] else (1 - trust) / 2)
+            evidence.append(e)
+        weights = np.exp(np.array(evidence) - max(evidence))
+        assert out[r[0]].lang == names[int(np.argmax(evidence))] and out[r[0]].posterior == pytest.approx(1 / weights.sum(), rel=1e-9)
+
+
+def test_bradley_terry_fit_and_threshold():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 3))
+    labels = (x @ [1.5, -1.0, 0.0] + rng.normal(size=120) > 0.3).astype(int)
+    model = quality_model.fit_bradley_terry(x, labels, pairs=2000, ridge=0.01)
+    z = (x - model.mean) / model.scale
+    drawn = np.random.default_rng(0)
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    d = z[drawn.choice(good, 2000)] - z[drawn.choice(bad, 2000)]
+    w = np.zeros(3)
+    for _ in range(4000):  # plain descent of the logistic loss on differences
+        w -= 0.5 * (0.01 * w - d.T @ (1 / (1 + np.exp(d @ w))) / 2000)
+    assert np.allclose(w, model.weights, atol=1e-6)
+    balance = lambda t: ((z @ w >= t) & (labels == 1)).sum() / len(good) + ((z @ w < t) & (labels == 0)).sum() / len(bad)
+    assert balance(model.threshold) == pytest.approx(max(balance(t) for t in z @ w), abs=1e-12)
+    assert ((model.score(x) >= 0.5) == (z @ model.weights >= model.threshold)).all()
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/en/1", "https://X.Example.COM/en/77?q", "//no", None, "ftp://example.com", "http://notcom/en/", "http://com/en/#f", "a://b.net/de/80", "a://example.net/de/8", "http://h?x=://y", "x://s.org/es"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)] + [(0, urls[0], "x")], "page_id long, url string, host string")
