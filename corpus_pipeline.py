@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialize, table
+from docgraph.llm.common import drop, kept_only, materialize, table
 from docgraph.llm.jaccard import keep_one_of_each
 from docgraph.llm.language import identify_language, train_language_model
 from docgraph.llm.mixing import mixed_rows
@@ -52,8 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result written and read again."""
+    """All stages over ``documents``, each stage's result written and read again; what a stage has written besides is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with kept_only() as keep:
+            kept = materialize(stage(spark, docs, sf_dir), name)
+            keep.append(kept)
+        drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
