@@ -50,7 +50,7 @@ def vector_ids(s, d):
 
 
 def query_rows(s, d, salt=0):
-    return table(s, d, "embeddings").where(F.col("vec_id") % 50 == salt).select(F.col("vec_id").alias("query_id"), F.col("label").alias("doc_id"), F.col("embedding").alias("vec"))
+    return table(s, d, "embeddings").where(F.col("vec_id") % 20 == salt).select(F.col("vec_id").alias("query_id"), F.col("label").alias("doc_id"), F.col("embedding").alias("vec"))
 
 
 def rounded(df, *columns):
@@ -91,8 +91,8 @@ S.CTES |= {
     "vadj": """SELECT doc_id, chunk_id, neighbour, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY side, neighbour)::INT AS place FROM (
         SELECT doc_id, t AS chunk_id, s AS neighbour, 0 AS side FROM vfollow UNION ALL SELECT doc_id, s, t, 1 FROM vfollow) QUALIFY place <= 2""",
     "vsteps": "SELECT doc_id, chunk_id, neighbour FROM vadj UNION SELECT doc_id, chunk_id, neighbour FROM vsim2 UNION SELECT a.doc_id, a.chunk_index, b.chunk_index FROM vc a JOIN vc b ON a.doc_id = b.doc_id AND a.chunk_index // 5 = b.chunk_index // 5 AND a.chunk_index != b.chunk_index",
-    "q": "SELECT vec_id AS query_id, label AS doc_id, embedding AS vec FROM embeddings WHERE vec_id % 50 = 0",
-    "q2": "SELECT vec_id - 1 AS query_id, label AS doc_id, embedding AS vec FROM embeddings WHERE vec_id % 50 = 1",
+    "q": "SELECT vec_id AS query_id, label AS doc_id, embedding AS vec FROM embeddings WHERE vec_id % 20 = 0",
+    "q2": "SELECT vec_id - 1 AS query_id, label AS doc_id, embedding AS vec FROM embeddings WHERE vec_id % 20 = 1",
     "qd": "SELECT query_id, q.doc_id, chunk_index AS id, list_sum(list_transform(list_zip(q.vec, vc.vec), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance FROM q JOIN vc ON vc.doc_id = q.doc_id",
     "qrank": "SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank FROM qd",
     "q2d": "SELECT query_id, q2.doc_id, chunk_index AS id, list_sum(list_transform(list_zip(q2.vec, vc.vec), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance FROM q2 JOIN vc ON vc.doc_id = q2.doc_id",
