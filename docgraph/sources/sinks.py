@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: Order in which edges come to a graph: of those between the same two nodes, the last one stays.
+RELATIONS = ("contains_section", "contains", "belongs_to", "on_page", "follows", "similar_to")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -23,9 +27,14 @@ def bucketed(df: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> Data
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def write_by_document(df: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS) -> None:
-    """Overwrite the buckets that ``df`` has rows of; other buckets stay. ``df`` holds all rows of its buckets."""
-    bucketed(df, key, buckets).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def write_by_document(df: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS, files: int = 1) -> None:
+    """Overwrite the buckets that ``df`` has rows of; other buckets stay. ``df`` holds all rows of its buckets.
+
+    A bucket is written by up to ``files`` tasks, a document by one of them. Take more of both for larger tables; the number of buckets is
+    the table's, so it must be the same in each write.
+    """
+    part = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(files))
+    bucketed(df, key, buckets).repartition("bucket", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def replace_documents(new: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS) -> None:
@@ -55,10 +64,18 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     write_by_document(vectors, path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Two tables; of equal (source, target) the last relation stays, as a graph has one edge there."""
+def last_edges(edges: DataFrame, relations: tuple[str, ...] = RELATIONS) -> DataFrame:
+    """One edge of each (doc_id, source, target): that of the last relation in ``relations`` (unknown ones first), then the highest similarity."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, relations)), F.col("relation")), F.lit(0))
+    rest = [c for c in edges.columns if c not in ("doc_id", "source", "target")]
+    best = F.max_by(F.struct(*rest), F.struct(rank.alias("rank"), F.col("similarity"), F.col("relation"))).alias("e")
+    return edges.groupBy("doc_id", "source", "target").agg(best).select("doc_id", "source", "target", *[F.col(f"e.{c}").alias(c) for c in rest]).select(*edges.columns)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, relations: tuple[str, ...] = RELATIONS) -> None:
+    """Two tables; of equal (source, target) the last relation stays (``last_edges``), as a graph has one edge there."""
     write_by_document(nodes, f"{path}/nodes")
-    write_by_document(edges.dropDuplicates(["doc_id", "source", "target"]), f"{path}/edges")
+    write_by_document(last_edges(edges, relations), f"{path}/edges")
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -67,9 +84,10 @@ def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     pack(nodes, "nodes").join(pack(edges, "edges"), "doc_id", "left").write.mode("overwrite").json(path)
 
 
-def append_usage(events: DataFrame, path: str) -> None:
-    """Append to a log that is partitioned by day."""
-    events.withColumn("date", F.to_date("ts")).repartition("date").write.mode("append").partitionBy("date").parquet(path)
+def append_usage(events: DataFrame, path: str, files: int = 8) -> None:
+    """Append to a log that is partitioned by day; a day is written by up to ``files`` tasks, dealt by a hash of the whole event."""
+    dated = events.withColumn("date", F.to_date("ts"))
+    dated.repartition("date", F.pmod(F.xxhash64(*events.columns), F.lit(files))).write.mode("append").partitionBy("date").parquet(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

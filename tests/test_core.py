@@ -232,6 +232,27 @@ def test_provenance_of_both_passes(spark):
     assert (counts[0].total_chunks_used, counts[0].second_seed_chunks, counts[0].second_expanded_chunks, counts[0].second_retrieval_chunks, counts[9].page_summary_chunks) == (6, 1, 1, 1, 2)
 
 
+def test_graph_usage_and_report_sinks(spark, tmp_path):
+    edges = spark.createDataFrame(
+        [(1, "chunk:0", "chunk:1", "similar_to", 0.8), (1, "chunk:0", "chunk:1", "follows", None), (1, "chunk:0", "chunk:1", "similar_to", 0.9), (1, "page:1", "chunk:0", "on_page", None), (2, "page:1", "chunk:0", "on_page", None)],
+        "doc_id long, source string, target string, relation string, similarity double",
+    )
+    nodes = spark.createDataFrame([(1, "chunk:0", "chunk"), (1, "chunk:1", "chunk"), (2, "chunk:0", "chunk")], "doc_id long, id string, type string")
+    sinks.write_graph(nodes, edges, f"{tmp_path}/graph")
+    stored = spark.read.parquet(f"{tmp_path}/graph/edges")
+    assert {(r.doc_id, r.source, r.target, r.relation, r.similarity) for r in stored.collect()} == {(1, "chunk:0", "chunk:1", "similar_to", 0.9), (1, "page:1", "chunk:0", "on_page", None), (2, "page:1", "chunk:0", "on_page", None)}
+    assert spark.read.parquet(f"{tmp_path}/graph/nodes").count() == 3
+    sinks.write_vectors(spark.createDataFrame([("a", 0, [1.0]), ("b", 0, [2.0])], "doc_id string, chunk_index int, embedding array<double>"), f"{tmp_path}/vectors")
+    assert {(r.doc_id, r.embedding[0]) for r in spark.read.parquet(f"{tmp_path}/vectors").collect()} == {("a", 1.0), ("b", 2.0)}
+    events = spark.createDataFrame([(k, f"2026-01-0{1 + k % 2} 10:00:00") for k in range(40)], "event_id long, t string").selectExpr("event_id", "timestamp(t) AS ts")
+    for _ in range(2):  # an append keeps what is there
+        sinks.append_usage(events, f"{tmp_path}/usage")
+    log = spark.read.parquet(f"{tmp_path}/usage")
+    assert log.count() == 80 and {str(r.date) for r in log.select("date").distinct().collect()} == {"2026-01-01", "2026-01-02"}
+    sinks.write_reports(nodes, f"{tmp_path}/reports")
+    assert spark.read.json(f"{tmp_path}/reports").count() == 3
+
+
 def test_flow(spark):
     text = "# Energy\nSolar panels convert sunlight into power.\n## Storage\nBatteries store power overnight.\n" + f"{PB}\n# Wind\nTurbines need steady wind."
     corpus = flows.build(flows.ingest(md(spark, text)), similar=True, width=16)
