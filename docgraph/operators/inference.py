@@ -254,15 +254,44 @@ def follow_up_questions(responses: DataFrame, most: int = 7) -> DataFrame:
 
 
 def extraction_context(chunks: DataFrame, most_chunks: int = 30, most_each: int = 800, most: int = 12_000) -> DataFrame:
-    """doc_id, context: a document's first chunks, cut, with rules between."""
+    """doc_id, context: a document's first chunks, cut, with rules between; a context that is cut ends with a mark."""
     first = chunks.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))).where(F.col("k") <= most_chunks)
-    return first.groupBy("doc_id").agg(F.substring(_ordered_join("k", F.substring("content", 1, most_each), "\n\n---\n\n"), 1, most).alias("context"))
+    joined = first.groupBy("doc_id").agg(_ordered_join("k", F.substring("content", 1, most_each), "\n\n---\n\n").alias("context"))
+    return joined.withColumn("context", F.when(F.length("context") > most, F.concat(F.substring("context", 1, most), F.lit(CUT_MARK))).otherwise(F.col("context")))
 
 
-def parse_list(response: Column, most: int = 50) -> Column:
-    """A JSON array of strings, else the lines that aren't blank."""
-    lines = F.filter(F.transform(F.split(response, "\n", -1), lambda x: strip(F.regexp_replace(strip(x), r"^[-*]\s*", ""))), lambda x: x != "")
-    return F.slice(F.coalesce(F.from_json(F.nullif(json_array(response), F.lit("")), "array<string>"), lines), 1, most)
+#: The kinds of facts to extract, and the mark of a context that was cut.
+EXTRACTION_KINDS = ["key_facts", "entities", "dates", "obligations"]
+CUT_MARK = "\n...[truncated]"
+
+#: What each kind asks for.
+EXTRACTION_TASKS = {
+    "key_facts": "Which facts, points and conclusions matter most?",
+    "entities": "Which people, organizations, products and places are named?",
+    "dates": "Which dates, deadlines and periods are stated?",
+    "obligations": "What must be done, and what is promised?",
+}
+
+
+def extraction_prompts(contexts: DataFrame, kinds: list[str] = EXTRACTION_KINDS) -> DataFrame:
+    """(doc_id, context) -> doc_id, kind, prompt: one for each kind; a kind that isn't known asks for key facts."""
+    task = F.create_map(*[F.lit(x) for pair in EXTRACTION_TASKS.items() for x in pair])
+    each = contexts.select("doc_id", "context", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    asked = F.coalesce(F.try_element_at(task, F.col("kind")), F.lit(EXTRACTION_TASKS["key_facts"]))
+    return each.select("doc_id", "kind", F.concat(F.lit("Parts of a document:\n\n"), "context", F.lit("\n\n"), asked, F.lit("\nAnswer with a JSON array of strings alone.")).alias("prompt"))
+
+
+def extracted(responses: DataFrame) -> DataFrame:
+    """(doc_id, kind, response) -> doc_id, kind, items; a call that failed (null) has no items."""
+    return responses.select("doc_id", "kind", F.coalesce(parse_list(F.col("response")), F.array().cast("array<string>")).alias("items"))
+
+
+def parse_list(response: Column, most_lines: int = 50) -> Column:
+    """The strings of a JSON array that aren't empty, none of a broken one; without an array up to 50 lines that aren't blank."""
+    listed = json_array(response)
+    lines = F.slice(F.filter(F.transform(F.split(response, "\n", -1), strip), lambda x: x != ""), 1, most_lines)
+    items = F.filter(F.coalesce(F.from_json(listed, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    return F.when(listed != "", items).otherwise(lines)
 
 
 def history_text(messages: DataFrame, last: int = 5, most: int = 600) -> DataFrame:

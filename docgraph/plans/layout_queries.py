@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
@@ -38,8 +40,8 @@ register("l02_line_pages", paged, "SELECT * FROM paged")
 register("l03_page_spans", lambda s, d: L.page_spans(paged(s, d)), f"SELECT doc_id, page_number, min(line_no) - 1 AS start_line, max(line_no) - 1 AS end_line FROM paged GROUP BY ALL HAVING bool_or(NOT contains(text, '{PB}'))")
 register("l04_page_counts", lambda s, d: L.page_counts(markdown(s, d)), f"SELECT doc_id, (count(*) FILTER (WHERE contains(text, '{PB}')) + 1)::INT AS total_pages FROM lines GROUP BY doc_id")
 register(
-    "l05_approximate_pages", lambda s, d: L.approximate_pages(markdown(s, d), 20),
-    "SELECT doc_id, ((line_no - 1) // 20 + 1)::INT AS page_number, min(line_no) - 1 AS start_line, max(line_no) - 1 AS end_line, (max(n) // 20 + 1)::INT AS total_pages FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM lines) GROUP BY 1, 2",
+    "l05_approximate_pages", lambda s, d: L.approximate_pages(markdown(s, d)),
+    "SELECT doc_id, ((line_no - 1) // 50 + 1)::INT AS page_number, min(line_no) - 1 AS start_line, max(line_no) - 1 AS end_line, (max(n) // 50 + 1)::INT AS total_pages FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM lines) GROUP BY 1, 2",
 )
 register("l06_join_fragments", lambda s, d: L.join_pages(L.join_fragments(paged(s, d).select("doc_id", "page_number", F.col("line_no").alias("seq"), "text"))),
          f"SELECT doc_id, string_agg(t, chr(10) || '{PB}' || chr(10) ORDER BY page_number) AS markdown FROM (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_no) AS t FROM paged GROUP BY 1, 2) GROUP BY 1")
@@ -90,4 +92,13 @@ register("c16_stored_heading", lambda s, d: chunks(s, d).select("doc_id", "chunk
          "SELECT doc_id, chunk_index, CASE WHEN chunk_index % 2 = 0 THEN heading ELSE section_title END AS heading, (start_line + length(content) - length(replace(content, chr(10), '')))::INT AS end_line FROM chunks")
 register("c17_chunk_statistics", lambda s, d: C.chunk_statistics(table(s, d, "documents").select("doc_id", F.col("text").alias("content"))),
          f"SELECT doc_id, count(*) AS total_chunks, count(*) FILTER (WHERE length(text) > 1000) AS truncated_chunks, sum(floor(length({CUT}) / 1.5))::BIGINT AS embedding_tokens, sum(floor(length(text) / 1.5))::BIGINT AS llm_tokens FROM documents GROUP BY 1")
-register("c18_pack_paragraphs", lambda s, d: C.pack_paragraphs(table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("markdown"))))
+register("c18_pack_paragraphs", lambda s, d: C.pack_paragraphs(table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("markdown"))),
+         """WITH RECURSIVE para AS (SELECT doc_id, u.k, u.x || chr(10) || chr(10) AS p FROM documents, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) WITH ORDINALITY AS u(x, k) WHERE text != ''),
+         walk AS (SELECT doc_id, k, 0 AS piece, length(p) AS n FROM para WHERE k = 1
+                  UNION ALL SELECT b.doc_id, b.k, CASE WHEN a.n + length(b.p) <= 400 THEN a.piece ELSE a.piece + 1 END, CASE WHEN a.n + length(b.p) <= 400 THEN a.n + length(b.p) ELSE length(b.p) END FROM walk a JOIN para b ON b.doc_id = a.doc_id AND b.k = a.k + 1)
+         SELECT doc_id, piece::INT AS piece, string_agg(p, '' ORDER BY k) AS text FROM walk JOIN para USING (doc_id, k) GROUP BY 1, 2""")
+TOKENS = re.compile(r"\s*\S+|\s+$", re.ASCII).findall  # in place of a tokenizer, for SQL: words with the blanks before them
+register("c12_tokens_by_tokenizer", lambda s, d: table(s, d, "documents").select("doc_id", T.tokens_by(TOKENS)(F.col("text")).alias("tokens")), r"SELECT doc_id, floor(len(regexp_extract_all(text, '\s*\S+|\s+$')) * 1.3::DOUBLE)::BIGINT AS tokens FROM documents")
+register("c14_fit_by_tokenizer", lambda s, d: table(s, d, "documents").select("doc_id", C.fit_tokens_by(TOKENS, "".join)(F.col("text"), 200).alias("text")),
+         rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+|\s+$') AS ids FROM documents), h AS (SELECT doc_id, text, len(ids) AS n, array_to_string(ids[1:190], '') AS head FROM t)
+         SELECT doc_id, CASE WHEN n <= 200 THEN text ELSE {S.cut_at_sentence('head', 2**30)} END AS text FROM h""")
