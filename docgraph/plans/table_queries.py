@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from docgraph.operators import catalog as K
 from docgraph.operators import inference as P
+from docgraph.operators import layout as L
 from docgraph.operators import usage as U
 from docgraph.functions import text as T
 from docgraph.plans import sql as S
 from docgraph.plans.adapters import markdown, table
-from docgraph.plans.graph_queries import D_pages, used, query_rows, vectors, labelled
+from docgraph.plans.graph_queries import D_pages, chunks, used, query_rows, vectors, labelled
+from docgraph.sources import readers
 from docgraph.sources.sinks import shared_dir
 from docgraph.streaming import streams as Z
 
@@ -42,7 +44,7 @@ S.CTES |= {
         (floor(value)::BIGINT // 2) AS output_tokens, floor(value)::BIGINT * 3 AS embedding_tokens, value, event_type, CASE WHEN event_id % 7 != 0 THEN round(value / 1000, 6) END AS cost_estimate_usd FROM events""",
     "msgs": "SELECT conv_id AS session_id, turn AS id, role, text AS content FROM conversations",
     "sess": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderkey % 500 AS document_id, o_orderstatus = 'F' AS is_archived, o_orderdate AS updated_at FROM orders",
-    "replies": """SELECT conv_id, turn, text, 'SUMMARY: ' || left(text, 80) || chr(10) || 'KEY_POINTS:' || chr(10) || '- ' || left(text, 20) || chr(10) || '* ' || right(text, 20) || chr(10) || 'CLASS: ' || CASE WHEN turn % 2 = 0 THEN 'page_summary' ELSE 'USE_HISTORY' END || chr(10) || 'PAGE_NUMBER: p ' || turn AS response FROM conversations""",
+    "replies": """SELECT conv_id, turn, text, 'SUMMARY: ' || text || chr(10) || 'KEY_POINTS:' || chr(10) || '- ' || text || chr(10) || '* ' || text || chr(10) || 'CLASS: ' || CASE WHEN turn % 2 = 0 THEN 'page_summary' ELSE 'USE_HISTORY' END || chr(10) || 'PAGE_NUMBER: p ' || turn AS response FROM conversations""",
 }
 
 
@@ -50,10 +52,19 @@ def replies(s, d):
     """conversations as model responses with the marks that parsers look for."""
     n = F.lit("\n")
     t = F.col("text")
-    made = F.concat(F.lit("SUMMARY: "), F.substring(t, 1, 80), n, F.lit("KEY_POINTS:"), n, F.lit("- "), F.substring(t, 1, 20), n, F.lit("* "), F.when(F.length(t) > 20, F.substring(t, -20, 20)).otherwise(t), n, F.lit("CLASS: "), F.when(F.col("turn") % 2 == 0, "page_summary").otherwise("USE_HISTORY"), n, F.lit("PAGE_NUMBER: p "), F.col("turn").cast("string"))
+    made = F.concat(F.lit("SUMMARY: "), t, n, F.lit("KEY_POINTS:"), n, F.lit("- "), t, n, F.lit("* "), t, n, F.lit("CLASS: "), F.when(F.col("turn") % 2 == 0, "page_summary").otherwise("USE_HISTORY"), n, F.lit("PAGE_NUMBER: p "), F.col("turn").cast("string"))
     return table(s, d, "conversations").select("conv_id", "turn", "text", made.alias("response"))
 
 
+def extraction_replies(s, d):
+    """conversations as replies to the kinds in turn: an array with text around it, lines, a broken array, a failed call."""
+    turn, text = F.col("turn"), F.col("text")
+    array = F.concat(F.lit("Here: "), F.to_json(F.array(text, F.lit(""), F.lit(None), F.lit("b"))), F.lit(" done"))
+    said = F.when(turn % 4 == 0, array).when(turn % 4 == 1, text).when(turn % 4 == 2, F.concat(F.lit("["), text, F.lit('", ]')))
+    kind = F.get(F.array(*map(F.lit, P.EXTRACTION_KINDS)), (turn % 4).cast("int"))
+    return table(s, d, "conversations").select((F.col("conv_id") * 1000 + turn).alias("doc_id"), kind.alias("kind"), said.alias("response"))
+
+
 def messages(s, d):
     return table(s, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"))
 
@@ -72,24 +83,32 @@ def page_summaries(s, d):
 
 
 S.CTES["psum"] = "SELECT page_id // 5 AS doc_id, (page_id % 5 + 1)::INT AS page_number, url AS summary FROM pages"
+S.CTES["excerpts"] = """SELECT doc_id, CASE WHEN length(x) > 12000 THEN left(x, 12000) || chr(10) || '...[truncated]' ELSE x END AS context
+FROM (SELECT doc_id, string_agg(left(content, 800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS x FROM chunks WHERE chunk_index < 30 GROUP BY 1)"""
 by = ("conv_id", "turn")
 register("p01_complete", lambda s, d: P.complete(table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt")), lambda p: str(len(p))).select("conv_id", "turn", "response", "error"), "SELECT conv_id, turn, length(text)::VARCHAR AS response, NULL::VARCHAR AS error FROM conversations")
 register("p02_page_texts", lambda s, d: P.page_texts(D_pages(s, d)), "SELECT doc_id, page_number, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM cpages GROUP BY 1, 2")
-register("p03_page_contents", lambda s, d: P.page_contents(markdown(s, d).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page")), D_pages(s, d).where("page_number % 3 = 1")).select("doc_id", "page", "has_content", "used_adjacent", "chunk_ids"), """
-WITH r AS (SELECT doc_id, u.page FROM md, unnest([1, 2, 3, 4]) AS u(page)),
-f AS (SELECT r.doc_id, page, chunk_index, abs(page_number - page) AS away, min(abs(page_number - page)) OVER (PARTITION BY r.doc_id, page) AS least FROM r JOIN cpages c ON c.doc_id = r.doc_id AND abs(page_number - page) <= 2 AND page_number % 3 = 1)
-SELECT r.doc_id, r.page, count(chunk_index) > 0 AS has_content, bool_or(least > 0) AS used_adjacent, list(chunk_index ORDER BY chunk_index) FILTER (WHERE chunk_index IS NOT NULL) AS chunk_ids FROM r LEFT JOIN f ON f.doc_id = r.doc_id AND f.page = r.page AND away = least GROUP BY 1, 2""")
-register("p04_page_prompts", lambda s, d: P.page_texts(D_pages(s, d)).select("doc_id", "page_number", P.page_prompt(F.col("page_number"), F.col("text"), "Label it.", 300).alias("prompt")),
-         "WITH t AS (SELECT doc_id, page_number, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM cpages GROUP BY 1, 2) SELECT doc_id, page_number, 'Page ' || page_number || ' of a document:' || chr(10) || chr(10) || left(text, 300) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END || chr(10) || chr(10) || 'Label it.' AS prompt FROM t")
+register("p03_page_contents", lambda s, d: P.page_contents(L.page_counts(markdown(s, d)).select("doc_id", F.explode(F.sequence(F.lit(1), F.col("total_pages") + 3)).alias("page")), D_pages(s, d)), f"""
+WITH r AS (SELECT doc_id, unnest(range(1, count(*) FILTER (WHERE contains(text, '{T.PAGE_BREAK}')) + 5))::INT AS page FROM lines GROUP BY doc_id),
+f AS (SELECT r.doc_id, page, chunk_index, page_number, content, section_path, abs(page_number - page) AS away, min(abs(page_number - page)) OVER (PARTITION BY r.doc_id, page) AS least FROM r JOIN cpages c ON c.doc_id = r.doc_id AND abs(page_number - page) <= 2),
+g AS (SELECT * FROM f WHERE away = least),
+sec AS (SELECT doc_id, page, list(section_path ORDER BY k) AS sections FROM (SELECT doc_id, page, section_path, min(chunk_index) AS k FROM g WHERE section_path != '' GROUP BY ALL) GROUP BY 1, 2),
+made AS (SELECT doc_id, page, bool_or(least > 0) AS used_adjacent, list_sort(list(DISTINCT page_number)) AS pages_used, list(chunk_index ORDER BY chunk_index) AS chunk_ids, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM g GROUP BY 1, 2)
+SELECT r.doc_id, r.page, used_adjacent, pages_used, chunk_ids, CASE WHEN text IS NOT NULL THEN coalesce(sections, []) END AS sections, text, text IS NOT NULL AS has_content FROM r LEFT JOIN made USING (doc_id, page) LEFT JOIN sec USING (doc_id, page)""")
+register("p04_page_prompts", lambda s, d: P.page_texts(D_pages(s, d)).select("doc_id", "page_number", P.page_prompt(F.col("page_number"), F.col("text"), "Label it.").alias("prompt")),
+         "WITH t AS (SELECT doc_id, page_number, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM cpages GROUP BY 1, 2) SELECT doc_id, page_number, 'Page ' || page_number || ' of a document:' || chr(10) || chr(10) || left(text, 3000) || CASE WHEN length(text) > 3000 THEN '...' ELSE '' END || chr(10) || chr(10) || 'Label it.' AS prompt FROM t")
 register("p05_clean_label", lambda s, d: table(s, d, "conversations").select(*by, P.clean_label(F.concat(F.lit('"Label: '), "text")).alias("label")),
          rf"""WITH l AS (SELECT conv_id, turn, regexp_replace(regexp_replace({S.strip("string_split('Label: ' || " + S.strip('text') + ", chr(10))[1]")}, '^[:\-"'']+\s*', ''), '\s*[:\-"'']+$', '') AS a FROM (SELECT conv_id, turn, text FROM conversations)),
          m AS (SELECT conv_id, turn, regexp_replace({S.strip("substr(a, 7)")}, '^[:\-"'']+\s*', '') AS b FROM l)
          SELECT conv_id, turn, CASE WHEN length(b) < 2 THEN 'Unknown' WHEN length(b) > 50 THEN left(b, 47) || '...' ELSE b END AS label FROM m""")
-register("p06_parse_summary", lambda s, d: replies(s, d).select(*by, P.parse_summary(F.col("response")).alias("p")).select(*by, "p.summary", F.get("p.key_points", F.lit(0)).alias("first_point")),
-         rf"SELECT conv_id, turn, {S.strip('left(text, 80)')} AS summary, {S.strip('string_split(left(text, 20), chr(10))[1]')} AS first_point FROM replies")
+register("p06_parse_summary", lambda s, d: replies(s, d).select(*by, P.parse_summary(F.col("response")).alias("p")).select(*by, "p.*"),
+         rf"""WITH p AS (SELECT conv_id, turn, {S.strip('text')} AS summary, list_filter(list_transform(string_split(split_part({S.strip('response')}, 'KEY_POINTS:', 2), chr(10)), lambda x: {S.strip('x')}), lambda x: x != '') AS ls FROM replies)
+         SELECT conv_id, turn, CASE WHEN summary = '' THEN '{P.NO_SUMMARY}' ELSE summary END AS summary, list_filter(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^[-*]') THEN {S.strip("regexp_replace(x, '^[-* ]+', '')")} ELSE x END), lambda x: x != '')[1:5] AS key_points FROM p""")
 register("p07_one_sentence", lambda s, d: table(s, d, "conversations").select(*by, P.one_sentence(F.col("text")).alias("sentence")))
-register("p08_extractive", lambda s, d: table(s, d, "conversations").select(*by, P.extractive_summary(F.col("text")).alias("p")).select(*by, F.size("p.key_points").alias("n_points")),
-         rf"SELECT conv_id, turn, len(list_filter(string_split(text, '. ')[1:5], lambda x: length({S.strip('x')}) > 20))::INT AS n_points FROM conversations")
+register("p08_extractive", lambda s, d: table(s, d, "conversations").select(*by, P.extractive_summary(F.col("text")).alias("p")).select(*by, "p.*"),
+         rf"""WITH x AS (SELECT conv_id, turn, string_split(text, '. ') AS parts, regexp_extract_all(string_split(text, '. ')[1], '\S+') AS many FROM conversations),
+         c AS (SELECT *, CASE WHEN len(many) > 50 THEN regexp_replace(array_to_string(many[1:50], ' '), '[ ,;]+$', '') || '...' ELSE parts[1] END AS cut FROM x)
+         SELECT conv_id, turn, CASE WHEN cut = '' THEN '{P.NO_SUMMARY}' ELSE cut END AS summary, list_transform(list_filter(parts[1:5], lambda x: length({S.strip('x')}) > 20), lambda x: {S.strip('x')} || '.') AS key_points FROM c""")
 
 
 def range_responses(s, d):
@@ -101,7 +120,8 @@ register("p09_range_prompts", lambda s, d: P.range_prompts(page_summaries(s, d))
 register("p09_ranges", lambda s, d: P.ranges_or_pages(P.parse_ranges(range_responses(s, d)), page_summaries(s, d)),
          "SELECT DISTINCT doc_id, 'T' AS title, u.a AS start_page, u.a + 1 AS end_page, 's' || doc_id AS summary FROM psum, unnest([1, 3]) AS u(a) WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'Page ' || page_number, page_number, page_number, summary FROM psum WHERE doc_id % 2 = 1")
 register("p09_range_chunks", lambda s, d: P.range_chunks(P.parse_ranges(range_responses(s, d)), D_pages(s, d)), "SELECT r.doc_id, a AS start_page, a + 1 AS end_page, list_sort(list(DISTINCT chunk_index)) AS chunk_ids FROM (SELECT DISTINCT doc_id, u.a FROM psum, unnest([1, 3]) AS u(a) WHERE doc_id % 2 = 0) r JOIN cpages c ON c.doc_id = r.doc_id AND page_number BETWEEN a AND a + 1 GROUP BY 1, 2")
-register("p10_overviews", lambda s, d: table(s, d, "conversations").select(*by, P.parse_overview(F.concat(F.lit("SUMMARY: "), F.substring("text", 1, 30), F.lit("QUERIES:\n- a\n2. b"))).alias("p")).select(*by, "p.*"), f"SELECT conv_id, turn, {S.strip('left(text, 30)')} AS doc_summary, ['a', 'b'] AS suggested_queries FROM conversations")
+register("p10_overviews", lambda s, d: table(s, d, "conversations").select(*by, P.parse_overview(F.concat(F.lit("SUMMARY: "), "text", F.lit("QUERIES:\n- a\n2. b"))).alias("p")).select(*by, "p.*"), f"SELECT conv_id, turn, {S.strip('text')} AS doc_summary, ['a', 'b'] AS suggested_queries FROM conversations")
+register("p10_overview_prompts", lambda s, d: P.overview_prompts(page_summaries(s, d)), r"SELECT doc_id, 'Page summaries of a document:' || chr(10) || chr(10) || left(string_agg('Page ' || page_number || ': ' || summary, chr(10) ORDER BY page_number), 8000) || chr(10) || chr(10) || 'Write SUMMARY: and QUERIES: (a list).' AS prompt FROM psum GROUP BY 1")
 register("p11_context_prompts", lambda s, d: P.context_prompts(used(s, d).join(query_rows(s, d).select("query_id", "doc_id"), "query_id").withColumn("score", F.lit(0.5)), vectors(s, d).select("doc_id", "chunk_index", F.lit("S").alias("section_path"), F.lit("H").alias("heading"), F.col("chunk_index").cast("string").alias("content"))),
          "SELECT query_id, string_agg('[C' || id || '] S / H (0.500)' || chr(10) || id, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM used WHERE place <= 12 GROUP BY 1")
 register("p12_parse_class", lambda s, d: replies(s, d).select(*by, P.parse_class(F.col("response")).alias("p")).select(*by, "p.*"), "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'PAGE_SUMMARY' ELSE 'USE_HISTORY' END AS class, CASE WHEN turn % 2 = 0 THEN turn::INT END AS page_number FROM conversations")
@@ -109,11 +129,16 @@ register("p13_parse_more", lambda s, d: table(s, d, "conversations").select(*by,
          "SELECT conv_id, turn, turn % 2 = 0 AS needs_more, CASE WHEN turn % 2 = 0 THEN 'what holds in ' || conv_id || CASE WHEN length(conv_id::VARCHAR) + 14 < length('what holds in ' || conv_id || '? because') - 10 THEN '' ELSE '? because' END END AS new_query FROM conversations")
 register("p14_clean_answer", lambda s, d: table(s, d, "conversations").select(*by, P.clean_answer(F.concat("text", F.lit(" (Chunk 3) see  Chunk 4 , , ok . . end\n\n\n\nx "))).alias("answer")),
          r"SELECT conv_id, turn, {} AS answer FROM conversations".format(S.strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' (Chunk 3) see  Chunk 4 , , ok . . end' || chr(10) || chr(10) || chr(10) || chr(10) || 'x ', '\([Cc]hunk\s+\d+\)', '', 'g'), '\[[Cc]hunk\s+\d+\]', '', 'g'), '[Cc]hunk\s+\d+', '', 'g'), '[ \t]+', ' ', 'g'), '\s*,\s*,', ',', 'g'), '\s*\.\s*\.', '.', 'g'), ' +([,.!?;:])', '\1', 'g'), ' +(\n)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")))
-register("p15_follow_ups", lambda s, d: P.follow_up_questions(table(s, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.concat(F.lit("- Why?\n2) why?\n\n* How "), "conv_id", F.lit("?\nWhen?")).alias("response"))),
-         "SELECT conv_id AS query_id, u.k::INT AS place, u.x AS question FROM conversations, unnest(['Why?', 'How ' || conv_id || '?', 'When?']) WITH ORDINALITY AS u(x, k) WHERE turn = 0")
-register("p16_extraction_context", lambda s, d: P.extraction_context(D_pages(s, d), 3, 100), "SELECT doc_id, left(string_agg(left(content, 100), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index), 12000) AS context FROM chunks WHERE chunk_index < 3 GROUP BY 1")
-register("p16_parse_list", lambda s, d: table(s, d, "conversations").select(*by, P.parse_list(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x ["), F.lit('"a", "b"'), F.lit("] y"))).otherwise("- a\n\n b")).alias("items")), "SELECT conv_id, turn, ['a', 'b'] AS items FROM conversations")
-register("p17_history", lambda s, d: P.history_text(messages(s, d), 5, 60), "SELECT session_id, string_agg(role || ': ' || left(content, 60) || CASE WHEN length(content) > 60 THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY id) AS history FROM (SELECT * FROM msgs QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 5) GROUP BY 1")
+register("p15_follow_ups", lambda s, d: P.follow_up_questions(table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("- Why?\n2) why?\n\n* How "), "conv_id", F.lit("?\nWhen?")).alias("response"))),
+         "SELECT conv_id * 1000 + turn AS query_id, u.k::INT AS place, u.x AS question FROM conversations, unnest(['Why?', 'How ' || conv_id || '?', 'When?']) WITH ORDINALITY AS u(x, k)")
+register("p16_extraction_context", lambda s, d: P.extraction_context(chunks(s, d)), "SELECT * FROM excerpts")
+register("p16_extraction_prompts", lambda s, d: P.extraction_prompts(P.extraction_context(chunks(s, d))), f"""
+SELECT doc_id, u.kind, 'Parts of a document:' || chr(10) || chr(10) || context || chr(10) || chr(10) || u.task || chr(10) || 'Answer with a JSON array of strings alone.' AS prompt FROM excerpts, (VALUES {", ".join(f"('{k}', '{t}')" for k, t in P.EXTRACTION_TASKS.items())}) AS u(kind, task)""")
+register("p16_extracted", lambda s, d: P.extracted(extraction_replies(s, d)), rf"""
+SELECT conv_id * 1000 + turn AS doc_id, ['key_facts', 'entities', 'dates', 'obligations'][1 + turn % 4] AS kind,
+       CASE turn % 4 WHEN 0 THEN list_filter([text, 'b'], lambda x: x != '') WHEN 1 THEN list_filter(list_transform(string_split(text, chr(10)), lambda x: {S.strip('x')}), lambda x: x != '')[1:50] ELSE [] END AS items FROM conversations""")
+register("p16_parse_list", lambda s, d: table(s, d, "conversations").select(*by, P.parse_list(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x ["), F.lit('"a", "b"'), F.lit("] y"))).otherwise("- a\n\n b")).alias("items")), "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ['a', 'b'] ELSE ['- a', 'b'] END AS items FROM conversations")
+register("p17_history", lambda s, d: P.history_text(messages(s, d)), "SELECT session_id, string_agg(role || ': ' || left(content, 600) || CASE WHEN length(content) > 600 THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY id) AS history FROM (SELECT * FROM msgs QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 5) GROUP BY 1")
 register("p17_full_history", lambda s, d: P.full_history_text(messages(s, d).withColumn("chunks", F.array(F.struct(F.col("id").cast("int").alias("chunk_index"), F.col("role").alias("content"))))),
          rf"SELECT session_id, 'Previous conversation:' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' || {S.strip('content')} ELSE 'Assistant: ' || {S.strip('content')} || chr(10) || '  [Chunk ' || id || ']: ' || role END, chr(10) ORDER BY id) AS history FROM msgs GROUP BY 1")
 
@@ -167,7 +192,8 @@ register("s07_page_ranges", lambda s, d: K.page_ranges(page_summaries(s, d).sele
          "SELECT doc_id AS document_id, page_number AS start_page, 4 AS end_page, summary, (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, summary))::INT AS place FROM psum WHERE page_number <= 4 AND page_number != 3 AND trim(summary) != ''")
 register("s08_brief_summary", lambda s, d: K.brief_summary(part_of(s, d, 1), table(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("source")).alias("brief")), table(s, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("overview"))),
          "SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 4 != 0 THEN source WHEN doc_id % 3 = 0 THEN lang END AS summary FROM documents")
-register("s10_relational", lambda s, d: table(s, d, "customer").join(records(s, d), F.col("c_custkey") == F.col("user_id")).groupBy("c_custkey").agg(F.count("*").alias("n_documents")), "SELECT c_custkey, count(*) AS n_documents FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+register("s10_relational", lambda s, d: readers.relational(s, d, "customer.parquet"), "SELECT * FROM customer")
+register("s10_owners", lambda s, d: readers.relational(s, d, "customer.parquet").join(readers.relational(s, d, "orders.parquet"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(F.count("*").alias("n_documents")), "SELECT c_custkey, count(*) AS n_documents FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 register("s17_delete", lambda s, d: K.delete_messages(messages(s, d), sessions(s, d), part_of(s, d, 1).where("document_id < 100")).select("session_id", "id"), "SELECT session_id, id FROM msgs WHERE session_id NOT IN (SELECT id FROM sess WHERE document_id IN (SELECT doc_id FROM documents WHERE doc_id < 100))")
 register("s17_delete_documents", lambda s, d: K.delete_documents(records(s, d), table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("document_id"))).drop("created_at"), "SELECT o_custkey AS user_id, o_orderkey AS document_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 register("s18_register", lambda s, d: K.register_documents(records(s, d).where("document_id % 2 = 0"), table(s, d, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("document_id"), F.col("l_shipdate").alias("created_at"))).select("user_id", "document_id"),

@@ -110,7 +110,7 @@ def test_parsing(spark):
     assert tuple(one(P.parse_more, "NEEDS_MORE: yes\nRELATED_QUERY: 'query: where are the batteries stored or kept?'")) == (True, "where are the batteries stored")
     assert tuple(one(P.parse_more, "NEEDS_MORE: YES\nRELATED_QUERY: none")) == (False, None)
     assert one(P.clean_answer, "See (Chunk 3) this ,, and  Chunk 4 .\n\n\n\nEnd . ") == "See this, and.\n\nEnd."
-    assert one(P.parse_list, 'sure: ["a","b"]') == ["a", "b"] and one(P.parse_list, "- a\n\n- b") == ["a", "b"]
+    assert one(P.parse_list, 'sure: ["a","b"]') == ["a", "b"] and one(P.parse_list, "- a\n\n- b") == ["- a", "- b"] and one(P.parse_list, '["a", ') == ["[\"a\","] and one(P.parse_list, '["a" "b"]') == []
 
 
 def test_model_errors_stay_in_their_rows(spark):
