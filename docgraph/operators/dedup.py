@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 from docgraph.functions.text import cosine, normalize_page
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """What is read several times is made once, where there is a checkpoint folder."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def exact_clusters(pages: DataFrame, within: str | None = "doc_id", page: str = "nonblank_page_no") -> DataFrame:
     """Pages of equal normalized text: [doc_id,] page_hash, pages (sorted), score 1.0; ``within=None`` clusters over all documents.
 
@@ -24,8 +30,11 @@ def exact_clusters(pages: DataFrame, within: str | None = "doc_id", page: str =
 
 
 def cluster_members(pages: DataFrame, id_col: str) -> DataFrame:
-    """id, page_hash, representative (least id) and cluster size of every page whose normalized text occurs more than once over the corpus."""
-    hashed = pages.select(id_col, F.md5(normalize_page(F.col("text")).cast("binary")).alias("page_hash"))
+    """id, page_hash, representative (least id) and cluster size of every page whose normalized text occurs more than once over the corpus.
+
+    Texts are hashed once, where there is a checkpoint folder.
+    """
+    hashed = _once(pages.select(id_col, F.md5(normalize_page(F.col("text")).cast("binary")).alias("page_hash")))
     groups = hashed.groupBy("page_hash").agg(F.min(id_col).alias("representative"), F.count("*").alias("n_pages")).where("n_pages > 1")
     return hashed.join(groups, "page_hash")
 
@@ -34,12 +43,14 @@ def near_pairs(pages: DataFrame, vectors: DataFrame, at_least: float = 0.9, page
     """doc_id, first, second, score of page pairs of a document with lengths within a quarter and cosine of at least 0.9.
 
     Pages (doc_id, page, text) and vectors (doc_id, page, vec). Exact pairs are among them; ``reconcile`` removes these.
-    The length condition stands beside the equal document in the join.
+    Lengths within a quarter are in the same band of a logarithmic scale or in the next, so the join is on document and band.
     """
     sized = pages.select("doc_id", page, F.length(normalize_page(F.col("text"))).alias("n")).join(vectors, ["doc_id", page])
-    a, b = sized.alias("a"), sized.alias("b")
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(1.26)).cast("int")  # a little wider than a quarter, for rounding
+    banded = sized.withColumn("band", band)
+    a, b = banded.alias("a"), banded.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("b")
     ratio = F.col("a.n") / F.greatest(F.col("b.n"), F.lit(1))
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col(f"a.{page}") < F.col(f"b.{page}")) & (ratio >= 0.8) & (ratio <= 1.25))
+    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.band") == F.col("b.band")) & (F.col(f"a.{page}") < F.col(f"b.{page}")) & (ratio >= 0.8) & (ratio <= 1.25))
     return pairs.select(F.col("a.doc_id").alias("doc_id"), F.col(f"a.{page}").alias("first"), F.col(f"b.{page}").alias("second"), cosine(F.col("a.vec"), F.col("b.vec")).alias("score")).where(F.col("score") >= at_least)
 
 
@@ -79,15 +90,14 @@ def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, planes: int = 12,
     import random
 
     usable = vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x)) AND exists(vec, x -> x != 0)")
-    if vectors.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        usable = usable.checkpoint()  # read several times, made once
+    usable = _once(usable)
     width = usable.select(F.max(F.size("vec"))).first()[0] or 0
     classes = usable.groupBy("vec").agg(F.min("id").alias("id"))
     copies = usable.join(classes.withColumnRenamed("id", "first"), "vec").where("id != first").select("first", F.col("id").alias("second"), F.lit(1.0).alias("score"))
 
     rng = random.Random(seed)
     normals = [[[rng.gauss(0, 1) for _ in range(width)] for _ in range(planes)] for _ in range(tables)]
-    dot = lambda n: F.aggregate(F.zip_with("vec", F.array(*map(F.lit, n)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    dot = lambda n: F.aggregate(F.zip_with("vec", F.expr(f"array({', '.join(f'{x!r}D' for x in n)})"), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     key = lambda t: F.concat_ws("", F.size("vec"), F.lit(f":{t}:"), *[F.when(dot(n) > 0, "1").otherwise("0") for n in normals[t]])
     keyed = classes.select("id", F.explode(F.array(*map(key, range(tables)))).alias("bucket"))
     parts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.when(F.col("n") > block_rows, F.ceil(F.col("n") * 2 / block_rows)).otherwise(1).cast("int").alias("parts"))

@@ -142,27 +142,32 @@ def similar_chunks(edges: DataFrame) -> DataFrame:
     return own.unionByName(own.select("doc_id", F.col("neighbour").alias("chunk_id"), F.col("chunk_id").alias("neighbour"), "similarity"))
 
 
-def expansion_steps(edges: DataFrame, section_step: bool = True) -> DataFrame:
-    """doc_id, chunk_id, neighbour that one step of an expansion reaches: same section (unless switched off), adjacent, similar."""
-    steps = adjacent_chunks(edges).select("doc_id", "chunk_id", "neighbour").unionByName(similar_chunks(edges).select("doc_id", "chunk_id", "neighbour"))
+def one_step(frontier: DataFrame, edges: DataFrame, section_step: bool = True) -> DataFrame:
+    """(query_id, doc_id, chunk_id) -> query_id, doc_id, chunk_id that one step reaches: adjacent, similar, same section (unless switched off).
+
+    The frontier is joined with links and with its sections, each of which is opened once per query; pairs of a section's chunks are never made.
+    A section holds the chunk that it was reached from.
+    """
+    near = adjacent_chunks(edges).select("doc_id", "chunk_id", "neighbour").unionByName(similar_chunks(edges).select("doc_id", "chunk_id", "neighbour"))
+    found = frontier.join(near, ["doc_id", "chunk_id"]).select("query_id", "doc_id", F.col("neighbour").alias("chunk_id"))
     if section_step:
         of = parent_sections(edges)
-        steps = steps.unionByName(of.join(of.withColumnRenamed("chunk_id", "neighbour"), ["doc_id", "section_path"]).where("chunk_id != neighbour").select("doc_id", "chunk_id", "neighbour"))
-    return steps.distinct()
+        opened = frontier.join(of, ["doc_id", "chunk_id"]).select("query_id", "doc_id", "section_path").distinct()
+        found = found.unionByName(opened.join(of, ["doc_id", "section_path"]).select("query_id", "doc_id", "chunk_id"))
+    return found.distinct()
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 30, section_step: bool = True) -> DataFrame:
     """(query_id, doc_id, chunk_id) seeds -> query_id, doc_id, chunk_id, hop, rank: breadth first over a batch of queries.
 
-    Each hop joins the frontier with the step table; what was reached before is left out. A frontier row stops where its query has ``most``
+    Each hop takes one step from the frontier; what was reached before is left out. A frontier row stops where its query has ``most``
     chunks. The result is ranked by hop and id and cut at ``most``. Hops are few, so the loop only makes a longer plan.
     """
-    steps = expansion_steps(edges, section_step)
     reached = seeds.select("query_id", "doc_id", "chunk_id").distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, hops + 1):
         full = reached.groupBy("query_id").count().where(F.col("count") >= most).select("query_id")
-        found = frontier.join(full, "query_id", "left_anti").join(steps, ["doc_id", "chunk_id"]).select("query_id", "doc_id", F.col("neighbour").alias("chunk_id")).distinct()
+        found = one_step(frontier.join(full, "query_id", "left_anti").select("query_id", "doc_id", "chunk_id"), edges, section_step)
         frontier = found.join(reached, ["query_id", "doc_id", "chunk_id"], "left_anti").withColumn("hop", F.lit(hop))
         reached = reached.unionByName(frontier)
     return reached.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "chunk_id"))).where(F.col("rank") <= most)

@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as (doc_id, markdown): every third line gets a header of its first words, every seventh a small table, every fifth a page break."""
+def markdown(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """documents (those of the ids in ``of``, if given) as (doc_id, markdown): every third line gets a header of its first words, every seventh a small table, every fifth a page break."""
     w = lambda k: F.coalesce(F.get(F.col("w"), F.lit(k)), F.lit(""))
     row = lambda *cells: F.concat(F.lit("|"), *[x for c in cells for x in (F.lit(" "), c, F.lit(" |"))])
     e = F.lit("")
@@ -21,5 +21,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, none = F.col("n"), F.array().cast("array<string>")
     head = F.array(F.concat(F.repeat(F.lit("#"), 1 + F.floor(n / 3).cast("int") % 3), F.lit(" "), F.array_join(F.slice("w", 1, 3), " ")))
     made = F.concat(F.when(n % 3 == 1, head).otherwise(none), F.when(n % 7 == 3, rows).otherwise(none), F.array(F.col("x")), F.when(n % 5 == 0, F.array(F.lit(PAGE_BREAK))).otherwise(none))
-    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "x")).select("doc_id", (F.col("k") + 1).alias("n"), "x", F.split("x", " ", -1).alias("w"))
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.join(of, "doc_id", "left_semi") if of is not None else docs
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "x")).select("doc_id", (F.col("k") + 1).alias("n"), "x", F.split("x", " ", -1).alias("w"))
     return each.groupBy("doc_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", made.alias("made")))), lambda p: p["made"])), "\n").alias("markdown"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,12 @@ def vector_edges(s, d):
     return G.containment_edges(c).unionByName(G.page_edges(c)).unionByName(follows).unionByName(G.similar_edges(vectors(s, d), follows))
 
 
+def vector_graph(s, d):
+    c = vector_chunks(s, d)
+    nodes = G.chunk_nodes(c).select("doc_id", "id", "type").unionByName(G.page_nodes(c).select("doc_id", "id", "type"))
+    return nodes, vector_edges(s, d)
+
+
 def vector_ids(s, d):
     return vectors(s, d).withColumnRenamed("chunk_index", "id")
 
@@ -79,6 +87,11 @@ def D_pages(s, d):
 
 S.CTES |= {
     "norm_pages": rf"SELECT doc_id, nonblank_page_no, page_number, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS norm FROM pages_nb",
+    "letters": "SELECT doc_id, nonblank_page_no, norm, list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda c: (length(norm) - length(replace(norm, c, '')))::DOUBLE) AS v FROM norm_pages",
+    "near_pages": """
+SELECT a.doc_id, a.nonblank_page_no AS first, b.nonblank_page_no AS second, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score
+FROM letters a JOIN letters b ON a.doc_id = b.doc_id AND a.nonblank_page_no < b.nonblank_page_no AND length(a.norm) / greatest(length(b.norm), 1) BETWEEN 0.8::DOUBLE AND 1.25::DOUBLE
+WHERE list_sum(a.v) > 0 AND list_sum(b.v) > 0 AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9""",
     "vc": "SELECT label AS doc_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS chunk_index, embedding AS vec FROM embeddings",
     "vchunks": "SELECT doc_id, chunk_index, 'S' || (chunk_index // 10) || ' > T' || (chunk_index // 5) AS section_path, 'H' || chunk_index AS heading, (chunk_index // 8 + 1)::INT AS page_number FROM vc",
     "dist": "SELECT a.doc_id, a.chunk_index AS i, b.chunk_index AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM vc a JOIN vc b ON a.doc_id = b.doc_id",
@@ -142,13 +155,31 @@ def pages_nb(s, d):
 
 
 def page_vectors(s, d):
-    return V.hashed_words(pages_nb(s, d), width=16).select("doc_id", "nonblank_page_no", "vec")
+    """A page's letter counts as its vector, which SQL can make too."""
+    norm = T.normalize_page(F.col("text"))
+    return pages_nb(s, d).select("doc_id", "nonblank_page_no", F.array(*[(F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit("")))).cast("double") for c in string.ascii_lowercase]).alias("vec"))
+
+
+def near_pages(s, d):
+    return rounded(D.near_pairs(pages_nb(s, d), page_vectors(s, d)), "score")
+
+
+def duplicate_entries(s, d):
+    report = D.duplicate_report(pages_nb(s, d), D.exact_clusters(pages_nb(s, d)), near_pages(s, d))
+    return report.select("doc_id", "total_pages", F.explode_outer("duplicates").alias("e")).select("doc_id", "total_pages", "e.pages", "e.score")
+
+
+def summary_chunks(s, d):
+    """The chunks of the documents that have summaries; other documents aren't cut."""
+    return chunks(s, d, summaries(s, d).select("doc_id"))
 
 
 register("d01_normalize", lambda s, d: pages_nb(s, d).select("doc_id", "nonblank_page_no", T.normalize_page(F.col("text")).alias("norm")), "SELECT doc_id, nonblank_page_no, norm FROM norm_pages")
 register("d02_exact_clusters", lambda s, d: D.exact_clusters(pages_nb(s, d)).drop("page_hash"), "SELECT doc_id, list_sort(list(nonblank_page_no)) AS pages, 1.0::DOUBLE AS score FROM norm_pages GROUP BY doc_id, md5(norm) HAVING count(*) > 1")
-register("d03_near_pairs", lambda s, d: rounded(D.near_pairs(pages_nb(s, d), page_vectors(s, d), 0.6), "score"))
-register("d04_report", lambda s, d: D.duplicate_report(pages_nb(s, d), D.exact_clusters(pages_nb(s, d)), D.near_pairs(pages_nb(s, d), page_vectors(s, d), 0.6)).select("doc_id", "total_pages", F.size("duplicates").alias("n_duplicates")))
+register("d03_near_pairs", near_pages, "SELECT * FROM near_pages")
+register("d04_report", duplicate_entries, """
+WITH e AS (SELECT doc_id, list_sort(list(nonblank_page_no)) AS pages, 1.0::DOUBLE AS score FROM norm_pages GROUP BY doc_id, md5(norm) HAVING count(*) > 1 UNION ALL SELECT doc_id, [first, second], score FROM near_pages)
+SELECT doc_id, total_pages, pages, score FROM (SELECT doc_id, count(*)::INT AS total_pages FROM norm_pages GROUP BY 1) LEFT JOIN e USING (doc_id)""")
 register("d05_reconcile", lambda s, d: D.reconcile(table(s, d, "lineitem").select((F.col("l_orderkey") % 100).alias("doc_id"), F.array(F.col("l_partkey") % 20, F.col("l_suppkey") % 20).alias("pages"), F.when(F.col("l_linenumber") == 1, 1.0).otherwise(F.col("l_linenumber") / 10).alias("score"))),
          """WITH p AS (SELECT l_orderkey % 100 AS doc_id, least(l_partkey % 20, l_suppkey % 20) AS first, greatest(l_partkey % 20, l_suppkey % 20) AS second, CASE WHEN l_linenumber = 1 THEN 1.0::DOUBLE ELSE l_linenumber / 10 END AS score FROM lineitem),
          ex AS (SELECT DISTINCT * FROM p WHERE score = 1.0), taken AS (SELECT doc_id, first AS page FROM ex UNION SELECT doc_id, second FROM ex),
@@ -161,9 +192,9 @@ register("d06_near_pages_lsh", lambda s, d: rounded(D.near_pages_lsh(V.hashed_wo
 
 register("t01_tokens", lambda s, d: table(s, d, "benchmark").select("item_id", F.array_sort(T.tokens(F.col("text"), 2)).alias("tokens")), "SELECT item_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) > 2))) AS tokens FROM benchmark")
 register("t02_sentences", lambda s, d: summaries(s, d).select("text_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_no", "sentence")), "SELECT text_id, sentence_no, x AS sentence FROM sents")
-register("t03_support", lambda s, d: rounded(N.supporting_chunks_by_sentence(summaries(s, d), chunks(s, d), 3, 0.1), "score"), "SELECT text_id, doc_id, sentence_no, chunk_index, round(score, 6) AS score, rank FROM support")
-register("t03_supporting_chunks", lambda s, d: N.supporting_chunks(summaries(s, d), chunks(s, d), 3, 0.1), "SELECT item_id AS text_id, item_id AS doc_id, coalesce(list_sort(list(DISTINCT chunk_index) FILTER (WHERE chunk_index IS NOT NULL)), []) AS chunk_ids FROM benchmark LEFT JOIN support ON text_id = item_id GROUP BY item_id")
-register("t04_answer_chunks", lambda s, d: N.answer_chunks(summaries(s, d), chunks(s, d), 4), """
+register("t03_support", lambda s, d: rounded(N.supporting_chunks_by_sentence(summaries(s, d), summary_chunks(s, d), 3, 0.1), "score"), "SELECT text_id, doc_id, sentence_no, chunk_index, round(score, 6) AS score, rank FROM support")
+register("t03_supporting_chunks", lambda s, d: N.supporting_chunks(summaries(s, d), summary_chunks(s, d), 3, 0.1), "SELECT item_id AS text_id, item_id AS doc_id, coalesce(list_sort(list(DISTINCT chunk_index) FILTER (WHERE chunk_index IS NOT NULL)), []) AS chunk_ids FROM benchmark LEFT JOIN support ON text_id = item_id GROUP BY item_id")
+register("t04_answer_chunks", lambda s, d: N.answer_chunks(summaries(s, d), summary_chunks(s, d), 4), """
 WITH atoks AS (SELECT DISTINCT item_id, t FROM benchmark, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS u(t) WHERE length(t) > 0),
 r AS (SELECT item_id, chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, chunk_index) AS rank FROM atoks JOIN ctoks ON ctoks.doc_id = item_id AND ctoks.t = atoks.t GROUP BY 1, 2 QUALIFY rank <= 4)
 SELECT b.item_id AS text_id, b.item_id AS doc_id, coalesce(f.ids, e.ids) AS chunk_ids FROM benchmark b LEFT JOIN (SELECT item_id, list(chunk_index ORDER BY rank) AS ids FROM r GROUP BY 1) f USING (item_id)
@@ -198,13 +229,20 @@ r2 AS (SELECT * FROM r1 UNION ALL SELECT * FROM h2)
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hop, chunk_id))::INT AS rank FROM r2 QUALIFY rank <= 30""")
 register("g16_expand_prioritized", lambda s, d: G.expand_prioritized(R.seeds(query_rows(s, d), vector_ids(s, d)).where("rank = 1").select("query_id", "doc_id", F.col("id").alias("chunk_id")), vector_edges(s, d)),
          "SELECT query_id, doc_id, id AS chunk_id, priority, (row_number() OVER (PARTITION BY query_id ORDER BY priority, id))::INT AS rank FROM grown WHERE seed_rank = 1")
-register("g17_g18_graph_stats", lambda s, d: rounded(G.graph_stats(*doc_graph(s, d)).select("doc_id", "n_nodes", "n_sections", "n_chunks", "n_pages", "n_edges", "n_contains", "n_follows", "density", "chunks_per_section"), "density", "chunks_per_section"), """
-SELECT doc_id, n_nodes, n_sections, n_chunks, n_pages, coalesce(n_edges, 0) AS n_edges, coalesce(n_contains, 0) AS n_contains, coalesce(n_follows, 0) AS n_follows,
+register("g17_g18_graph_stats", lambda s, d: rounded(G.graph_stats(*doc_graph(s, d)).select("doc_id", "n_nodes", "n_sections", "n_chunks", "n_pages", "n_edges", "n_contains_section", "n_contains", "n_belongs_to", "n_on_page", "n_follows", "density", "chunks_per_section"), "density", "chunks_per_section"), """
+SELECT doc_id, n_nodes, n_sections, n_chunks, n_pages, coalesce(n_edges, 0) AS n_edges, coalesce(n_contains_section, 0) AS n_contains_section, coalesce(n_contains, 0) AS n_contains, coalesce(n_belongs_to, 0) AS n_belongs_to, coalesce(n_on_page, 0) AS n_on_page, coalesce(n_follows, 0) AS n_follows,
   round(CASE WHEN n_nodes > 1 THEN coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)) ELSE 0 END, 6) AS density, round(CASE WHEN n_sections > 0 THEN n_chunks / n_sections ELSE 0 END, 6) AS chunks_per_section
 FROM (SELECT doc_id, count(*) AS n_nodes, count(*) FILTER (WHERE type = 'section') AS n_sections, count(*) FILTER (WHERE type = 'chunk') AS n_chunks, count(*) FILTER (WHERE type = 'page') AS n_pages FROM ids_of GROUP BY 1)
-LEFT JOIN (SELECT doc_id, count(*) AS n_edges, count(*) FILTER (WHERE relation = 'contains') AS n_contains, count(*) FILTER (WHERE relation = 'follows') AS n_follows FROM dedges GROUP BY 1) USING (doc_id)""")
-register("g19_simplified", lambda s, d: G.simplified(*doc_graph(s, d), 8)[1].select("doc_id", "source", "target", "relation"), """
-WITH kept AS (SELECT doc_id, id FROM snodes UNION ALL SELECT doc_id, 'chunk:' || chunk_index FROM chunks LEFT JOIN (SELECT doc_id, 8 - count(*) AS room FROM snodes GROUP BY 1) USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) <= coalesce(room, 8))
+LEFT JOIN (SELECT doc_id, count(*) AS n_edges, count(*) FILTER (WHERE relation = 'contains_section') AS n_contains_section, count(*) FILTER (WHERE relation = 'contains') AS n_contains, count(*) FILTER (WHERE relation = 'belongs_to') AS n_belongs_to,
+  count(*) FILTER (WHERE relation = 'on_page') AS n_on_page, count(*) FILTER (WHERE relation = 'follows') AS n_follows FROM dedges GROUP BY 1) USING (doc_id)""")
+SIMILARITY = ("n_chunks", "n_pages", "n_edges", "n_follows", "n_similar_to", "n_similarities", "avg_similarity", "min_similarity", "max_similarity")
+register("g17_similarity_stats", lambda s, d: rounded(G.graph_stats(*vector_graph(s, d)).select("doc_id", *SIMILARITY), *SIMILARITY[-3:]), """
+WITH n AS (SELECT doc_id, count(*) AS n_chunks, count(DISTINCT page_number) AS n_pages FROM vchunks GROUP BY 1), f AS (SELECT doc_id, count(*) AS n_follows FROM vfollow GROUP BY 1),
+e AS (SELECT doc_id, count(*) AS n_similar_to, count(similarity) FILTER (WHERE similarity != 0) AS n_similarities, round(avg(similarity) FILTER (WHERE similarity != 0), 6) AS avg_similarity, round(min(similarity) FILTER (WHERE similarity != 0), 6) AS min_similarity, round(max(similarity) FILTER (WHERE similarity != 0), 6) AS max_similarity FROM vsim GROUP BY 1)
+SELECT doc_id, n_chunks, n_pages, 3 * n_chunks + coalesce(n_follows, 0) + coalesce(n_similar_to, 0) AS n_edges, coalesce(n_follows, 0) AS n_follows, coalesce(n_similar_to, 0) AS n_similar_to, coalesce(n_similarities, 0) AS n_similarities, avg_similarity, min_similarity, max_similarity
+FROM n LEFT JOIN f USING (doc_id) LEFT JOIN e USING (doc_id)""")
+register("g19_simplified", lambda s, d: G.simplified(*doc_graph(s, d))[1].select("doc_id", "source", "target", "relation"), """
+WITH kept AS (SELECT doc_id, id FROM snodes UNION ALL SELECT doc_id, 'chunk:' || chunk_index FROM chunks LEFT JOIN (SELECT doc_id, 100 - count(*) AS room FROM snodes GROUP BY 1) USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) <= coalesce(room, 100))
 SELECT e.doc_id, source, target, relation FROM dedges e SEMI JOIN kept k ON k.doc_id = e.doc_id AND k.id = e.source SEMI JOIN kept l ON l.doc_id = e.doc_id AND l.id = e.target""")
 register("g20_display_nodes", lambda s, d: G.display_nodes(doc_graph(s, d)[0]), """
 WITH n AS (SELECT doc_id, id, section_title AS name, 'Section: ' || section_path AS title, type FROM snodes UNION ALL SELECT doc_id, 'chunk:' || chunk_index, coalesce(nullif(heading, ''), 'Chunk ' || chunk_index), 'Chunk ' || chunk_index || ': ' || heading, 'chunk' FROM chunks

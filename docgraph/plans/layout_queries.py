@@ -30,8 +30,8 @@ def paged(s, d):
     return L.line_pages(lines(s, d))
 
 
-def chunks(s, d):
-    return C.chunk_documents(markdown(s, d))
+def chunks(s, d, of=None):
+    return C.chunk_documents(markdown(s, d, of))
 
 
 PB = T.PAGE_BREAK
