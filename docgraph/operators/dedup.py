@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,30 +88,40 @@ def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, planes: int = 12,
     tests measure recall against brute force.
     Null vectors and vectors with null or NaN in them have no links.
     """
-    import random
-
     usable = vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x)) AND exists(vec, x -> x != 0)")
     usable = _once(usable)
-    width = usable.select(F.max(F.size("vec"))).first()[0] or 0
     classes = usable.groupBy("vec").agg(F.min("id").alias("id"))
     copies = usable.join(classes.withColumnRenamed("id", "first"), "vec").where("id != first").select("first", F.col("id").alias("second"), F.lit(1.0).alias("score"))
 
-    rng = random.Random(seed)
-    normals = [[[rng.gauss(0, 1) for _ in range(width)] for _ in range(planes)] for _ in range(tables)]
-    dot = lambda n: F.aggregate(F.zip_with("vec", F.expr(f"array({', '.join(f'{x!r}D' for x in n)})"), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    key = lambda t: F.concat_ws("", F.size("vec"), F.lit(f":{t}:"), *[F.when(dot(n) > 0, "1").otherwise("0") for n in normals[t]])
-    keyed = classes.select("id", F.explode(F.array(*map(key, range(tables)))).alias("bucket"))
+    kind = usable.schema["id"].dataType.simpleString()
+    keyed = classes.select("id", "vec").mapInArrow(lambda batches: _buckets(batches, planes, tables, seed), f"id {kind}, bucket long")
     parts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.when(F.col("n") > block_rows, F.ceil(F.col("n") * 2 / block_rows)).otherwise(1).cast("int").alias("parts"))
     own, other = F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")).cast("int"), F.col("other")
     dealt = keyed.join(parts, "bucket").withColumn("own", own)
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("own")))
     tasks = dealt.withColumn("other", F.explode(others)).select("id", F.xxhash64("bucket", F.least("own", other), F.greatest("own", other)).alias("task"))
     members = tasks.join(classes, "id").select("task", "id", "vec").repartition("task").sortWithinPartitions("task", "id")
-    kind = usable.schema["id"].dataType.simpleString()
     near = members.mapInArrow(lambda batches: _links(batches, at_least), f"first {kind}, second {kind}, score double")
     return near.groupBy("first", "second").agg(F.max("score").alias("score")).unionByName(copies)
 
 
+def _buckets(batches: Iterator[pa.RecordBatch], planes: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(id, vec) -> id, bucket: one row per table, the signs of its planes as bits after the vector's width and the table's number."""
+    normals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        ids, vecs = batch.column("id"), batch.column("vec")
+        sizes = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+        for width in map(int, np.unique(sizes)):
+            own = pa.array(np.flatnonzero(sizes == width))
+            v = vecs.take(own).flatten().to_numpy(zero_copy_only=False).reshape(len(own), width)
+            if width not in normals:
+                normals[width] = np.random.default_rng([seed, width]).normal(size=(width, tables * planes))
+            signs = (v @ normals[width] > 0).reshape(len(own), tables, planes)
+            bits = signs @ (1 << np.arange(planes, dtype=np.int64))
+            bucket = ((width * tables + np.arange(tables, dtype=np.int64)) << planes) + bits
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(own.to_numpy(), tables))), pa.array(bucket.ravel())], names=["id", "bucket"])
+
+
 def _forest(v: np.ndarray, at_least: float, most: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, row, score) links that connect the unit rows whose product is ``at_least`` or more: a search from each row not reached yet."""
     left, reached = np.arange(len(v)), np.empty(0, dtype=np.int64)
