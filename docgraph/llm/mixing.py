@@ -91,7 +91,8 @@ def mix_sources(
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row once per epoch, and a document that the budget cuts is whole.
 
-    So a source's words exceed its target by less than one document. Columns are those of ``docs``.
+    So a source's words exceed its target by less than one document. Columns are those of ``docs``, whatever their names.
+    Rows without words (null text too) are never taken; null ids and sources stay null; repeated rows are taken each; an empty table gives no rows.
     """
     mixed = mix_sources(docs, carry=True, **options).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")

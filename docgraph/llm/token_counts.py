@@ -27,7 +27,10 @@ def rank_encoding(path: str):
 
 
 def token_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """One column ``n_tokens``: the length of each whole text under the encoding at ``path``; null and empty texts have 0."""
+    """One column ``n_tokens``: the length of each whole text under the encoding at ``path``; null and empty texts have 0.
+
+    A row per row of ``docs``, repeated ones too; texts are encoded whole, however long; an empty table gives no rows. Other columns, whatever their
+    names, are not read."""
 
     small_batches(docs.sparkSession)
 
@@ -48,7 +51,8 @@ def length_histogram(lengths: DataFrame, band: int = 256) -> DataFrame:
     docs_at_most, and quantile (the share of documents of at most that length).
 
     Documents are counted by length first, with map-side partial counts. Suffix sums over the histogram are
-    in two levels, bands of ``band`` lengths and lengths in a band, so no task holds all lengths. For a limit
+    in two levels, bands of ``band`` lengths and lengths in a band, so no task holds all lengths. Documents of equal length, and so
+    repeated rows, are counted each; null lengths are not; other columns are not read. For a limit
     between two lengths see ``at_limits``. An empty table gives no rows.
     """
     histogram = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("band", F.floor(F.col("n_tokens") / band))
