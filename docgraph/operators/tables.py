@@ -43,10 +43,12 @@ def blank_repeats(cells: Column) -> Column:
 
 
 def table_rows(lines_df: DataFrame) -> DataFrame:
-    """Rows of tables: doc_id, run (of adjacent table lines), line_no, row_no, cells, and what they are."""
-    tagged = lines_df.withColumn("is_table", is_table_line(F.col("text")))
-    run = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id", "is_table").orderBy("line_no"))
-    rows = tagged.withColumn("run", run).where("is_table").withColumn("cells", row_cells(F.col("text")))
+    """Rows of tables: doc_id, run (of adjacent table lines), line_no, row_no, cells, and what they are.
+
+    Only table lines are shuffled, once and by document: the windows over runs and their parts find them together.
+    """
+    run = F.col("line_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    rows = lines_df.where(is_table_line(F.col("text"))).withColumn("run", run).withColumn("cells", row_cells(F.col("text")))
     rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no")) - 1)
     c = F.col("cells")
     return rows.select("doc_id", "run", "line_no", "row_no", "cells", is_separator_row(c).alias("is_separator"), is_header_like(c).alias("is_header_like"), is_group_header(c).alias("is_group"), is_child_row(c).alias("is_child"))
