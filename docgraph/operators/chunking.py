@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import collapse, cut_at_sentence, is_markup_line, is_table_line, is_text_line, model_tokens, strip
+from docgraph.functions.text import collapse, cut_at_sentence, is_markup_line, is_table_line, is_text_line, let, model_tokens, strip
 from docgraph.operators.layout import HEADER, header_array, path_array
 
 #: Limits of an embedding model's input.
@@ -73,11 +73,12 @@ def drop_near_repeats(chunks: DataFrame, at_least: float = 0.9) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("position", preview_words(F.col("content")).alias("words"))))
 
     def near(a: Column, b: Column) -> Column:
-        both = F.size(F.array_intersect(a, b))
-        return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)) >= at_least, F.lit(False))
+        n, m = F.size(a), F.size(b)  # sets of too different sizes can't be near: most pairs end here
+        alike = let(F.size(F.array_intersect(a, b)), lambda both: both / (n + m - both) >= at_least)
+        return F.coalesce(F.when(F.least(n, m) / F.greatest(n, m) >= at_least, alike), F.lit(False))
 
     def keep(acc: Column, c: Column) -> Column:
-        repeated = (F.size(c["words"]) > 0) & F.exists(acc, lambda k: near(c["words"], k["words"]))
+        repeated = (F.size(c["words"]) > 0) & F.exists(acc, lambda k: (F.size(k["words"]) > 0) & near(c["words"], k["words"]))
         return F.when(repeated, acc).otherwise(F.concat(acc, F.array(c)))
 
     kept = chunks.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.aggregate("all", F.array().cast(kept_type), keep).alias("kept"))
