@@ -137,7 +137,7 @@ def fit_tokens(text: Column, most_tokens: int) -> Column:
 def fit_tokens_by(encode: Callable[[str], Sequence], decode: Callable[[Sequence], str]) -> Callable[[Column, int], Column]:
     """Like ``fit_tokens`` by a tokenizer: a longer text keeps 95 % of the limit, at a sentence's or line's end if that is past 0.7 of it, and gets three dots.
 
-    If that still encodes to more than the limit, 90 % of it stay, uncut. Where the tokenizer fails, the limit is 1.5 characters a token. Null stays null.
+    If that still encodes to more than the limit, 90 % of it stay, uncut. Where the tokenizer fails, the limit is 1.5 characters a token, and the dots always follow. Null stays null.
     """
 
     def one(text: str, most: int) -> str:

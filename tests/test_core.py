@@ -113,6 +113,18 @@ def test_parsing(spark):
     assert one(P.parse_list, 'sure: ["a","b"]') == ["a", "b"] and one(P.parse_list, "- a\n\n- b") == ["- a", "- b"] and one(P.parse_list, '["a", ') == ["[\"a\","] and one(P.parse_list, '["a" "b"]') == []
 
 
+def test_tokenizer_slots(spark):
+    def encode(text):
+        if "bad" in text:
+            raise ValueError("no")
+        return list(text)
+
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "abcde"), (3, "bad text"), (4, "x" * 30 + ". " + "y" * 8), (5, "bad" * 10)], "id int, t string")
+    fit = C.fit_tokens_by(encode, "".join)
+    out = {r.id: (r.n, r.cut) for r in rows.select("id", T.tokens_by(encode)(F.col("t")).alias("n"), fit(F.col("t"), 38).alias("cut")).collect()}
+    assert out == {0: (None, None), 1: (0, ""), 2: (6, "abcde"), 3: (5, "bad text..."), 4: (52, "x" * 30 + "...."), 5: (20, "bad" * 10 + "...")}
+
+
 def test_model_errors_stay_in_their_rows(spark):
     def model(prompt):
         if prompt == "bad":
