@@ -162,3 +162,21 @@ FROM turns GROUP BY conv_id
 """
 
 ORACLES |= {"op1_pivot_top_k": OP1, "op2_url_filter": OP2, "op6_quality_rules": OP6, "op7_chat_format": OP7}
+
+OP12 = r"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT row_id, doc_id, u.i, ls[u.i] AS line, regexp_replace(ls[u.i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM docs, unnest(generate_series(1, len(ls))) AS u(i)),
+keyed AS (SELECT *, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+listed AS (
+    SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
+    GROUP BY k HAVING count(DISTINCT doc_id) + CASE WHEN count(*) > count(doc_id) THEN 1 ELSE 0 END >= 5
+),
+judged AS (
+    SELECT row_id, doc_id, i, line, listed.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM keyed LEFT JOIN listed ON keyed.k = listed.k
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row_id, doc_id
+"""
+
+ORACLES |= {"op12_line_dedup": OP12}

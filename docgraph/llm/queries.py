@@ -11,6 +11,7 @@ from docgraph.llm.chat import conversation_digests, format_turns
 from docgraph.llm.common import table
 from docgraph.llm.jaccard import jaccard_components
 from docgraph.llm.language import identify_language, train_language_model
+from docgraph.llm.line_dedup import dedup_lines
 from docgraph.llm.markup import declared_language, host_suffix, visible_text
 from docgraph.llm.mixing import mix_sources
 from docgraph.llm.packing import pack_documents
@@ -102,6 +103,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_top_k": op1_pivot_top_k,
     "op2_url_filter": op2_url_filter,
@@ -114,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_pages": op8_language_pages,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_line_dedup": op12_line_dedup,
 }
