@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.llm.alignment import align_tokens, alignment_figures, tokens_of
 from docgraph.llm.chat import conversation_digests, format_turns
 from docgraph.llm.common import table
 from docgraph.llm.jaccard import jaccard_components
@@ -108,6 +109,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept_text", 256).alias("kept_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, other = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment_figures(align_tokens(table(spark, sf_dir, "documents"), one, other), width=len(tokens_of(other).tokens))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_top_k": op1_pivot_top_k,
     "op2_url_filter": op2_url_filter,
@@ -121,4 +127,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
     "op12_line_dedup": op12_line_dedup,
+    "op13_alignment": op13_alignment,
 }
