@@ -180,3 +180,41 @@ FROM judged GROUP BY row_id, doc_id
 """
 
 ORACLES |= {"op12_line_dedup": OP12}
+
+OP11 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+terms AS (SELECT row_id, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30),
+cells AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM terms t JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS n_terms, sum(n) AS total FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY lang, source),
+grouped AS (
+    SELECT g.lang, g.source, coalesce(sums.total, 0)::HUGEINT AS total, coalesce(n_terms, 0)::HUGEINT AS n_terms
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sums USING (lang, source) LEFT JOIN langs USING (lang)
+),
+dense AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.n_terms) AS p,
+           1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.n_terms) AS q
+    FROM grouped g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+distances AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+),
+judged AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source != b.source
+    LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM dense WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM judged)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES |= {"op11_source_audit": OP11}

@@ -19,6 +19,7 @@ from docgraph.llm.packing import pack_documents
 from docgraph.llm.pivot_search import exact_top_k, quantized, usable_vector
 from docgraph.llm.quality_model import held_out, score_quality, train_quality_model
 from docgraph.llm.quality_rules import base_metrics, default_rules, order_rules, quality_cascade
+from docgraph.llm.source_audit import source_divergence
 from docgraph.llm.token_counts import length_histogram, token_lengths
 from docgraph.llm.url_filter import filter_urls, url_host
 
@@ -104,6 +105,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept_text", 256).alias("kept_sha256"))
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_pages": op8_language_pages,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_source_audit": op11_source_audit,
     "op12_line_dedup": op12_line_dedup,
     "op13_alignment": op13_alignment,
 }
