@@ -51,7 +51,8 @@ class ByteLevelTokens:
         self.odd = re.compile(rf"[^\x00-{chr(RARE_FROM - 1)}]|\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or self.odd.search(text):
+        plain = len(text) < LONG_RUN and text.isascii()
+        if self.fast is None or not plain and self.odd.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -199,27 +200,41 @@ def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).astype(np.int64)[rows[0] : rows[-1]], rows - rows[0]
 
 
-def _written(ids: np.ndarray, last: np.ndarray, order: np.ndarray, from_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_DIGITS: list[np.ndarray] = []
+
+
+def _digits(most: int) -> np.ndarray:
+    """Row k holds k in decimal digits, right-aligned after zero bytes."""
+    if not _DIGITS or len(_DIGITS[-1]) <= most:
+        width = len(str(most))
+        places = 10 ** np.arange(width - 1, -1, -1, dtype=np.int64)
+        numbers = np.arange(most + 1, dtype=np.int64)[:, None]
+        table = (numbers // places % 10 + 48).astype(np.uint8)
+        table[:, :-1][numbers < places[:-1]] = 0
+        _DIGITS.append(table)
+    return _DIGITS[-1]
+
+
+def _written(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where each id's begin) of ids in decimal digits, each with the mark after it."""
-    digits = np.array([10**k for k in range(9, -1, -1)], dtype=np.int64)
-    table = np.empty((len(ids), 11), dtype=np.uint8)
-    table[:, :10] = ids[order][:, None] // digits % 10 + 48
-    table[:, 10] = np.where(last[order], np.where(from_b, ord(";"), ord("|")), ord(","))
-    length = 1 + np.maximum(1, np.searchsorted(digits[::-1], ids[order], side="right"))
-    return table[np.arange(11) >= (11 - length)[:, None]], np.append(0, np.cumsum(length))
+    digits = _digits(int(ids.max()) if len(ids) else 0)
+    table = np.empty((len(ids), digits.shape[1] + 1), dtype=np.uint8)
+    table[:, :-1] = digits[ids]
+    table[:, -1] = marks
+    used = table != 0
+    return table[used], np.append(0, np.cumsum(used.sum(axis=1)))
 
 
 def group_digests(a_ids: np.ndarray, a_rows: np.ndarray, b_ids: np.ndarray, b_rows: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[str]:
     """SHA-256 of each row's groups as text, ``a1,a2|b1;a3|b2,b3`` in decimal ids; empty for a row without groups."""
     n_a, n_b = np.cumsum(a_sizes), np.cumsum(b_sizes)
     a_group, b_group = np.repeat(np.arange(len(a_sizes)), a_sizes), np.repeat(np.arange(len(b_sizes)), b_sizes)
-    place = np.concatenate([np.arange(len(a_ids)) + (n_b - b_sizes)[a_group], np.arange(len(b_ids)) + n_a[b_group]])
-    order = np.empty(len(place), dtype=np.int64)
-    order[place] = np.arange(len(place))
-    last = np.zeros(len(place), dtype=bool)
-    last[n_a - 1] = True
-    last[len(a_ids) + n_b - 1] = True
-    raw, starts = _written(np.concatenate([a_ids, b_ids]), last, order, order >= len(a_ids))
+    a_place, b_place = np.arange(len(a_ids)) + (n_b - b_sizes)[a_group], np.arange(len(b_ids)) + n_a[b_group]
+    ids = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
+    ids[a_place], ids[b_place] = a_ids, b_ids
+    marks = np.full(len(ids), ord(","), dtype=np.uint8)
+    marks[a_place[n_a - 1]], marks[b_place[n_b - 1]] = ord("|"), ord(";")
+    raw, starts = _written(ids, marks)
     view = memoryview(np.ascontiguousarray(raw))
     bounds = starts[a_rows + b_rows]
     return [hashlib.sha256(view[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
