@@ -6,10 +6,14 @@ Ids are ``section:<path>``, ``chunk:<index>`` and ``page:<number>``.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.text import squared_distance
+from docgraph.sources.shared import discard, stored
 
 
 def chunk_node(index: Column) -> Column:
@@ -142,34 +146,48 @@ def similar_chunks(edges: DataFrame) -> DataFrame:
     return own.unionByName(own.select("doc_id", F.col("neighbour").alias("chunk_id"), F.col("chunk_id").alias("neighbour"), "similarity"))
 
 
-def one_step(frontier: DataFrame, edges: DataFrame, section_step: bool = True) -> DataFrame:
-    """(query_id, doc_id, chunk_id) -> query_id, doc_id, chunk_id that one step reaches: adjacent, similar, same section (unless switched off).
+def one_step(frontier: DataFrame, near: DataFrame, of: DataFrame | None) -> DataFrame:
+    """(query_id, doc_id, chunk_id) -> query_id, doc_id, chunk_id that one step reaches by ``near`` (doc_id, chunk_id, neighbour) and by sections, ``of``.
 
     The frontier is joined with links and with its sections, each of which is opened once per query; pairs of a section's chunks are never made.
     A section holds the chunk that it was reached from.
     """
-    near = adjacent_chunks(edges).select("doc_id", "chunk_id", "neighbour").unionByName(similar_chunks(edges).select("doc_id", "chunk_id", "neighbour"))
     found = frontier.join(near, ["doc_id", "chunk_id"]).select("query_id", "doc_id", F.col("neighbour").alias("chunk_id"))
-    if section_step:
-        of = parent_sections(edges)
+    if of is not None:
         opened = frontier.join(of, ["doc_id", "chunk_id"]).select("query_id", "doc_id", "section_path").distinct()
         found = found.unionByName(opened.join(of, ["doc_id", "section_path"]).select("query_id", "doc_id", "chunk_id"))
     return found.distinct()
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 30, section_step: bool = True) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, most: int = 30, section_step: bool = True) -> DataFrame:
     """(query_id, doc_id, chunk_id) seeds -> query_id, doc_id, chunk_id, hop, rank: breadth first over a batch of queries.
 
-    Each hop takes one step from the frontier; what was reached before is left out. A frontier row stops where its query has ``most``
-    chunks. The result is ranked by hop and id and cut at ``most``. Hops are few, so the loop only makes a longer plan.
+    Rounds go on until no query has anywhere to go: it has ``most`` chunks, or a step from its last ones finds none that is new. A round takes
+    one step for all queries that are left, adjacent, similar and same section (unless switched off); what was reached before is left out, and of the
+    rest only as many as a query still has room for, by id, as later ones would rank below ``most``. So a query never has more than ``most`` rows,
+    whatever the graph. Seeds all count, and the result is ranked by hop and id and cut at ``most``.
+
+    Links are written once and each round's chunks too, so the plan of a round doesn't hold those before. Null ids reach nothing; repeated
+    seeds are one; cycles end as their chunks are known; without edges or seeds there are the seeds or nothing.
     """
-    reached = seeds.select("query_id", "doc_id", "chunk_id").distinct().withColumn("hop", F.lit(0))
-    frontier = reached
-    for hop in range(1, hops + 1):
-        full = reached.groupBy("query_id").count().where(F.col("count") >= most).select("query_id")
-        found = one_step(frontier.join(full, "query_id", "left_anti").select("query_id", "doc_id", "chunk_id"), edges, section_step)
-        frontier = found.join(reached, ["query_id", "doc_id", "chunk_id"], "left_anti").withColumn("hop", F.lit(hop))
-        reached = reached.unionByName(frontier)
+    near = stored(adjacent_chunks(edges).select("doc_id", "chunk_id", "neighbour").unionByName(similar_chunks(edges).select("doc_id", "chunk_id", "neighbour")).distinct(), "links")
+    of = stored(parent_sections(edges), "sections") if section_step else None
+    frontier = stored(seeds.select("query_id", "doc_id", "chunk_id").distinct().withColumn("hop", F.lit(0)), "hop")
+    parts = [frontier]
+    by_id = Window.partitionBy("query_id").orderBy("chunk_id")
+    for hop in itertools.count(1):
+        reached = functools.reduce(DataFrame.unionByName, parts)
+        room = reached.groupBy("query_id").agg((F.lit(most) - F.count("*")).alias("room"))
+        going = frontier.join(room.where("room > 0").select("query_id"), "query_id", "left_semi").select("query_id", "doc_id", "chunk_id")
+        new = one_step(going, near, of).join(reached, ["query_id", "doc_id", "chunk_id"], "left_anti").join(room, "query_id")
+        frontier = stored(new.withColumn("k", F.row_number().over(by_id)).where("k <= room").select("query_id", "doc_id", "chunk_id", F.lit(hop).alias("hop")), "hop")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        if len(parts) > 8:  # many small tables become one
+            parts = [stored(functools.reduce(DataFrame.unionByName, parts), "hops")]
+    discard(near, *([of] if section_step else []), frontier)
+    reached = functools.reduce(DataFrame.unionByName, parts)
     return reached.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "chunk_id"))).where(F.col("rank") <= most)
 
 

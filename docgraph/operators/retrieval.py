@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docgraph.functions.text import distance_to_similarity
 from docgraph.operators.graph import expand, expand_prioritized
 from docgraph.operators.vectors import nearest, rerank
+from docgraph.sources.shared import stored
 
 #: How much a retrieval takes.
 SEEDS, EXPANDED_SEEDS, PER_SEED, RERANKED, MOST_CHUNKS, MOST_PASSES = 5, 2, 10, 5, 15, 3
@@ -71,9 +72,9 @@ def answer_context(first: DataFrame, second: DataFrame, most: int = MOST_CHUNKS)
 
 
 def search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, limit: int = 15) -> DataFrame:
-    """Search without an answer: the 20 nearest, then what the best five reach; query_id, id, stage, place."""
-    found = nearest(queries, vectors, 20)
-    grown = expand(found.where("rank <= 5").select("query_id", "doc_id", F.col("id").alias("chunk_id")), edges, hops=1, most=15)
+    """Search without an answer: the 20 nearest, then what the best five reach, by as many steps as it takes for 15; query_id, id, stage, place."""
+    found = stored(nearest(queries, vectors, 20), "nearest")
+    grown = expand(found.where("rank <= 5").select("query_id", "doc_id", F.col("id").alias("chunk_id")), edges, most=15)
     return ordered_union([found, grown.select("query_id", F.col("chunk_id").alias("id"), "rank")], limit)
 
 

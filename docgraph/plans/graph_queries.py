@@ -47,6 +47,11 @@ def vector_edges(s, d):
     return G.containment_edges(c).unionByName(G.page_edges(c)).unionByName(follows).unionByName(G.similar_edges(vectors(s, d), follows))
 
 
+def chain_edges(s, d):
+    """Only what follows what: a walk takes one or two chunks a step."""
+    return G.follow_edges(vector_chunks(s, d))
+
+
 def vector_graph(s, d):
     c = vector_chunks(s, d)
     nodes = G.chunk_nodes(c).select("doc_id", "id", "type").unionByName(G.page_nodes(c).select("doc_id", "id", "type"))
@@ -219,14 +224,20 @@ register("g11_adjacent_chunks", lambda s, d: G.adjacent_chunks(vector_edges(s, d
 register("g12_page_chunks", lambda s, d: G.page_chunks(vector_edges(s, d)), "SELECT doc_id, page_number, list_sort(list(chunk_index)) AS chunk_ids FROM vchunks GROUP BY 1, 2")
 register("g13_chunk_pages", lambda s, d: G.chunk_pages(vector_edges(s, d)), "SELECT doc_id, chunk_index AS chunk_id, page_number FROM vchunks")
 register("g14_similar_chunks", lambda s, d: rounded(G.similar_chunks(vector_edges(s, d)), "similarity"), "SELECT doc_id, chunk_id, neighbour, round(similarity, 6) AS similarity FROM vsim2")
-register("g15_expand", lambda s, d: G.expand(query_rows(s, d).select("query_id", "doc_id", F.lit(3).alias("chunk_id")), vector_edges(s, d), 2, 30), """
-WITH h0 AS (SELECT query_id, doc_id, 3 AS chunk_id, 0 AS hop FROM q),
-h1 AS (SELECT DISTINCT query_id, doc_id, neighbour AS chunk_id, 1 AS hop FROM h0 JOIN vsteps USING (doc_id, chunk_id) ANTI JOIN h0 z ON z.query_id = h0.query_id AND z.chunk_id = neighbour),
-r1 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
-h2 AS (SELECT DISTINCT query_id, doc_id, neighbour AS chunk_id, 2 AS hop FROM h1 JOIN vsteps USING (doc_id, chunk_id) ANTI JOIN r1 z ON z.query_id = h1.query_id AND z.chunk_id = neighbour
-       WHERE query_id NOT IN (SELECT query_id FROM r1 GROUP BY 1 HAVING count(*) >= 30)),
-r2 AS (SELECT * FROM r1 UNION ALL SELECT * FROM h2)
-SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hop, chunk_id))::INT AS rank FROM r2 QUALIFY rank <= 30""")
+#: Breadth first without a bound on hops, from a table of start rows (query_id, doc_id, ids): each round's new ids, while there are any and room is left.
+WALK = """walk AS (
+    SELECT query_id, doc_id, 0 AS hop, ids AS new, ids AS seen FROM start
+    UNION ALL
+    SELECT w.query_id, w.doc_id, w.hop + 1, list(DISTINCT v.neighbour), list_concat(any_value(w.seen), list(DISTINCT v.neighbour))
+    FROM walk w JOIN {steps} v ON v.doc_id = w.doc_id AND list_contains(w.new, v.chunk_id) AND NOT list_contains(w.seen, v.neighbour)
+    WHERE len(w.seen) < {most} GROUP BY w.query_id, w.doc_id, w.hop
+),
+hops AS (SELECT query_id, doc_id, u.chunk_id, hop FROM walk, unnest(new) AS u(chunk_id)),
+reached AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hop, chunk_id))::INT AS rank FROM hops QUALIFY rank <= {most})"""
+register("g15_expand", lambda s, d: G.expand(query_rows(s, d).select("query_id", "doc_id", F.lit(3).alias("chunk_id")), vector_edges(s, d), 30),
+         "WITH RECURSIVE start AS (SELECT query_id, doc_id, [3] AS ids FROM q),\n" + WALK.format(most=30, steps="vsteps") + "\nSELECT query_id, doc_id, chunk_id, hop, rank FROM reached")
+register("g15_expand_chain", lambda s, d: G.expand(query_rows(s, d).select("query_id", "doc_id", F.lit(3).alias("chunk_id")), chain_edges(s, d), 30, section_step=False),
+         "WITH RECURSIVE start AS (SELECT query_id, doc_id, [3] AS ids FROM q), csteps AS (SELECT doc_id, chunk_id, neighbour FROM vadj),\n" + WALK.format(most=30, steps="csteps") + "\nSELECT query_id, doc_id, chunk_id, hop, rank FROM reached")
 register("g16_expand_prioritized", lambda s, d: G.expand_prioritized(R.seeds(query_rows(s, d), vector_ids(s, d)).where("rank = 1").select("query_id", "doc_id", F.col("id").alias("chunk_id")), vector_edges(s, d)),
          "SELECT query_id, doc_id, id AS chunk_id, priority, (row_number() OVER (PARTITION BY query_id ORDER BY priority, id))::INT AS rank FROM grown WHERE seed_rank = 1")
 register("g17_g18_graph_stats", lambda s, d: rounded(G.graph_stats(*doc_graph(s, d)).select("doc_id", "n_nodes", "n_sections", "n_chunks", "n_pages", "n_edges", "n_contains_section", "n_contains", "n_belongs_to", "n_on_page", "n_follows", "density", "chunks_per_section"), "density", "chunks_per_section"), """
@@ -288,10 +299,10 @@ register("r05_next_step", lambda s, d: table(s, d, "conversations").select("conv
          "SELECT conv_id, turn, CASE WHEN turn >= 3 THEN 'generate_answer' WHEN role = 'user' AND conv_id % 2 = 0 AND text != '' THEN 'second_retrieval' ELSE 'generate_answer' END AS step FROM conversations")
 register("r06_answer_context", lambda s, d: R.answer_context(used(s, d), used_again(s, d).where("query_id % 100 = 0")), "SELECT query_id, id, place FROM used WHERE query_id NOT IN (SELECT query_id FROM used2 WHERE query_id % 100 = 0) UNION ALL SELECT query_id, id, place FROM used2 WHERE query_id % 100 = 0")
 register("r07_search", lambda s, d: R.search(query_rows(s, d), vector_ids(s, d), vector_edges(s, d)), """
-WITH near AS (SELECT * FROM qrank WHERE rank <= 20),
-h0 AS (SELECT query_id, doc_id, id AS chunk_id, 0 AS hop FROM near WHERE rank <= 5),
-h1 AS (SELECT DISTINCT h0.query_id, doc_id, neighbour AS chunk_id, 1 AS hop FROM h0 JOIN vsteps USING (doc_id, chunk_id) WHERE NOT EXISTS (SELECT 1 FROM h0 z WHERE z.query_id = h0.query_id AND z.chunk_id = neighbour)),
-g AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY hop, chunk_id) AS rank FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1) QUALIFY rank <= 15)
+WITH RECURSIVE near AS (SELECT * FROM qrank WHERE rank <= 20),
+start AS (SELECT query_id, doc_id, list(id) AS ids FROM near WHERE rank <= 5 GROUP BY ALL),
+""" + WALK.format(most=15, steps="vsteps") + """,
+g AS (SELECT query_id, chunk_id AS id, rank FROM reached)
 SELECT query_id, id, min(stage)::INT AS stage, (row_number() OVER (PARTITION BY query_id ORDER BY min(stage * 1000 + rank), id))::INT AS place
 FROM (SELECT query_id, id, 0 AS stage, rank FROM near UNION ALL SELECT query_id, id, 1, rank FROM g) GROUP BY query_id, id QUALIFY place <= 15""")
 register("r08_provenance", lambda s, d: rounded(labelled(s, d), "similarity_score", "rerank_score"), "SELECT query_id, id, place, source, round(similarity_score, 6) AS similarity_score, round(rerank_score, 6) AS rerank_score FROM provenance")

@@ -138,5 +138,5 @@ def query(last: str) -> str:
     parts = [f"{n} AS {'' if n == 'fold' else 'MATERIALIZED '}({CTES[n].strip()})" for n in CTES if n in needed]
     if not parts:
         return last
-    rest = f", {own.removeprefix('WITH ')}" if own.startswith("WITH ") else f"\n{own}"
-    return f"WITH {'RECURSIVE ' if 'fold' in needed else ''}{', '.join(parts)}{rest}"
+    rest = f", {own.removeprefix('WITH ').removeprefix('RECURSIVE ')}" if own.startswith("WITH ") else f"\n{own}"
+    return f"WITH {'RECURSIVE ' if 'fold' in needed or own.startswith('WITH RECURSIVE') else ''}{', '.join(parts)}{rest}"

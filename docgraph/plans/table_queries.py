@@ -15,7 +15,7 @@ from docgraph.plans import sql as S
 from docgraph.plans.adapters import markdown, table
 from docgraph.plans.graph_queries import D_pages, chunks, used, query_rows, vectors, labelled
 from docgraph.sources import readers
-from docgraph.sources.sinks import shared_dir
+from docgraph.sources.shared import shared_dir
 from docgraph.streaming import streams as Z
 
 QUERIES, SQL = {}, {}
@@ -200,17 +200,16 @@ register("s18_register", lambda s, d: K.register_documents(records(s, d).where("
          "SELECT o_custkey AS user_id, o_orderkey AS document_id FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT l_suppkey, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_suppkey) AS k FROM lineitem) WHERE k = 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
 
 
-def stream(s, d, make, mode):
-    """Run a stream over the events table to its end and give what it has put out, by files in the checkpoint folder."""
+def stream(s, d, write):
+    """Run a stream over the events table to its end and give what it has stored, in the checkpoint folder."""
     raw = table(s, d, "events")
     source = s.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     v = F.floor(F.col("value")).cast("long")
     events = source.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("step"), F.col("event_type").alias("phase"), F.col("user_id").alias("document_id"), v.alias("input_tokens"), v.alias("output_tokens"), v.alias("embedding_tokens"))
-    made = make(events)
     path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    Z.write_result(made, f"{path}/out", f"{path}/checkpoint", mode).awaitTermination()
-    return s.read.schema(made.schema).parquet(f"{path}/out")
+    write(events, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{path}/out")
 
 
-register("z01_daily_rollup", lambda s, d: stream(s, d, Z.daily_rollup, "complete"), "SELECT ts::DATE AS day, event_type AS phase, event_type AS step, sum(floor(value))::BIGINT AS input_tokens, sum(floor(value))::BIGINT AS output_tokens, sum(floor(value))::BIGINT AS embedding_tokens, count(*) AS events FROM events GROUP BY 1, 2, 3")
-register("z03_latest_events", lambda s, d: stream(s, d, Z.latest_events, "complete").drop("ts"), "SELECT user_id AS document_id, event_id, floor(value)::BIGINT AS input_tokens, floor(value)::BIGINT AS output_tokens, floor(value)::BIGINT AS embedding_tokens FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+register("z01_daily_rollup", lambda s, d: stream(s, d, lambda e, *to: Z.write_closed(Z.daily_rollup(e), *to)).drop("batch"), "SELECT ts::DATE AS day, event_type AS phase, event_type AS step, sum(floor(value))::BIGINT AS input_tokens, sum(floor(value))::BIGINT AS output_tokens, sum(floor(value))::BIGINT AS embedding_tokens, count(*) AS events FROM events GROUP BY 1, 2, 3 HAVING ts::DATE + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
+register("z03_latest_events", lambda s, d: stream(s, d, Z.write_latest).select("document_id", "event_id", "input_tokens", "output_tokens", "embedding_tokens"), "SELECT user_id AS document_id, event_id, floor(value)::BIGINT AS input_tokens, floor(value)::BIGINT AS output_tokens, floor(value)::BIGINT AS embedding_tokens FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -2,57 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from docgraph.sources.ledger import BUCKETS, bucketed, dealt, layout
+
 #: Order in which edges come to a graph: of those between the same two nodes, the last one stays.
 RELATIONS = ("contains_section", "contains", "belongs_to", "on_page", "follows", "similar_to")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the one of ``spark.checkpoint.dir``, or else (local tests) the context's checkpoint folder."""
-    if named := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def bucketed(df: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-
-
 def write_by_document(df: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS, files: int = 1) -> None:
     """Overwrite the buckets that ``df`` has rows of; other buckets stay. ``df`` holds all rows of its buckets.
 
-    A bucket is written by up to ``files`` tasks, a document by one of them. Take more of both for larger tables; the number of buckets is
-    the table's, so it must be the same in each write.
+    A bucket is written by up to ``files`` tasks, a document by one of them. Take more of both for larger tables: the first write fixes both
+    numbers for the table, and later ones go by these.
     """
-    part = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(files))
-    bucketed(df, key, buckets).repartition("bucket", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def replace_documents(new: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS) -> None:
-    """Rows of the documents in ``new`` replace theirs in the table; the buckets that these lie in are rewritten."""
-    spark = new.sparkSession
-    fresh = bucketed(new, key, buckets)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return write_by_document(new, path, key, buckets)
-    touched = fresh.select("bucket").distinct()
-    stay = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
-    # read and written tables are the same: cut the plan by a checkpoint first
-    merged = stay.unionByName(fresh, allowMissingColumns=True).checkpoint()
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    return None
+    buckets, files = layout(df.sparkSession, path, buckets, files)
+    dealt(bucketed(df, key, buckets), key, files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

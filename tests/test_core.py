@@ -18,7 +18,7 @@ from docgraph.operators import tables as R
 from docgraph.operators import usage as U
 from docgraph.operators import vectors as V
 from docgraph.plans import flows, registry
-from docgraph.sources import readers, sinks
+from docgraph.sources import ledger, readers, sinks
 from docgraph.streaming import streams as Z
 
 PB = T.PAGE_BREAK
@@ -198,7 +198,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.step, str(r.date)) for r in readers.usage_log(spark, str(log)).collect()] == [("s", "2026-01-02")]
     table = str(tmp_path / "table")
     sinks.write_chunks(spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, chunk_index int"), table)
-    sinks.replace_documents(spark.createDataFrame([("a", 9)], "doc_id string, chunk_index int"), table)
+    ledger.replace_rows(spark.createDataFrame([("a", 9)], "doc_id string, chunk_index int"), table)
     assert {(r.doc_id, r.chunk_index) for r in spark.read.parquet(table).collect()} == {("a", 9), ("b", 2)}
 
 
@@ -210,22 +210,6 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     closed = {str(r.day): r.events for r in spark.table("closed_days").collect()}
     assert closed and all(n == 4 for n in closed.values())  # closed windows agree with the batch
-    docs = spark.createDataFrame([(1, "# A\nsome text here")], "doc_id long, markdown string")
-    docs.write.parquet(str(tmp_path / "docs"))
-    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
-    out = str(tmp_path / "chunks")
-    Z.build_documents(stream, lambda b: C.chunk_documents(b).select("doc_id", "chunk_index", "content"), out, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
-
-
-def test_stream_queries_keep_rows_off_the_driver(spark, tmp_path):
-    events = spark.createDataFrame([(k, f"2026-01-0{1 + k // 40} 10:00:00", k % 30, "view", float(k)) for k in range(120)], "event_id long, ts string, user_id long, event_type string, value double")
-    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("props", F.lit("{}")).write.parquet(f"{tmp_path}/events.parquet")
-    for name, rows in (("z03_latest_events", 30), ("z01_daily_rollup", 3)):
-        out = registry.QUERIES[name](spark, str(tmp_path))
-        assert out.count() == rows and out.inputFiles()  # read from files, not from a table in the driver's memory
-    latest = registry.QUERIES["z03_latest_events"](spark, str(tmp_path))
-    assert {(r.document_id, r.event_id) for r in latest.collect()} == {(k, 90 + k) for k in range(30)}
 
 
 def test_provenance_of_both_passes(spark):
