@@ -15,7 +15,7 @@ from docgraph.llm.common import free_memory, materialize, small_batches
 #: Shares are in billionths, and every term counts as seen so many times more.
 PARTS, EXTRA = 1_000_000_000, 5
 #: Bytes of text whose pointers are sorted at a time.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 
 _INSIDE = np.zeros(256, dtype=bool)  # bytes of terms: ASCII letters and all of other characters
 _INSIDE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
