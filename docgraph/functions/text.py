@@ -18,6 +18,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def part(items: Column, start: Column, length: Column) -> Column:
+    """``length`` items from place ``start`` (from 0), one by one: ``slice`` goes through the whole array each time."""
+    return F.when(length > 0, F.transform(F.sequence(start, start + length - 1), lambda i: F.get(items, i))).otherwise(F.slice(F.array(F.get(items, F.lit(0))), F.lit(1), F.lit(0)))
+
+
+def scan(items: Column, start: Column, state_type: str, out_type: str, step: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """What ``step`` puts out for each item of an array in turn: (state, item) -> struct(state, out), beginning with ``start``.
+
+    A fold that appends to one array copies it for each item; here items are folded in blocks, whose outputs are appended block by block, so
+    the time grows with the number of items.
+    """
+    none, nothing = F.array().cast(f"array<{out_type}>"), F.array().cast(f"array<array<{out_type}>>")
+
+    def within(state: Column, own: Column) -> Column:
+        first = F.struct(state.cast(state_type).alias("state"), none.alias("out"))
+        return F.aggregate(own, first, lambda acc, x: let(step(acc["state"], x), lambda r: F.struct(r["state"].cast(state_type).alias("state"), F.concat(acc["out"], F.array(r["out"].cast(out_type))).alias("out"))))
+
+    def blocks(all_items: Column) -> Column:
+        n = F.coalesce(F.size(all_items), F.lit(0))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(block)), lambda _: n > 0)
+        first = F.struct(start.cast(state_type).alias("state"), nothing.alias("done"))
+        return F.aggregate(
+            starts, first,
+            lambda acc, at: let(within(acc["state"], part(all_items, at, F.least(F.lit(block), n - at))), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["done"], F.array(r["out"])).alias("done"))),
+            lambda acc: F.flatten(acc["done"]),
+        )
+
+    return let(items, blocks)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import collapse, cut_at_sentence, is_markup_line, is_table_line, is_text_line, let, model_tokens, strip
+from docgraph.functions.text import collapse, cut_at_sentence, is_markup_line, is_table_line, is_text_line, let, model_tokens, part, scan, strip
 from docgraph.operators.layout import HEADER, header_array, path_array
+from docgraph.sources.shared import stored
 
 #: Limits of an embedding model's input.
 MOST_CHARS, MOST_TOKENS = 1000, 1500
@@ -22,22 +24,32 @@ def chunk_size(total_chars: Column) -> Column:
 
 def regions(md: DataFrame) -> DataFrame:
     """doc_id, line, level, title, section_path, size, region: the lines after each header up to the next; without a text line there is no region."""
-    base = md.select("doc_id", F.split("markdown", "\n", -1).alias("ls"), path_array(header_array(F.col("markdown"))).alias("hs"), chunk_size(F.length("markdown")).alias("size"))
-    each = base.select("doc_id", "ls", "size", F.posexplode("hs").alias("k", "h"), F.col("hs").alias("hs"))
-    end = F.coalesce(F.get("hs", F.col("k") + 1)["line"] - 1, F.size("ls"))
-    own = each.withColumn("own", F.slice("ls", F.col("h.line") + 1, F.greatest(F.lit(0), end - F.col("h.line")))).where(F.exists("own", is_text_line))
-    return own.select("doc_id", "h.line", "h.level", "h.title", "h.section_path", "size", F.concat(F.array_join("own", "\n"), F.lit("\n")).alias("region"))
+    own_type = "array<struct<line:int,level:int,title:string,section_path:string,size:int,region:string>>"
+
+    def parted(hs: Column, ls: Column, size: Column) -> Column:
+        def region(h: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(hs, k + 1)["line"] - 1, F.size(ls))
+            own = part(ls, h["line"], end - h["line"])
+            text = let(own, lambda x: F.when(F.exists(x, is_text_line), F.concat(F.array_join(x, "\n"), F.lit("\n"))))
+            return F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), h["section_path"].alias("section_path"), size.alias("size"), text.alias("region"))
+
+        return F.filter(F.transform(hs, region), lambda r: r["region"].isNotNull()).cast(own_type)
+
+    made = let(path_array(header_array(F.col("markdown"))), lambda hs: let(F.split("markdown", "\n", -1), lambda ls: let(chunk_size(F.length("markdown")), lambda size: parted(hs, ls, size))))
+    return md.select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")  # all is in the exploded array, so no row holds the text
 
 
 def slices(regions_df: DataFrame) -> DataFrame:
     """Pieces of ``size`` characters of each region: adds content, start_line and position (from 0, within the document).
 
-    Slice k starts k sizes into the region, and its line is the header's, plus one, plus the line feeds before it.
+    Slice k starts k sizes into the region, and its line is the header's, plus one, plus the line feeds before it. A region is gone through once:
+    it is cut by a pattern of so many characters, and the line feeds of the pieces are added up from one to the next.
     """
-    cut = regions_df.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.length("region") / F.col("size")).cast("int") - 1)).alias("k"))
-    before = F.substring(F.col("region"), F.lit(1), F.col("k") * F.col("size"))
-    start = F.col("line") + 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    made = cut.select("doc_id", "line", "level", "title", "section_path", "size", "k", F.substring(F.col("region"), F.col("k") * F.col("size") + 1, F.col("size")).alias("content"), start.alias("start_line"))
+    pieces = F.regexp_extract_all("region", F.concat(F.lit("(?s).{1,"), F.col("size"), F.lit("}")), F.lit(0))
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    counted = scan(pieces, F.lit(0), "int", "struct<content:string,before:int>", lambda before, x: F.struct((before + feeds(x)).alias("state"), F.struct(x.alias("content"), before.alias("before")).alias("out")))
+    cut = regions_df.select("doc_id", "line", "level", "title", "section_path", "size", F.posexplode(counted).alias("k", "piece"))
+    made = cut.select("doc_id", "line", "level", "title", "section_path", "size", "k", F.col("piece.content").alias("content"), (F.col("line") + 1 + F.col("piece.before")).alias("start_line"))
     return made.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k")) - 1)
 
 
@@ -64,25 +76,84 @@ def preview_words(content: Column, most: int = 1500) -> Column:
     return F.array_distinct(F.filter(F.split(F.substring(collapse(content), 1, most), " "), lambda w: w != ""))
 
 
-def drop_near_repeats(chunks: DataFrame, at_least: float = 0.9) -> DataFrame:
+def drop_near_repeats(chunks: DataFrame, at_least: float = 0.9, fold_chunks: int = 256) -> DataFrame:
     """Chunks of each document, in order, without those whose preview words are near those of a chunk kept before.
 
-    Order decides, so each document's chunks are folded; those without words always stay. A fold holds one document.
+    Order decides: a chunk that is near a dropped one only stays. Chunks without words always stay. Documents of up to ``fold_chunks`` chunks are
+    folded, each in one value of that bounded size. In longer ones, near pairs are found by joins on rare words, and the rule is applied in
+    rounds to all documents at once (``kept_by_rounds``); nothing of such a document is in one place. Both give the same rows. The chunks are
+    written once and read for each step.
     """
+    chunks = stored(chunks, "chunks")
+    sets = chunks.select("doc_id", "position", F.array_sort(preview_words(F.col("content"))).alias("words"))
+    long = chunks.groupBy("doc_id").count().where(F.col("count") > fold_chunks).select("doc_id")
+    if long.isEmpty():
+        kept = kept_by_fold(sets, at_least)
+    else:
+        long = stored(long, "long")
+        kept = kept_by_fold(sets.join(long, "doc_id", "left_anti"), at_least).unionByName(kept_by_rounds(sets.join(long, "doc_id", "left_semi"), at_least))
+    return chunks.join(kept, ["doc_id", "position"], "left_semi").select(*chunks.columns)
+
+
+def _near(a: Column, b: Column, at_least: float) -> Column:
+    """Jaccard similarity of two sets; sets of too different sizes can't be near, and most pairs end there."""
+    n, m = F.size(a), F.size(b)
+    alike = let(F.size(F.array_intersect(a, b)), lambda both: both / (n + m - both) >= at_least)
+    return F.coalesce(F.when(F.least(n, m) / F.greatest(n, m) >= at_least, alike), F.lit(False))
+
+
+def kept_by_fold(sets: DataFrame, at_least: float = 0.9) -> DataFrame:
+    """(doc_id, position, words) -> doc_id, position of what stays; a document's sets are one value."""
     kept_type = "array<struct<position:int,words:array<string>>>"
-    ordered = F.array_sort(F.collect_list(F.struct("position", preview_words(F.col("content")).alias("words"))))
-
-    def near(a: Column, b: Column) -> Column:
-        n, m = F.size(a), F.size(b)  # sets of too different sizes can't be near: most pairs end here
-        alike = let(F.size(F.array_intersect(a, b)), lambda both: both / (n + m - both) >= at_least)
-        return F.coalesce(F.when(F.least(n, m) / F.greatest(n, m) >= at_least, alike), F.lit(False))
 
     def keep(acc: Column, c: Column) -> Column:
-        repeated = (F.size(c["words"]) > 0) & F.exists(acc, lambda k: (F.size(k["words"]) > 0) & near(c["words"], k["words"]))
+        repeated = (F.size(c["words"]) > 0) & F.exists(acc, lambda k: (F.size(k["words"]) > 0) & _near(c["words"], k["words"], at_least))
         return F.when(repeated, acc).otherwise(F.concat(acc, F.array(c)))
 
-    kept = chunks.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.aggregate("all", F.array().cast(kept_type), keep).alias("kept"))
-    return chunks.join(kept.select("doc_id", F.explode("kept.position").alias("position")), ["doc_id", "position"])
+    kept = sets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "words"))).alias("all"))
+    return kept.select("doc_id", F.explode(F.aggregate("all", F.array().cast(kept_type), keep)["position"]).alias("position"))
+
+
+def near_pairs_of_sets(sets: DataFrame, at_least: float = 0.9) -> DataFrame:
+    """(doc_id, position, words: distinct) -> doc_id, p, q: positions p < q of sets in a document with a Jaccard similarity of ``at_least``.
+
+    Two such sets share at least that part of either, so, with words in order of rarity in the document, each has a shared word among its
+    first few: these are joined, and what meets is compared once.
+    """
+    n = F.col("n")
+    each = sets.select("doc_id", "position", F.size("words").alias("n"), F.explode("words").alias("word"))
+    ranked = each.withColumn("often", F.count("*").over(Window.partitionBy("doc_id", "word"))).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "position").orderBy("often", "word")))
+    prefix = stored(ranked.where(F.col("k") <= n - F.ceil(n * at_least - 1e-9) + 1).select("doc_id", "word", "position", "n"), "prefixes")
+    later = prefix.select("doc_id", "word", F.col("position").alias("q"), F.col("n").alias("m"))
+    met = prefix.join(later, ["doc_id", "word"]).where((F.col("position") < F.col("q")) & (F.least("n", "m") / F.greatest("n", "m") >= at_least)).select("doc_id", F.col("position").alias("p"), "q").distinct()
+    one, other = (sets.select("doc_id", F.col("position").alias(c), F.col("words").alias(f"{c}_words")) for c in "pq")
+    return met.join(one, ["doc_id", "p"]).join(other, ["doc_id", "q"]).where(_near(F.col("p_words"), F.col("q_words"), at_least)).select("doc_id", "p", "q")
+
+
+def kept_by_rounds(sets: DataFrame, at_least: float = 0.9) -> DataFrame:
+    """As ``kept_by_fold``, without a document's sets in one value.
+
+    Of equal sets only the first can stay, whatever becomes of it. A round drops what is near an earlier set that stays, and keeps what has no
+    undecided earlier neighbour left; the first undecided set of each document is decided in each round, so they end.
+    """
+    key = ["doc_id", "position"]
+    blank = sets.where(F.size("words") == 0).select(*key)
+    classes = stored(sets.where(F.size("words") > 0).groupBy("doc_id", F.md5(F.array_join("words", " ").cast("binary")).alias("set")).agg(F.min("position").alias("position"), F.min_by("words", "position").alias("words")), "classes")
+    pairs = stored(near_pairs_of_sets(classes, at_least), "near")
+    earlier = pairs.select("doc_id", F.col("p").alias("position"), F.col("q"))
+    later = pairs.select("doc_id", F.col("q").alias("position")).distinct()
+    kept = [classes.select(*key).join(later, key, "left_anti")]
+    new, waiting = kept[0], later
+    while True:
+        gone = new.join(earlier, key).select("doc_id", F.col("q").alias("position"))
+        waiting = stored(waiting.join(gone, key, "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+        held = waiting.join(earlier, key).select("doc_id", F.col("q").alias("position"))
+        new = stored(waiting.join(held, key, "left_anti"), "kept")
+        waiting = waiting.join(new, key, "left_anti")
+        kept.append(new)
+    return functools.reduce(DataFrame.unionByName, kept).unionByName(blank)
 
 
 def with_neighbours(chunks: DataFrame) -> DataFrame:
@@ -191,11 +262,17 @@ def chunk_statistics(chunks: DataFrame, most_tokens: int = 1000) -> DataFrame:
 def pack_paragraphs(md: DataFrame, most: int = 400) -> DataFrame:
     """doc_id, piece, text: paragraphs, each with the blank line after it, put together up to ``most`` characters; a longer one stands alone."""
     paragraphs = F.transform(F.split("markdown", "\n\n", -1), lambda p: F.concat(p, F.lit("\n\n")))
-    empty = F.array().cast("array<string>")
 
-    def pack(acc: Column, p: Column) -> Column:
-        last = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))
-        fits = (F.size(acc) > 0) & (F.length(last) + F.length(p) <= most)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, p)))).otherwise(F.concat(acc, F.array(p)))
+    def place(state: Column, p: Column) -> Column:
+        """The piece that a paragraph falls in, from its number and length so far."""
+        fits = (state["piece"] >= 0) & (state["length"] + F.length(p) <= most)
+        piece = F.when(fits, state["piece"]).otherwise(state["piece"] + 1)
+        return F.struct(F.struct(piece.alias("piece"), (F.when(fits, state["length"]).otherwise(0) + F.length(p)).alias("length")).alias("state"), piece.alias("out"))
+
+    def join(ps: Column, piece: Column) -> Column:
+        first = F.filter(F.transform(piece, lambda x, i: F.when((i == 0) | (x != F.get(piece, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda starts: F.transform(starts, lambda at, k: F.array_join(part(ps, at, F.coalesce(F.get(starts, k + 1), F.size(ps)) - at), "")))
 
-    return md.where("markdown != ''").select("doc_id", F.posexplode(F.aggregate(paragraphs, empty, pack)).alias("piece", "text"))
+    start = F.struct(F.lit(-1).alias("piece"), F.lit(0).alias("length"))
+    packed = let(paragraphs, lambda ps: let(scan(ps, start, "struct<piece:int,length:int>", "int", place), lambda piece: join(ps, piece)))
+    return md.where("markdown != ''").select("doc_id", F.posexplode(packed).alias("piece", "text"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import IMAGE, PAGE_BREAK, is_table_line, strip
+from docgraph.functions.text import IMAGE, PAGE_BREAK, is_table_line, scan, strip
 
 HEADER = r"^(#+)\s+(.+)$"
 
@@ -79,21 +79,18 @@ def header_array(markdown: Column) -> Column:
 def path_array(headers: Column) -> Column:
     """Array of (line, level, title, section_path): the titles above a header are those of the last headers of smaller levels.
 
-    A fold that carries the open sections; it pushes a header after closing those of its level and deeper.
+    The open sections are carried from header to header; a header is pushed after closing those of its level and deeper.
     """
     open_type = "array<struct<level:int,title:string>>"
-    out_type = "array<struct<line:int,level:int,title:string,section_path:string>>"
-    start = F.struct(F.array().cast(open_type).alias("open"), F.array().cast(out_type).alias("out"))
+    out_type = "struct<line:int,level:int,title:string,section_path:string>"
 
-    def push(acc: Column, h: Column) -> Column:
-        above = F.filter(acc["open"], lambda o: o["level"] < h["level"])
+    def push(opened: Column, h: Column) -> Column:
+        above = F.filter(opened, lambda o: o["level"] < h["level"])
         path = F.array_join(F.concat(F.transform(above, lambda o: o["title"]), F.array(h["title"])), " > ")
-        return F.struct(
-            F.concat(above, F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))).alias("open"),
-            F.concat(acc["out"], F.array(F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), path.alias("section_path")))).alias("out"),
-        )
+        state = F.concat(above, F.array(F.struct(h["level"].alias("level"), h["title"].alias("title"))))
+        return F.struct(state.alias("state"), F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), path.alias("section_path")).alias("out"))
 
-    return F.aggregate(headers, start, push, lambda acc: acc["out"])
+    return scan(headers, F.array(), open_type, out_type, push)
 
 
 def headers(md: DataFrame) -> DataFrame:
