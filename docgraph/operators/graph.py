@@ -12,7 +12,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import squared_distance
+from docgraph.operators.vectors import nearest
 from docgraph.sources.shared import discard, stored
 
 
@@ -97,10 +97,9 @@ def similar_edges(vectors: DataFrame, follows: DataFrame, search: int = 8, keep:
     Of each chunk's ``search`` nearest, itself among them, the best ``keep`` others; similarity is 1 for the nearest and 0 for the
     farthest of these, and what is above ``above`` is an edge, unless the two follow each other. Of both directions the one from the lower index stays.
     """
-    a, b = vectors.alias("a"), vectors.alias("b")
-    pairs = a.join(b, F.col("a.doc_id") == F.col("b.doc_id")).select(F.col("a.doc_id").alias("doc_id"), F.col("a.chunk_index").alias("i"), F.col("b.chunk_index").alias("j"), squared_distance(F.col("a.vec"), F.col("b.vec")).alias("d"))
+    found = nearest(vectors.select(F.col("chunk_index").alias("query_id"), "doc_id", "vec"), vectors.select("doc_id", F.col("chunk_index").alias("id"), "vec"), search)
+    near = found.select("doc_id", F.col("query_id").alias("i"), F.col("id").alias("j"), F.col("distance").alias("d")).where("i != j")
     by_chunk = Window.partitionBy("doc_id", "i")
-    near = pairs.withColumn("place", F.row_number().over(by_chunk.orderBy("d", "j"))).where(F.col("place") <= search).where("i != j")
     top = near.withColumn("k", F.row_number().over(by_chunk.orderBy("d", "j"))).where(F.col("k") <= keep)
     scored = top.withColumn("similarity", 1 - (F.col("d") - F.min("d").over(by_chunk)) / (F.max("d").over(by_chunk) - F.min("d").over(by_chunk) + 1e-9)).where(F.col("similarity") > above)
     linked = follows.select("doc_id", node_number(F.col("source")).alias("i"), node_number(F.col("target")).alias("j"))

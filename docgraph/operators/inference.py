@@ -5,33 +5,92 @@ The prompts are written for this library; what they carry and how responses are
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.text import let, strip, words
-
-
-def complete(prompts: DataFrame, model: Callable[[str], str], prompt_col: str = "prompt", concurrency: int | None = None) -> DataFrame:
-    """Adds response and error: ``model`` is called once per row; an exception is that row's error, not the job's.
-
-    ``concurrency`` sets the number of partitions, and so of calls at a time.
+from docgraph.operators.grounding import format_references, supporting_chunks
+
+
+def _limited(call: Callable, argument, seconds: float | None):
+    """``call(argument)``, given up after so many seconds; a call that hangs is left behind in a thread that doesn't keep the worker alive."""
+    if seconds is None:
+        return call(argument)
+    box: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            box.put((call(argument), None))
+        except Exception as e:  # noqa: BLE001  handed to the caller
+            box.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        value, error = box.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no response in {seconds} s") from None
+    if error is not None:
+        raise error
+    return value
+
+
+def complete(
+    prompts: DataFrame,
+    model: Callable,
+    prompt_col: str = "prompt",
+    concurrency: int | None = None,
+    in_flight: int = 1,
+    batch_size: int | None = None,
+    retries: int = 0,
+    wait: float = 1.0,
+    time_limit: float | None = None,
+) -> DataFrame:
+    """Adds response and error: what ``model`` makes of each prompt; an exception is that row's error, not the job's.
+
+    ``model`` takes a prompt, or with ``batch_size`` a list of up to so many and gives as many responses; a batch that fails is tried prompt by prompt, as lists of
+    one, so that a bad prompt doesn't cost the others theirs. Up to ``in_flight`` calls of a task run at a time. A call that raises or takes longer than
+    ``time_limit`` seconds is repeated up to ``retries`` times, after ``wait`` seconds, doubled each time. ``concurrency`` sets the number of partitions,
+    and so of tasks that call at a time. Null prompts aren't sent: their response is null. Rows keep their order within a partition.
     """
     rows = prompts.repartition(concurrency) if concurrency else prompts
 
+    def tried(argument) -> tuple:
+        for attempt in range(retries + 1):
+            try:
+                return _limited(model, argument, time_limit), None
+            except Exception as e:  # noqa: BLE001  whatever the model raises is kept
+                error = f"{type(e).__name__}: {e}"
+                if attempt < retries:
+                    time.sleep(wait * 2**attempt)
+        return None, error
+
+    def whole(batch: list[str]) -> list[tuple]:
+        responses, error = tried(batch)
+        if error is None and len(responses) == len(batch):
+            return [(r, None) for r in responses]
+        if len(batch) == 1:
+            return [(None, error or f"ValueError: {len(responses)} responses to a prompt")]
+        return [x for prompt in batch for x in whole([prompt])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            responses, errors = [], []
-            for prompt in part[prompt_col]:
-                try:
-                    responses.append(model(prompt))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  whatever the model raises is kept
-                    responses.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield part.assign(response=pd.Series(responses, index=part.index, dtype=object), error=pd.Series(errors, index=part.index, dtype=object))
+        with ThreadPoolExecutor(in_flight) as pool:
+            for part in batches:
+                asked = [k for k, prompt in enumerate(part[prompt_col]) if prompt is not None]
+                sent = part[prompt_col].iloc[asked].tolist()
+                step = batch_size or 1
+                units = [sent[at : at + step] for at in range(0, len(sent), step)]
+                found = [x for unit in pool.map(whole if batch_size else (lambda unit: [tried(unit[0])]), units) for x in unit]
+                responses, errors = [None] * len(part), [None] * len(part)
+                for k, (response, error) in zip(asked, found, strict=True):
+                    responses[k], errors[k] = response, error
+                yield part.assign(response=pd.Series(responses, index=part.index, dtype=object), error=pd.Series(errors, index=part.index, dtype=object))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return rows.mapInPandas(run, f"{schema}, response string, error string")
@@ -158,6 +217,25 @@ def range_chunks(ranges: DataFrame, chunks: DataFrame) -> DataFrame:
     return paged.join(chunks.select("doc_id", "page_number", "chunk_index"), ["doc_id", "page_number"]).groupBy("doc_id", "start_page", "end_page").agg(F.array_sort(F.collect_set("chunk_index")).alias("chunk_ids"))
 
 
+def supported_ranges(ranges: DataFrame, chunks: DataFrame, top_k: int = 3, at_least: float = 0.1) -> DataFrame:
+    """doc_id, title, start_page, end_page, summary, chunk_ids, summary_with_references: each range with the chunks on its pages that support its summary's sentences."""
+    key = F.concat_ws(":", "doc_id", "start_page", "end_page", F.xxhash64("title", "summary"))
+    keyed = ranges.withColumn("range", key)
+    texts = keyed.select(F.col("range").alias("text_id"), F.col("range").alias("doc_id"), F.col("summary").alias("text")).distinct()
+    paged = keyed.select("range", "doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page_number")).distinct()
+    there = paged.join(chunks.select("doc_id", "page_number", "chunk_index", "content"), ["doc_id", "page_number"]).select(F.col("range").alias("doc_id"), "chunk_index", "content")
+    found = supporting_chunks(texts, there, top_k, at_least).select(F.col("text_id").alias("range"), "chunk_ids")
+    joined = keyed.join(found, "range").drop("range")
+    return joined.withColumn("summary_with_references", F.concat("summary", format_references(F.col("chunk_ids"))))
+
+
+def supported_overviews(overviews: DataFrame, chunks: DataFrame, top_k: int = 4, at_least: float = 0.12) -> DataFrame:
+    """(doc_id, doc_summary, ...) with chunk_ids and summary_with_references: the chunks of the document that support its summary's sentences."""
+    texts = overviews.select(F.col("doc_id").alias("text_id"), "doc_id", F.col("doc_summary").alias("text"))
+    found = supporting_chunks(texts, chunks, top_k, at_least).select("doc_id", "chunk_ids")
+    return overviews.join(found, "doc_id").withColumn("summary_with_references", F.concat("doc_summary", format_references(F.col("chunk_ids"))))
+
+
 def overview_prompts(page_summaries: DataFrame, most: int = 8000) -> DataFrame:
     """doc_id, prompt over all page summaries, cut to 8000 characters."""
     return range_prompts(page_summaries).select("doc_id", F.concat(F.lit("Page summaries of a document:\n\n"), F.substring("block", 1, most), F.lit("\n\nWrite SUMMARY: and QUERIES: (a list).")).alias("prompt"))

@@ -44,16 +44,38 @@ def ordered_union(parts: list[DataFrame], most: int = MOST_CHUNKS) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "id"))).where(F.col("place") <= most).select("query_id", "id", F.col("at.stage").alias("stage"), "place")
 
 
+class Pass(NamedTuple):
+    """A retrieval's chunks (query_id, id, stage, place), seeds and expansions (query_id, id, score, rank; expansions with seed_rank)."""
+
+    used: DataFrame
+    seed: DataFrame
+    grown: DataFrame
+
+
+def _joined(found: DataFrame, grown: DataFrame) -> Pass:
+    return Pass(ordered_union([found, *[grown.where(F.col("seed_rank") == k) for k in range(1, EXPANDED_SEEDS + 1)]]), found, grown)
+
+
+def first_pass(queries: DataFrame, vectors: DataFrame, edges: DataFrame) -> Pass:
+    """Seeds, then the expansion of the first and of the second. Both are written once, as later steps read them again."""
+    found = stored(seeds(queries, vectors), "seeds")
+    return _joined(found, stored(seed_expansions(found, edges, vectors), "grown"))
+
+
+def later_pass(new_queries: DataFrame, vectors: DataFrame, grown: DataFrame) -> Pass:
+    """Seeds of the new query, then the expansions that the first pass made, for the queries asked."""
+    asked = new_queries.select("query_id")
+    return _joined(stored(seeds(new_queries, vectors), "seeds"), grown.join(asked, "query_id", "left_semi"))
+
+
 def initial_retrieval(queries: DataFrame, vectors: DataFrame, edges: DataFrame) -> DataFrame:
-    """Seeds, then the expansion of the first and of the second: query_id, id, stage, place."""
-    found = seeds(queries, vectors)
-    grown = seed_expansions(found, edges, vectors)
-    return ordered_union([found, *[grown.where(F.col("seed_rank") == k) for k in range(1, EXPANDED_SEEDS + 1)]])
+    """query_id, id, stage, place of the first pass."""
+    return first_pass(queries, vectors, edges).used
 
 
 def second_retrieval(new_queries: DataFrame, vectors: DataFrame, grown: DataFrame) -> DataFrame:
-    """Seeds of the new query, then the expansions that the first pass made."""
-    return ordered_union([seeds(new_queries, vectors), *[grown.where(F.col("seed_rank") == k) for k in range(1, EXPANDED_SEEDS + 1)]])
+    """query_id, id, stage, place of a later pass, with all expansions in ``grown``."""
+    return _joined(seeds(new_queries, vectors), grown).used
 
 
 def seed_quality(found: DataFrame, at_least: float = 0.3) -> DataFrame:
@@ -78,14 +100,6 @@ def search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, limit: int
     return ordered_union([found, grown.select("query_id", F.col("chunk_id").alias("id"), "rank")], limit)
 
 
-class Pass(NamedTuple):
-    """A retrieval's chunks (query_id, id, place), seeds and expansions (query_id, id, score)."""
-
-    used: DataFrame
-    seed: DataFrame
-    grown: DataFrame
-
-
 def provenance(used: DataFrame, seed: DataFrame, grown: DataFrame, second: Pass | None = None, page_summary: DataFrame | None = None) -> DataFrame:
     """query_id, id, place, source, similarity_score, rerank_score of each chunk that a query has retrieved.
 

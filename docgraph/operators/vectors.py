@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import distance_to_similarity, squared_distance, words
+from docgraph.functions.text import distance_to_similarity, words
+from docgraph.sources.shared import stored
 
 
 def hashed_words(text: DataFrame, text_col: str = "text", width: int = 64, out: str = "vec") -> DataFrame:
@@ -33,16 +37,87 @@ def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text
     return rows.withColumn(out, run(F.col(text_col)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: str = "doc_id") -> DataFrame:
-    """query_id, within, id, distance (squared L2), rank: the ``k`` nearest vectors of each query in its document.
+def usable(vec: Column) -> Column:
+    """Whether a vector can be compared: it is there, and so are all its components."""
+    return vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull())
 
-    queries: (query_id, within, vec); vectors: (within, id, vec). An equal join on the document. The rank
-    filter is applied before the shuffle too (a window group limit), so a query sends k rows per task.
+
+def in_tiles(queries: DataFrame, vectors: DataFrame, within: str = "doc_id", tile_rows: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the tiles that their rows belong to: bucket, q_block, v_block.
+
+    A group's vectors are in blocks of about ``tile_rows``, and so are its queries; a tile is a block of queries against one of vectors. Groups of one
+    block share a bucket with others, so that small groups don't make a tile each; a large group has its blocks in all tiles of its pairs.
+    A vector is sent once per block of queries, not once per query.
     """
-    pairs = queries.select("query_id", within, F.col("vec").alias("q")).join(vectors.select(within, "id", "vec"), within)
-    near = pairs.select("query_id", within, "id", squared_distance(F.col("q"), F.col("vec")).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    counts = stored(vectors.groupBy(within).agg(F.count("*").alias("n_v")).join(queries.groupBy(within).agg(F.count("*").alias("n_q")), within), "groups")
+    buckets = max(1, (counts.agg(F.sum("n_v")).first()[0] or 0) // tile_rows)
+    blocks = lambda n: F.ceil(F.col(n) / tile_rows).cast("int")
+    sizes = counts.select(within, F.pmod(F.xxhash64(within), F.lit(buckets)).alias("bucket"), blocks("n_v").alias("v_blocks"), blocks("n_q").alias("q_blocks"))
+    own = lambda key, n: F.pmod(F.xxhash64(key, F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(sizes, within).select(*queries.columns, "bucket", own("query_id", "q_blocks").alias("q_block"), every("v_blocks").alias("v_block"))
+    v = vectors.join(sizes.select(*[F.col(c).alias(c) for c in sizes.columns]), within).select(*vectors.columns, "bucket", own("id", "v_blocks").alias("v_block"), every("q_blocks").alias("q_block"))
+    return q, v
+
+
+def _matrix(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    return np.stack(column.take(pa.array(rows)).to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+def _nearest_in_tile(queries: pa.Table, vectors: pa.Table, within: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``queries``, row of ``vectors``, distance) of the nearest in one tile, each query with its group's vectors of its width.
+
+    A matrix product gives distances that are near enough to leave most out; those that may be among the nearest are computed from the differences.
+    """
+    groups: dict[tuple, tuple[list[int], list[int]]] = {}
+    for side, table in enumerate((queries, vectors)):
+        for row, (group, width) in enumerate(zip(table[within].to_pylist(), pc.list_value_length(table["vec"]).to_pylist(), strict=True)):
+            groups.setdefault((group, width), ([], []))[side].append(row)
+    ids, most = vectors["id"].to_numpy(), queries["k"].to_numpy()
+    found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    for asked, there in groups.values():
+        if not asked or not there:
+            continue
+        asked, there = np.array(asked), np.array(there)
+        q, v = _matrix(queries["vec"], asked), _matrix(vectors["vec"], there)
+        k = most[asked]
+        q_norm, v_norm = (q * q).sum(axis=1), (v * v).sum(axis=1)
+        about = q_norm[:, None] + v_norm[None, :] - 2 * (q @ v.T)
+        line = np.full(len(q), np.inf)
+        for limit in np.unique(k[k < len(v)]).tolist():
+            line[k == limit] = np.partition(about[k == limit], limit - 1, axis=1)[:, limit - 1] if limit > 0 else -np.inf
+        i, j = np.nonzero(~(about > (line + 1e-9 * (q_norm + v_norm.max()) + 1e-12)[:, None]))
+        exact = np.concatenate([np.cumsum((q[i[at : at + 65536]] - v[j[at : at + 65536]]) ** 2, axis=1)[:, -1] for at in range(0, len(i), 65536)]) if len(i) and q.shape[1] else np.zeros(len(i))
+        order = np.lexsort((ids[there[j]], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        kept = place < k[i]
+        found.append((asked[i[kept]], there[j[kept]], exact[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | str, within: str = "doc_id", tile_rows: int = 1024) -> DataFrame:
+    """query_id, within, id, distance (squared L2), rank: the ``k`` nearest vectors of each query in its document, ties to the smaller id.
+
+    queries: (query_id, within, vec); vectors: (within, id, vec); ``k`` may be a column of ``queries``. Exact: every query meets every vector of
+    its document, in tiles of bounded size that are tasks of their own, as products of matrices; a tile gives each of its queries' ``k`` nearest,
+    and these are merged. Vectors that are null or hold nulls take no part, nor do pairs of unequal widths; queries of documents without
+    vectors have no rows. Equal vectors tie by id.
+    """
+    schema = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
+    own = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  both tables may come from one
+    asked = queries.where(usable(F.col("vec"))).select(*own("query_id", within, "vec"), (F.col(k) if isinstance(k, str) else F.lit(k)).cast("long").alias("k"))
+    q, v = in_tiles(asked, vectors.where(usable(F.col("vec"))).select(*own(within, "id", "vec")), within, tile_rows)
+
+    def tile(asked: pa.Table, there: pa.Table) -> pa.Table:
+        i, j, distance = _nearest_in_tile(asked, there, within)
+        i = pa.array(i)
+        return pa.table([asked["query_id"].take(i), asked[within].take(i), there["id"].take(pa.array(j)), pa.array(distance), asked["k"].take(i)], names=["query_id", within, "id", "distance", "k"])
+
+    key = ["bucket", "q_block", "v_block"]
+    found = q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(tile, f"query_id {schema['query_id']}, `{within}` {schema[within]}, id {schema['id']}, distance double, k long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(within, "query_id").orderBy("distance", "id")))
+    return ranked.where(F.col("rank") <= (F.col("k") if isinstance(k, str) else k)).drop("k")
 
 
 def rerank(seeds: DataFrame, candidates: DataFrame, vectors: DataFrame, k: int = 5, scale: float = 150.0, search: int = 64) -> DataFrame:
@@ -50,10 +125,9 @@ def rerank(seeds: DataFrame, candidates: DataFrame, vectors: DataFrame, k: int =
 
     seeds: (query_id, doc_id, id); candidates: (query_id, id). The search goes as far as the candidates are many, ``search`` at least.
     """
-    own = seeds.select("query_id", "doc_id", "id").join(vectors, ["doc_id", "id"]).select("query_id", "doc_id", "vec")
     many = candidates.groupBy("query_id").agg(F.greatest(F.count("*"), F.lit(search)).alias("most"))
-    pairs = own.select("query_id", "doc_id", F.col("vec").alias("q")).join(vectors, "doc_id").select("query_id", "id", squared_distance(F.col("q"), F.col("vec")).alias("distance"))
-    found = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).join(many, "query_id").where("place <= most")
+    own = seeds.select("query_id", "doc_id", "id").join(vectors, ["doc_id", "id"]).join(many, "query_id").select("query_id", "doc_id", "vec", "most")
+    found = nearest(own, vectors, "most")
     kept = found.join(candidates, ["query_id", "id"], "left_semi").withColumn("score", distance_to_similarity(F.col("distance"), scale))
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Window
@@ -14,9 +15,11 @@ from docgraph.operators import grounding as N
 from docgraph.operators import layout as L
 from docgraph.operators import retrieval as R
 from docgraph.operators import vectors as V
+from docgraph.plans import flows
 from docgraph.plans import sql as S
 from docgraph.plans.adapters import markdown, table
 from docgraph.plans.layout_queries import chunks, paged
+from docgraph.sources.shared import stored
 
 QUERIES, SQL = {}, {}
 
@@ -44,7 +47,7 @@ def vector_chunks(s, d):
 def vector_edges(s, d):
     c = vector_chunks(s, d)
     follows = G.follow_edges(c)
-    return G.containment_edges(c).unionByName(G.page_edges(c)).unionByName(follows).unionByName(G.similar_edges(vectors(s, d), follows))
+    return stored(G.containment_edges(c).unionByName(G.page_edges(c)).unionByName(follows).unionByName(G.similar_edges(vectors(s, d), follows)), "edges")
 
 
 def chain_edges(s, d):
@@ -268,36 +271,68 @@ register("v05_rerank", lambda s, d: rounded(R.seed_expansions(R.seeds(query_rows
 register("v06_score_summary", lambda s, d: rounded(V.score_summary(R.seeds(query_rows(s, d), vector_ids(s, d))), "avg_score", "max_score", "min_score"), "SELECT query_id, count(*) AS n, round(avg(score), 6) AS avg_score, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score FROM seeds GROUP BY 1")
 
 
-def used(s, d):
-    return R.initial_retrieval(query_rows(s, d), vector_ids(s, d), vector_edges(s, d))
+def first(s, d):
+    return R.first_pass(query_rows(s, d), vector_ids(s, d), vector_edges(s, d))
+
 
+def again(s, d, grown):
+    """A second pass of every query, by the vector after its own."""
+    return R.later_pass(query_rows(s, d, 1).withColumn("query_id", F.col("query_id") - 1), vector_ids(s, d), grown)
 
-def used_again(s, d):
-    grown = R.seed_expansions(R.seeds(query_rows(s, d), vector_ids(s, d)), vector_edges(s, d), vector_ids(s, d))
-    return R.second_retrieval(query_rows(s, d, 1).withColumn("query_id", F.col("query_id") - 1), vector_ids(s, d), grown)
+
+def used(s, d):
+    return first(s, d).used
 
 
 def labelled(s, d):
-    found = R.seeds(query_rows(s, d), vector_ids(s, d))
-    return R.provenance(used(s, d), found, R.seed_expansions(found, vector_edges(s, d), vector_ids(s, d)))
+    return R.provenance(*first(s, d))
 
 
 def labelled_passes(s, d):
     """Both passes of each query, and page summaries: rows of another remainder ask for the first page of their document."""
-    found, again = R.seeds(query_rows(s, d), vector_ids(s, d)), R.seeds(query_rows(s, d, 1).withColumn("query_id", F.col("query_id") - 1), vector_ids(s, d))
-    grown = R.seed_expansions(found, vector_edges(s, d), vector_ids(s, d))
+    one = first(s, d)
     pages = query_rows(s, d, 2).select("query_id", "doc_id").join(vector_chunks(s, d).where("page_number = 1").select("doc_id", F.col("chunk_index").alias("id")), "doc_id").select("query_id", "id")
-    return R.provenance(used(s, d), found, grown, R.Pass(used_again(s, d), again, grown), pages)
+    return R.provenance(*one, again(s, d, one.grown), pages)
+
+
+def context(s, d):
+    one = first(s, d)
+    return R.answer_context(one.used, again(s, d, one.grown).used.where("query_id % 40 = 0"))
+
+
+def stub_model(prompt):
+    """A model that any database can play: every second question needs the vector after its own, and the answer is the first chunk's name."""
+    number = int(re.search(r"vector number (\d+)", prompt)[1])
+    if "NEEDS_MORE" in prompt:
+        return f"NEEDS_MORE: YES\nRELATED_QUERY: vector number {number + 1} please" if number % 40 == 0 else "NEEDS_MORE: NO\nRELATED_QUERY: None"
+    if "CLASS:" in prompt:
+        return "CLASS: FULL_RETRIEVAL"
+    return f"It is in t{re.search(r'.C(.*?). ', prompt)[1]}" if "from these chunks" in prompt else "- and t1?\n- And T1?"
+
+
+def answers(s, d):
+    """The whole answer loop over every query, with vectors in place of an embedding."""
+    chunk = vector_chunks(s, d).withColumns({"content": F.concat(F.lit("t"), F.col("chunk_index")), "section_path": F.lit("S")})
+    corpus = flows.Corpus(stored(chunk, "chunks"), vectors(s, d), None, vector_edges(s, d))
+    texts = query_rows(s, d).select("query_id", "doc_id", F.concat(F.lit("vector number "), F.col("query_id"), F.lit(" please")).alias("text"))
+    named = table(s, d, "embeddings").select(F.col("vec_id").alias("number"), F.col("embedding").alias("vec"))
+    embed = lambda rows: rows.withColumn("number", F.regexp_extract("text", r"(\d+)", 1).cast("long")).join(named, "number").drop("number")
+    return flows.answer(texts, corpus, stub_model, embed=embed)
 
 
 register("r01_route", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", R.route(F.col("turn") % 3 == 0, F.col("turn"), F.col("role") == "user").alias("route")),
          "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND turn > 0 THEN 'summarize_page' WHEN role = 'user' THEN 'use_history' ELSE 'normal_retrieval' END AS route FROM conversations")
 register("r02_initial_retrieval", used, "SELECT * FROM used")
 register("r03_seed_quality", lambda s, d: R.seed_quality(R.seeds(query_rows(s, d), vector_ids(s, d)), 0.99), "SELECT query_id, count(*) AS n_seeds, count(*) FILTER (WHERE score >= 0.99::DOUBLE) AS n_good FROM seeds GROUP BY 1")
-register("r04_second_retrieval", used_again, "SELECT * FROM used2")
+register("r04_second_retrieval", lambda s, d: again(s, d, first(s, d).grown).used, "SELECT * FROM used2")
 register("r05_next_step", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", R.next_step(F.col("turn"), F.col("role") == "user", F.when(F.col("conv_id") % 2 == 0, F.col("text"))).alias("step")),
          "SELECT conv_id, turn, CASE WHEN turn >= 3 THEN 'generate_answer' WHEN role = 'user' AND conv_id % 2 = 0 AND text != '' THEN 'second_retrieval' ELSE 'generate_answer' END AS step FROM conversations")
-register("r06_answer_context", lambda s, d: R.answer_context(used(s, d), used_again(s, d).where("query_id % 100 = 0")), "SELECT query_id, id, place FROM used WHERE query_id NOT IN (SELECT query_id FROM used2 WHERE query_id % 100 = 0) UNION ALL SELECT query_id, id, place FROM used2 WHERE query_id % 100 = 0")
+register("r06_answer_context", context, "SELECT query_id, id, place FROM used WHERE query_id % 40 != 0 UNION ALL SELECT query_id, id, place FROM used2 WHERE query_id % 40 = 0")
+register("r06_answer_loop", answers, """
+WITH more AS (SELECT e.vec_id AS query_id, vc.chunk_index AS id, list_sum(list_transform(list_zip(n.embedding, vc.vec), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d
+    FROM embeddings e JOIN embeddings n ON n.vec_id = e.vec_id + 1 JOIN vc ON vc.doc_id = e.label WHERE e.vec_id % 40 = 0),
+best AS (SELECT query_id, id FROM used WHERE place = 1 AND query_id % 40 != 0 UNION ALL SELECT query_id, id FROM more QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) = 1)
+SELECT query_id, doc_id, 'normal_retrieval' AS route, CASE WHEN query_id % 40 = 0 THEN 2 ELSE 1 END AS passes, 'It is in t' || id AS answer, [id] AS chunk_ids, '^[C' || id || ']' AS "references", ['and t1?'] AS questions FROM best JOIN q USING (query_id)""")
 register("r07_search", lambda s, d: R.search(query_rows(s, d), vector_ids(s, d), vector_edges(s, d)), """
 WITH RECURSIVE near AS (SELECT * FROM qrank WHERE rank <= 20),
 start AS (SELECT query_id, doc_id, list(id) AS ids FROM near WHERE rank <= 5 GROUP BY ALL),
@@ -307,8 +342,21 @@ SELECT query_id, id, min(stage)::INT AS stage, (row_number() OVER (PARTITION BY
 FROM (SELECT query_id, id, 0 AS stage, rank FROM near UNION ALL SELECT query_id, id, 1, rank FROM g) GROUP BY query_id, id QUALIFY place <= 15""")
 register("r08_provenance", lambda s, d: rounded(labelled(s, d), "similarity_score", "rerank_score"), "SELECT query_id, id, place, source, round(similarity_score, 6) AS similarity_score, round(rerank_score, 6) AS rerank_score FROM provenance")
 register("r09_retrieval_statistics", lambda s, d: R.retrieval_statistics(labelled(s, d)), "SELECT query_id, count(*) AS total_chunks_used, count(*) FILTER (WHERE source = 'seed') AS seed_chunks, count(*) FILTER (WHERE source = 'graph_expanded') AS graph_expanded_chunks, count(rerank_score) AS reranked_chunks FROM provenance GROUP BY 1")
-register("r08_provenance_both_passes", lambda s, d: rounded(labelled_passes(s, d), "similarity_score", "rerank_score"))
-register("r09_statistics_both_passes", lambda s, d: R.retrieval_statistics(labelled_passes(s, d), all_labels=True))
+BOTH_PASSES = """late AS (SELECT u.query_id, u.id, row_number() OVER (PARTITION BY u.query_id ORDER BY u.place, u.id) + coalesce(n, 0) AS place, s.score AS similarity_score, r.score AS rerank_score
+    FROM used2 u LEFT JOIN (SELECT query_id, max(place) AS n FROM used GROUP BY 1) b ON b.query_id = u.query_id
+    LEFT JOIN seeds2 s ON s.query_id = u.query_id AND s.id = u.id LEFT JOIN (SELECT query_id, id, max(score) AS score FROM reranked GROUP BY 1, 2) r ON r.query_id = u.query_id AND r.id = u.id
+    WHERE NOT EXISTS (SELECT 1 FROM used f WHERE f.query_id = u.query_id AND f.id = u.id)),
+asked AS (SELECT vec_id AS query_id, label AS doc_id FROM embeddings WHERE vec_id % 20 = 2),
+passes AS (
+    SELECT query_id, id, place, source, similarity_score, rerank_score FROM provenance
+    UNION ALL SELECT query_id, id, place, CASE WHEN similarity_score IS NOT NULL THEN 'second_seed' WHEN rerank_score IS NOT NULL THEN 'second_expanded' ELSE 'second_retrieval' END, similarity_score, rerank_score FROM late
+    UNION ALL SELECT query_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index), 'page_summary', NULL, NULL FROM asked JOIN vchunks USING (doc_id) WHERE page_number = 1)
+"""
+LABELS = {"seed_chunks": "seed", "graph_expanded_chunks": "graph_expanded", **{f"{x}_chunks": x for x in ("second_seed", "second_expanded", "second_retrieval", "page_summary")}}
+register("r08_provenance_both_passes", lambda s, d: rounded(labelled_passes(s, d), "similarity_score", "rerank_score"),
+         "WITH " + BOTH_PASSES + "SELECT query_id, id, place::INT AS place, source, round(similarity_score, 6) AS similarity_score, round(rerank_score, 6) AS rerank_score FROM passes")
+register("r09_statistics_both_passes", lambda s, d: R.retrieval_statistics(labelled_passes(s, d), all_labels=True),
+         "WITH " + BOTH_PASSES + "SELECT query_id, count(*) AS total_chunks_used, count(rerank_score) AS reranked_chunks, " + ", ".join(f"count(*) FILTER (WHERE source = '{x}') AS {c}" for c, x in LABELS.items()) + " FROM passes GROUP BY 1")
 register("r10_only_grounded", lambda s, d: R.only_grounded(used(s, d), used(s, d).where("place % 2 = 0").groupBy("query_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("chunk_ids"))), "SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY id DESC))::INT AS place FROM used WHERE place % 2 = 0")
 register("r11_lookup", lambda s, d: R.lookup(table(s, d, "labels").select(F.col("doc_id").alias("request_id"), "doc_id", F.array(F.lit(2), F.lit(0), F.lit(2)).alias("ids")), chunks(s, d).select("doc_id", "chunk_index", "heading")),
          "SELECT l.doc_id AS request_id, l.doc_id, CASE chunk_index WHEN 2 THEN 0 ELSE 1 END AS place, chunk_index, heading FROM labels l JOIN chunks c ON c.doc_id = l.doc_id AND chunk_index IN (0, 2)")
