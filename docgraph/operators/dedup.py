@@ -12,11 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.text import cosine, normalize_page
-
-
-def _once(df: DataFrame) -> DataFrame:
-    """What is read several times is made once, where there is a checkpoint folder."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+from docgraph.sources.shared import stored
 
 
 def exact_clusters(pages: DataFrame, within: str | None = "doc_id", page: str = "nonblank_page_no") -> DataFrame:
@@ -33,9 +29,9 @@ def exact_clusters(pages: DataFrame, within: str | None = "doc_id", page: str =
 def cluster_members(pages: DataFrame, id_col: str) -> DataFrame:
     """id, page_hash, representative (least id) and cluster size of every page whose normalized text occurs more than once over the corpus.
 
-    Texts are hashed once, where there is a checkpoint folder.
+    Texts are hashed once: the hashes are written and read again.
     """
-    hashed = _once(pages.select(id_col, F.md5(normalize_page(F.col("text")).cast("binary")).alias("page_hash")))
+    hashed = stored(pages.select(id_col, F.md5(normalize_page(F.col("text")).cast("binary")).alias("page_hash")), "hashes")
     groups = hashed.groupBy("page_hash").agg(F.min(id_col).alias("representative"), F.count("*").alias("n_pages")).where("n_pages > 1")
     return hashed.join(groups, "page_hash")
 
@@ -78,19 +74,33 @@ def reconcile(entries: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first", "second")))
 
 
-def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, planes: int = 12, tables: int = 8, seed: int = 1, id_col: str = "id", block_rows: int = 8192) -> DataFrame:
+def lsh_shape(n: int, at_least: float, recall: float, bucket_rows: int = 32) -> tuple[int, int]:
+    """(planes, tables) for ``n`` vectors: enough planes for buckets of about ``bucket_rows`` unlike ones, and enough tables for the recall asked.
+
+    A random plane parts two vectors with a probability of their angle over pi, so two that are just ``at_least`` alike share all signs of a table with
+    the power of the rest to the number of planes, and miss each other in all tables with the power of the complement to the number of these. Liker ones do so less.
+    """
+    planes = min(24, max(8, math.ceil(math.log2(max(n, 1) / bucket_rows))))
+    same = (1 - math.acos(max(-1.0, min(1.0, at_least))) / math.pi) ** planes
+    return planes, 1 if same >= recall else math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
+def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, recall: float = 0.95, seed: int = 1, id_col: str = "id", block_rows: int = 8192, planes: int | None = None, tables: int | None = None) -> DataFrame:
     """(first, second, score) links over the corpus: sign hashes of random planes give buckets, whose members are compared with each other.
 
     Equal vectors are one class: each member has a link to the class's least id, and only that is hashed. All members of a
     bucket are compared; one of more than ``block_rows`` is dealt into blocks, and each pair of blocks is a task. A task gives a
     forest of links that connects what its pairs of ``at_least`` connect, so many near copies don't give all their pairs, and
-    documents joined by near pairs are reached along links. Pairs that share a hash in no table are not compared; the
-    tests measure recall against brute force.
+    documents joined by near pairs are reached along links. Pairs that share a hash in no table are not compared: planes and tables are chosen
+    (``lsh_shape``) so that a pair just ``at_least`` alike shares one with a probability of ``recall``, at any size of the corpus; the
+    tests measure it.
     Null vectors and vectors with null or NaN in them have no links.
     """
     usable = vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x)) AND exists(vec, x -> x != 0)")
-    usable = _once(usable)
-    classes = usable.groupBy("vec").agg(F.min("id").alias("id"))
+    usable = stored(usable, "vectors")
+    classes = stored(usable.groupBy("vec").agg(F.min("id").alias("id")), "classes")
+    shape = lsh_shape(classes.count(), at_least, recall)
+    planes, tables = planes or shape[0], tables or shape[1]
     copies = usable.join(classes.withColumnRenamed("id", "first"), "vec").where("id != first").select("first", F.col("id").alias("second"), F.lit(1.0).alias("score"))
 
     kind = usable.schema["id"].dataType.simpleString()

@@ -8,22 +8,47 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import distance_to_similarity, words
+from docgraph.functions.text import distance_to_similarity
 from docgraph.sources.shared import stored
 
 
+def word_counts(texts: pa.Array, width: int) -> np.ndarray:
+    """One row per text: signed counts of its words in ``width`` hash buckets. Distinct words are hashed once per batch; a bucket and a sign are those of Spark's xxhash64."""
+    split = pc.split_pattern_regex(pc.fill_null(texts, ""), "[ \\t-\\r]+")
+    coded = split.flatten().dictionary_encode()
+    bucket, sign = np.empty(len(coded.dictionary), dtype=np.int64), np.empty(len(coded.dictionary))
+    for k, word in enumerate(coded.dictionary.to_pylist()):
+        h = xxhash.xxh64_intdigest(word, 42)
+        bucket[k] = (h - (1 << 64) if h >> 63 else h) % width
+        sign[k] = (1.0 - 2.0 * (xxhash.xxh64_intdigest(b"\x01\0\0\0", h) & 1)) * (word != "")
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    return np.bincount(row * width + bucket[code], weights=sign[code], minlength=len(texts) * width).reshape(len(texts), width)
+
+
 def hashed_words(text: DataFrame, text_col: str = "text", width: int = 64, out: str = "vec") -> DataFrame:
-    """A deterministic embedding without a model: signed hashed word counts, scaled to length one."""
-    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(width))
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    hits = F.transform(words(F.lower(F.col(text_col))), lambda w: F.struct(bucket(w).alias("b"), sign(w).alias("s")))
-    zero = F.array_repeat(F.lit(0.0), width)
-    summed = F.aggregate(hits, zero, lambda acc, h: F.transform(acc, lambda x, i: x + F.when(i == h["b"], h["s"]).otherwise(0.0)))
-    scaled = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12)))
-    return text.withColumn(out, F.get(F.transform(F.array(summed), scaled), F.lit(0)))
+    """A deterministic embedding without a model: signed hashed word counts, scaled to length one; lower case, words parted by white space.
+
+    In Arrow batches, cut so that a part holds a few megabytes of text; the time grows with the text, whatever the width. A null text and one without words have zeros.
+    """
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        parts, at = [np.empty((0, width))], 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (4 << 20), side="right")))
+            parts.append(word_counts(texts.slice(at, to - at), width))
+            at = to
+        found = np.concatenate(parts)
+        found /= np.maximum(np.sqrt((found * found).sum(axis=1)), 1e-12)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * width, pa.int32()), pa.array(found.ravel()))
+
+    return text.withColumn(out, run(F.lower(F.col(text_col).cast("string"))))
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text_col: str = "text", out: str = "vec") -> DataFrame:

@@ -156,7 +156,7 @@ def test_near_pages_among_strangers(spark):
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     near = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))]
     for block_rows in (8192, 8):
-        links = D.near_pages_lsh(rows, 0.95, planes=3, block_rows=block_rows).collect()
+        links = D.near_pages_lsh(rows, 0.95, planes=3, tables=8, block_rows=block_rows).collect()
         group = {i: i for i in ids}
 
         def root(i):
