@@ -103,10 +103,9 @@ def last_index(c: Column, what: str) -> Column:
 
 def cut_at_sentence(c: Column, most: Column | int, share: float = 0.7) -> Column:
     """First ``most`` characters, back to the last ``. `` or line feed if that is past ``share`` of them, and three dots."""
-    def cut(head: Column) -> Column:
-        return let(F.greatest(last_index(head, ". "), last_index(head, "\n")), lambda at: F.concat(F.when(at > F.length(head) * share, F.substring(head, F.lit(1), at + 1)).otherwise(head), F.lit("...")))
-
-    return let(F.substring(c, F.lit(1), F.lit(most) if isinstance(most, int) else most), cut)
+    head = F.substring(c, F.lit(1), F.lit(most) if isinstance(most, int) else most)
+    whole = F.regexp_extract(head, r"(?s)^(.*(?:\.(?= )|\n))", 1)  # up to the last end; without lambdas, as a Python function may read the result
+    return F.concat(F.when(F.length(whole) - 1 > F.length(head) * share, whole).otherwise(head), F.lit("..."))
 
 
 def model_tokens(c: Column) -> Column:

@@ -235,10 +235,10 @@ def fit_tokens_by(encode: Callable[[str], Sequence], decode: Callable[[Sequence]
     return fit
 
 
-def final_cut(text: Column) -> Column:
-    """The last check before embedding: 1000 characters, or 800 if the tokens still exceed the limit."""
+def final_cut(text: Column, tokens: Callable[[Column], Column] = model_tokens) -> Column:
+    """The last check before embedding: 1000 characters, or 800 if the tokens still exceed the limit, as they can by a tokenizer (``text.tokens_by``)."""
     once = F.when(F.length(text) > MOST_CHARS, F.concat(F.substring(text, 1, MOST_CHARS), F.lit("..."))).otherwise(text)
-    return F.when(model_tokens(once) > MOST_TOKENS, F.concat(F.substring(once, 1, 800), F.lit("..."))).otherwise(once)
+    return F.when(tokens(once) > MOST_TOKENS, F.concat(F.substring(once, 1, int(MOST_CHARS * 0.8)), F.lit("..."))).otherwise(once)
 
 
 def stored_heading(heading: Column, title: Column, path: Column, number: Column) -> Column:
@@ -251,12 +251,15 @@ def end_line(start: Column, content: Column) -> Column:
     return start + F.size(F.split(content, "\n", -1)) - 1
 
 
-def chunk_statistics(chunks: DataFrame, most_tokens: int = 1000) -> DataFrame:
-    """Per document: total_chunks, truncated_chunks, embedding_tokens, llm_tokens (of the whole texts, cut or not)."""
-    fitted = chunks.select("doc_id", fit_embedding(F.col("content")).alias("e"), model_tokens(F.col("content")).alias("llm"))
-    return fitted.groupBy("doc_id").agg(
-        F.count("*").alias("total_chunks"), F.count_if("e.truncated").alias("truncated_chunks"), F.sum("e.tokens").alias("embedding_tokens"), F.sum("llm").alias("llm_tokens")
-    )
+def chunk_statistics(chunks: DataFrame, tokens: Callable[[Column], Column] = model_tokens, fit: Callable[[Column, int], Column] | None = None) -> DataFrame:
+    """Per document: total_chunks, truncated_chunks (cut to the embedding limit, or by the final check), embedding_tokens, llm_tokens (of the whole texts, cut or not).
+
+    ``tokens`` and ``fit`` are as in ``fit_embedding``.
+    """
+    fitted = chunks.select("doc_id", fit_embedding(F.col("content"), tokens, fit).alias("e"), tokens(F.col("content")).alias("llm"))
+    cut = F.col("e.truncated") | (final_cut(F.col("e.text"), tokens) != F.col("e.text"))
+    judged = fitted.select("doc_id", "e.tokens", "llm", cut.alias("cut"))
+    return judged.groupBy("doc_id").agg(F.count("*").alias("total_chunks"), F.sum(F.col("cut").cast("long")).alias("truncated_chunks"), F.sum("tokens").alias("embedding_tokens"), F.sum("llm").alias("llm_tokens"))
 
 
 def pack_paragraphs(md: DataFrame, most: int = 400) -> DataFrame:

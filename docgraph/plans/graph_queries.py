@@ -209,9 +209,12 @@ SELECT b.item_id AS text_id, b.item_id AS doc_id, coalesce(f.ids, e.ids) AS chun
 LEFT JOIN (SELECT doc_id, list(chunk_index ORDER BY chunk_index) AS ids FROM chunks GROUP BY 1) e ON e.doc_id = b.item_id""".replace("WITH atoks", "WITH atoks"))
 register("t05_format_references", lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.col("turn").cast("int")).alias("ids")).select("conv_id", N.format_references(F.col("ids")).alias("refs")),
          "SELECT conv_id, '^[' || array_to_string(list_transform(list_sort(list(DISTINCT turn)), lambda x: 'C' || x), ',') || ']' AS refs FROM conversations GROUP BY 1")
-register("t06_extract_references", lambda s, d: cited(s, d).select("conv_id", "turn", N.extract_references(F.col("text")).alias("ids")), "SELECT conv_id, turn, [turn::INT, turn::INT + 5] AS ids FROM cited")
-register("t07_union_references", lambda s, d: N.union_references(cited(s, d), "conv_id"), "SELECT conv_id, list_sort(list(DISTINCT x)) AS chunk_ids FROM (SELECT conv_id, unnest([turn::INT, turn::INT + 5]) AS x FROM cited) GROUP BY 1")
-register("t08_cited_in_order", lambda s, d: cited(s, d).select("conv_id", "turn", N.cited_in_order(F.col("text")).alias("ids")), "SELECT conv_id, turn, CASE WHEN turn = conv_id % 7 THEN [turn::INT] ELSE [turn::INT, (conv_id % 7)::INT] END AS ids FROM cited")
+S.CTES["refs"] = r"SELECT conv_id, turn, try_cast(nullif(regexp_extract(x, '^\s*C([0-9]+)\s*$', 1), '') AS INT) AS id FROM (SELECT conv_id, turn, unnest(string_split(g, ',')) AS x FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\^\[([^\]]+)\]', 1)) AS g FROM cited))"
+register("t06_extract_references", lambda s, d: cited(s, d).select("conv_id", "turn", N.extract_references(F.col("text")).alias("ids")), "SELECT c.conv_id, c.turn, coalesce(r.ids, []) AS ids FROM cited c LEFT JOIN (SELECT conv_id, turn, list_sort(list(DISTINCT id)) AS ids FROM refs WHERE id IS NOT NULL GROUP BY ALL) r ON r.conv_id = c.conv_id AND r.turn = c.turn")
+register("t07_union_references", lambda s, d: N.union_references(cited(s, d), "conv_id"), "SELECT conv_id, list_sort(list(DISTINCT id)) AS chunk_ids FROM refs WHERE id IS NOT NULL GROUP BY 1")
+register("t08_cited_in_order", lambda s, d: cited(s, d).select("conv_id", "turn", N.cited_in_order(F.col("text")).alias("ids")), r"""
+WITH marks AS (SELECT conv_id, turn, u.x::INT AS id, min(u.k) AS k FROM cited, unnest(regexp_extract_all(text, '(?i)\[C(\d+)\]', 1)) WITH ORDINALITY AS u(x, k) GROUP BY ALL)
+SELECT c.conv_id, c.turn, coalesce(m.ids, []) AS ids FROM cited c LEFT JOIN (SELECT conv_id, turn, list(id ORDER BY k) AS ids FROM marks GROUP BY ALL) m ON m.conv_id = c.conv_id AND m.turn = c.turn""")
 register("t09_expand_groups", lambda s, d: cited(s, d).select("conv_id", "turn", N.expand_groups(F.col("text")).alias("text")), "SELECT conv_id, turn, text || ' [C' || (turn + 5) || '] [C' || turn || '] y [c' || turn || '] [C' || (conv_id % 7) || ']' AS text FROM conversations")
 register("t10_strip_groups", lambda s, d: cited(s, d).select("conv_id", "turn", N.strip_groups(F.col("text")).alias("text")), r"SELECT conv_id, turn, trim(regexp_replace(text, '\s*\^?\[C\d+(?:\s*,\s*C\d+)*\]', '', 'g')) AS text FROM cited")
 

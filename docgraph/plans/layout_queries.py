@@ -102,3 +102,9 @@ register("c12_tokens_by_tokenizer", lambda s, d: table(s, d, "documents").select
 register("c14_fit_by_tokenizer", lambda s, d: table(s, d, "documents").select("doc_id", C.fit_tokens_by(TOKENS, "".join)(F.col("text"), 200).alias("text")),
          rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+|\s+$') AS ids FROM documents), h AS (SELECT doc_id, text, len(ids) AS n, array_to_string(ids[1:190], '') AS head FROM t)
          SELECT doc_id, CASE WHEN n <= 200 THEN text ELSE {S.cut_at_sentence('head', 2**30)} END AS text FROM h""")
+DENSE = "floor(2 * length({0}) * 1.3::DOUBLE)::BIGINT"
+register("c15_final_cut_by_tokenizer", lambda s, d: table(s, d, "documents").select("doc_id", C.final_cut(F.col("text"), T.tokens_by(lambda t: t + t)).alias("text")),
+         f"WITH x AS (SELECT doc_id, CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS once FROM documents) SELECT doc_id, CASE WHEN {DENSE.format('once')} > 1500 THEN left(once, 800) || '...' ELSE once END AS text FROM x")
+register("c17_statistics_by_tokenizer", lambda s, d: C.chunk_statistics(table(s, d, "documents").select("doc_id", F.substring("text", 1, 900).alias("content")), T.tokens_by(lambda t: t + t), lambda x, n: F.substring(x, 1, n // 3)),
+         f"""WITH x AS (SELECT doc_id, left(text, 900) AS text FROM documents), f AS (SELECT doc_id, text, {DENSE.format('text')} AS llm, CASE WHEN {DENSE.format('text')} > 1275 THEN left(text, 425) ELSE text END AS e FROM x)
+         SELECT doc_id, count(*) AS total_chunks, count(*) FILTER (WHERE llm > 1275) AS truncated_chunks, sum({DENSE.format('e')})::BIGINT AS embedding_tokens, sum(llm)::BIGINT AS llm_tokens FROM f GROUP BY 1""")

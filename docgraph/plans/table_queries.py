@@ -56,6 +56,26 @@ def replies(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", "text", made.alias("response"))
 
 
+def class_replies(s, d):
+    """Responses of a classifier: a text, then its class and a page in lines of their own; some classes are none, some pages no number."""
+    t, turn = F.col("text"), F.col("turn")
+    said = F.when(turn % 3 == 0, "page_summary").when(turn % 3 == 1, "use_history").otherwise(F.upper(F.substring(t, 1, 12)))
+    page = F.concat(F.substring(t, 1, 3), F.lit(" "), F.when(F.col("conv_id") % 3 == 0, "").otherwise(turn.cast("string")))
+    return table(s, d, "conversations").select(*by, F.concat(t, F.lit("\nClass: "), said, F.lit("\npage_number: "), page).alias("response"))
+
+
+def overview_replies(s, d):
+    """Responses with a summary and queries, as JSON and as parts."""
+    ws = F.split("text", " ")
+    parts = F.concat(F.lit("SUMMARY: "), "text", F.lit("\nQUERIES:\n"), F.array_join(ws, "\n"))
+    return table(s, d, "conversations").select(*by, F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("summary"), ws.alias("queries")))).otherwise(parts).alias("response"))
+
+
+def bulleted(text):
+    """A text as a list of questions: a line after each comma and full stop."""
+    return F.regexp_replace(text, "([.,]) ", "$1\n2) ")
+
+
 def extraction_replies(s, d):
     """conversations as replies to the kinds in turn: an array with text around it, lines, a broken array, a failed call."""
     turn, text = F.col("turn"), F.col("text")
@@ -104,7 +124,13 @@ register("p05_clean_label", lambda s, d: table(s, d, "conversations").select(*by
 register("p06_parse_summary", lambda s, d: replies(s, d).select(*by, P.parse_summary(F.col("response")).alias("p")).select(*by, "p.*"),
          rf"""WITH p AS (SELECT conv_id, turn, {S.strip('text')} AS summary, list_filter(list_transform(string_split(split_part({S.strip('response')}, 'KEY_POINTS:', 2), chr(10)), lambda x: {S.strip('x')}), lambda x: x != '') AS ls FROM replies)
          SELECT conv_id, turn, CASE WHEN summary = '' THEN '{P.NO_SUMMARY}' ELSE summary END AS summary, list_filter(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^[-*]') THEN {S.strip("regexp_replace(x, '^[-* ]+', '')")} ELSE x END), lambda x: x != '')[1:5] AS key_points FROM p""")
-register("p07_one_sentence", lambda s, d: table(s, d, "conversations").select(*by, P.one_sentence(F.col("text")).alias("sentence")))
+register("p07_one_sentence", lambda s, d: table(s, d, "conversations").select(*by, P.one_sentence(F.col("text")).alias("sentence")), rf"""
+WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split({S.strip('text')}, chr(10)), lambda x: {S.strip('x')}), lambda x: x != '')[1] AS line FROM conversations),
+p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {S.strip('x')}), lambda x: x != '') AS parts FROM l),
+c AS (SELECT conv_id, turn, coalesce(list_filter(parts, lambda x: len(regexp_extract_all(x, '\S+')) >= 5)[1], parts[1], '') AS chosen FROM p),
+m AS (SELECT *, regexp_extract_all(chosen, '\S+') AS many FROM c),
+k AS (SELECT conv_id, turn, CASE WHEN len(many) > 35 THEN regexp_replace(array_to_string(many[1:35], ' '), '[ ,;]+$', '') || '...' ELSE chosen END AS cut FROM m)
+SELECT conv_id, turn, CASE WHEN cut = '' THEN '{P.NO_SUMMARY}' ELSE cut END AS sentence FROM k""")
 register("p08_extractive", lambda s, d: table(s, d, "conversations").select(*by, P.extractive_summary(F.col("text")).alias("p")).select(*by, "p.*"),
          rf"""WITH x AS (SELECT conv_id, turn, string_split(text, '. ') AS parts, regexp_extract_all(string_split(text, '. ')[1], '\S+') AS many FROM conversations),
          c AS (SELECT *, CASE WHEN len(many) > 50 THEN regexp_replace(array_to_string(many[1:50], ' '), '[ ,;]+$', '') || '...' ELSE parts[1] END AS cut FROM x)
@@ -120,24 +146,61 @@ register("p09_range_prompts", lambda s, d: P.range_prompts(page_summaries(s, d))
 register("p09_ranges", lambda s, d: P.ranges_or_pages(P.parse_ranges(range_responses(s, d)), page_summaries(s, d)),
          "SELECT DISTINCT doc_id, 'T' AS title, u.a AS start_page, u.a + 1 AS end_page, 's' || doc_id AS summary FROM psum, unnest([1, 3]) AS u(a) WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'Page ' || page_number, page_number, page_number, summary FROM psum WHERE doc_id % 2 = 1")
 register("p09_range_chunks", lambda s, d: P.range_chunks(P.parse_ranges(range_responses(s, d)), D_pages(s, d)), "SELECT r.doc_id, a AS start_page, a + 1 AS end_page, list_sort(list(DISTINCT chunk_index)) AS chunk_ids FROM (SELECT DISTINCT doc_id, u.a FROM psum, unnest([1, 3]) AS u(a) WHERE doc_id % 2 = 0) r JOIN cpages c ON c.doc_id = r.doc_id AND page_number BETWEEN a AND a + 1 GROUP BY 1, 2")
-register("p10_overviews", lambda s, d: table(s, d, "conversations").select(*by, P.parse_overview(F.concat(F.lit("SUMMARY: "), "text", F.lit("QUERIES:\n- a\n2. b"))).alias("p")).select(*by, "p.*"), f"SELECT conv_id, turn, {S.strip('text')} AS doc_summary, ['a', 'b'] AS suggested_queries FROM conversations")
+register("p09_supported_ranges", lambda s, d: P.supported_ranges(P.ranges_or_pages(P.parse_ranges(range_responses(s, d)).limit(0), page_summaries(s, d)), D_pages(s, d)), rf"""
+WITH sn AS (SELECT * FROM (SELECT doc_id, page_number, u.k, {S.strip('u.x')} AS x FROM psum, unnest(regexp_split_to_array(summary, '[.!?]+')) WITH ORDINALITY AS u(x, k)) WHERE length(x) > 10),
+st AS (SELECT DISTINCT doc_id, page_number, k, t FROM sn, unnest(string_split(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'), ' ')) AS u(t) WHERE length(t) > 2),
+tot AS (SELECT doc_id, page_number, k, count(*) AS total FROM st GROUP BY ALL),
+ct AS (SELECT c.doc_id, p.page_number, c.chunk_index, c.t FROM ctoks c JOIN cpages p ON p.doc_id = c.doc_id AND p.chunk_index = c.chunk_index WHERE length(c.t) > 2),
+hits AS (SELECT st.doc_id, st.page_number, st.k, ct.chunk_index, count(*) AS n FROM st JOIN ct ON ct.doc_id = st.doc_id AND ct.page_number = st.page_number AND ct.t = st.t GROUP BY ALL),
+best AS (SELECT h.* FROM hits h JOIN tot USING (doc_id, page_number, k) WHERE n / total >= 0.1::DOUBLE QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, k ORDER BY n / total DESC, chunk_index) <= 3),
+ids AS (SELECT doc_id, page_number, list_sort(list(DISTINCT chunk_index)) AS chunk_ids FROM best GROUP BY ALL)
+SELECT doc_id, 'Page ' || page_number AS title, page_number AS start_page, page_number AS end_page, summary, coalesce(chunk_ids, []) AS chunk_ids,
+       summary || CASE WHEN chunk_ids IS NULL THEN '' ELSE '^[' || array_to_string(list_transform(chunk_ids, lambda i: 'C' || i), ',') || ']' END AS summary_with_references
+FROM psum LEFT JOIN ids USING (doc_id, page_number)""")
+register("p10_overviews", lambda s, d: overview_replies(s, d).select(*by, P.parse_overview(F.col("response")).alias("p")).select(*by, "p.*"), rf"""
+WITH lists AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda x: {S.strip("regexp_replace(" + S.strip('x') + r", '^([-*]|[0-9]+[.)])\s*', '')")}), lambda x: x != '') AS listed FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE {S.strip('text')} END AS doc_summary, (CASE WHEN turn % 2 = 0 THEN string_split(text, ' ') ELSE listed END)[1:10] AS suggested_queries FROM lists""")
 register("p10_overview_prompts", lambda s, d: P.overview_prompts(page_summaries(s, d)), r"SELECT doc_id, 'Page summaries of a document:' || chr(10) || chr(10) || left(string_agg('Page ' || page_number || ': ' || summary, chr(10) ORDER BY page_number), 8000) || chr(10) || chr(10) || 'Write SUMMARY: and QUERIES: (a list).' AS prompt FROM psum GROUP BY 1")
 register("p11_context_prompts", lambda s, d: P.context_prompts(used(s, d).join(query_rows(s, d).select("query_id", "doc_id"), "query_id").withColumn("score", F.lit(0.5)), vectors(s, d).select("doc_id", "chunk_index", F.lit("S").alias("section_path"), F.lit("H").alias("heading"), F.col("chunk_index").cast("string").alias("content"))),
          "SELECT query_id, string_agg('[C' || id || '] S / H (0.500)' || chr(10) || id, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM used WHERE place <= 12 GROUP BY 1")
-register("p12_parse_class", lambda s, d: replies(s, d).select(*by, P.parse_class(F.col("response")).alias("p")).select(*by, "p.*"), "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'PAGE_SUMMARY' ELSE 'USE_HISTORY' END AS class, CASE WHEN turn % 2 = 0 THEN turn::INT END AS page_number FROM conversations")
-register("p13_parse_more", lambda s, d: table(s, d, "conversations").select(*by, P.parse_more(F.concat(F.lit("NEEDS_MORE: "), F.when(F.col("turn") % 2 == 0, "YES").otherwise("no"), F.lit("\nRELATED_QUERY: \"a query could be what holds in "), "conv_id", F.lit("? because"))).alias("p")).select(*by, "p.*"),
-         "SELECT conv_id, turn, turn % 2 = 0 AS needs_more, CASE WHEN turn % 2 = 0 THEN 'what holds in ' || conv_id || CASE WHEN length(conv_id::VARCHAR) + 14 < length('what holds in ' || conv_id || '? because') - 10 THEN '' ELSE '? because' END END AS new_query FROM conversations")
+register("p12_parse_class", lambda s, d: class_replies(s, d).select(*by, P.parse_class(F.col("response")).alias("p")).select(*by, "p.*"), rf"""
+WITH r AS (SELECT conv_id, turn, text || chr(10) || 'Class: ' || CASE turn % 3 WHEN 0 THEN 'page_summary' WHEN 1 THEN 'use_history' ELSE upper(left(text, 12)) END || chr(10) || 'page_number: ' || left(text, 3) || ' ' || CASE WHEN conv_id % 3 = 0 THEN '' ELSE turn::VARCHAR END AS response FROM conversations),
+l AS (SELECT conv_id, turn, upper(list_filter(string_split({S.strip('response')}, chr(10)), lambda x: contains(upper(x), 'CLASS:'))[1]) AS c, list_filter(string_split({S.strip('response')}, chr(10)), lambda x: contains(upper(x), 'PAGE_NUMBER:'))[1] AS p FROM r),
+n AS (SELECT *, CASE WHEN contains(c, 'PAGE_SUMMARY') THEN 'PAGE_SUMMARY' WHEN contains(c, 'USE_HISTORY') THEN 'USE_HISTORY' ELSE 'FULL_RETRIEVAL' END AS said, try_cast(nullif(regexp_extract(regexp_replace(coalesce(p, ''), '^[^:]*:', ''), '(\d+)', 1), '') AS INT) AS number FROM l)
+SELECT conv_id, turn, CASE WHEN said = 'PAGE_SUMMARY' AND number IS NULL THEN 'FULL_RETRIEVAL' ELSE said END AS class, CASE WHEN said = 'PAGE_SUMMARY' THEN number END AS page_number FROM n""")
+
+
+def parsed_more_sql() -> str:
+    """What ``parse_more`` reads, step by step as a chain of tables."""
+    bare = lambda x: S.strip(rf"""regexp_replace(regexp_replace({x}, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g')""")
+    steps = [f"CASE WHEN starts_with(lower(q), '{p}') THEN {bare(S.strip(f'substr(q, {len(p) + 1})'))} ELSE q END" for p in P.QUERY_PREFIXES]
+    steps.append(f"CASE WHEN contains(lower(q), ' or ') THEN {bare(S.strip(chr(39).join(['string_split(q, ', ' or ', ')[1]'])))} ELSE q END")
+    steps += [f"CASE WHEN instr(q, '{m}') - 1 < length(q) - 10 AND instr(q, '{m}') - 1 > 10 THEN {S.strip(f'left(q, instr(q, {chr(39)}{m}{chr(39)}) - 1)')} ELSE q END" for m in P.EXPLANATION_MARKS]
+    steps.append(rf"array_to_string(regexp_extract_all({bare('q')}, '\S+'), ' ')")
+    first = f"SELECT conv_id, turn, turn % 2 = 0 AS needs, {bare(S.strip('chr(34) || string_split(text, chr(10))[1] || chr(34)'))} AS q FROM conversations"
+    chain = [f"s0 AS ({first})"] + [f"s{k} AS (SELECT conv_id, turn, needs, {x} AS q FROM s{k - 1})" for k, x in enumerate(steps, 1)]
+    none = ", ".join(f"'{x}'" for x in P.NO_QUERY)
+    last = f"v AS (SELECT *, lower(q) NOT IN ({none}) AND length(q) > 10 AND length(q) < 200 AS valid FROM s{len(steps)})"
+    return "WITH " + ", ".join([*chain, last]) + " SELECT conv_id, turn, needs AND valid AS needs_more, CASE WHEN needs AND valid THEN q END AS new_query FROM v"
+
+
+register("p13_parse_more", lambda s, d: table(s, d, "conversations").select(*by, P.parse_more(F.concat(F.lit("NEEDS_MORE: "), F.when(F.col("turn") % 2 == 0, "YES").otherwise("no"), F.lit("\nRELATED_QUERY: \""), F.get(F.split("text", "\n", -1), F.lit(0)), F.lit("\""))).alias("p")).select(*by, "p.*"), parsed_more_sql())
 register("p14_clean_answer", lambda s, d: table(s, d, "conversations").select(*by, P.clean_answer(F.concat("text", F.lit(" (Chunk 3) see  Chunk 4 , , ok . . end\n\n\n\nx "))).alias("answer")),
          r"SELECT conv_id, turn, {} AS answer FROM conversations".format(S.strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' (Chunk 3) see  Chunk 4 , , ok . . end' || chr(10) || chr(10) || chr(10) || chr(10) || 'x ', '\([Cc]hunk\s+\d+\)', '', 'g'), '\[[Cc]hunk\s+\d+\]', '', 'g'), '[Cc]hunk\s+\d+', '', 'g'), '[ \t]+', ' ', 'g'), '\s*,\s*,', ',', 'g'), '\s*\.\s*\.', '.', 'g'), ' +([,.!?;:])', '\1', 'g'), ' +(\n)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")))
-register("p15_follow_ups", lambda s, d: P.follow_up_questions(table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("- Why?\n2) why?\n\n* How "), "conv_id", F.lit("?\nWhen?")).alias("response"))),
-         "SELECT conv_id * 1000 + turn AS query_id, u.k::INT AS place, u.x AS question FROM conversations, unnest(['Why?', 'How ' || conv_id || '?', 'When?']) WITH ORDINALITY AS u(x, k)")
+register("p15_follow_ups", lambda s, d: P.follow_up_questions(table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), bulleted(F.col("text")).alias("response"))), rf"""
+WITH l AS (SELECT conv_id * 1000 + turn AS query_id, u.k, {S.strip('u.x')} AS x FROM conversations, unnest(string_split(regexp_replace(text, '([.,]) ', '\1' || chr(10) || '2) ', 'g'), chr(10))) WITH ORDINALITY AS u(x, k)),
+b AS (SELECT query_id, k, {S.strip(r"CASE WHEN regexp_matches(x, '^[-*]') THEN substr(x, 2) ELSE regexp_replace(x, '^[0-9]+[.)]\s*', '') END")} AS question FROM l),
+f AS (SELECT * FROM b WHERE question != '' QUALIFY row_number() OVER (PARTITION BY query_id, lower(question) ORDER BY k) = 1)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY k))::INT AS place, question FROM f QUALIFY place <= 7""")
 register("p16_extraction_context", lambda s, d: P.extraction_context(chunks(s, d)), "SELECT * FROM excerpts")
 register("p16_extraction_prompts", lambda s, d: P.extraction_prompts(P.extraction_context(chunks(s, d))), f"""
 SELECT doc_id, u.kind, 'Parts of a document:' || chr(10) || chr(10) || context || chr(10) || chr(10) || u.task || chr(10) || 'Answer with a JSON array of strings alone.' AS prompt FROM excerpts, (VALUES {", ".join(f"('{k}', '{t}')" for k, t in P.EXTRACTION_TASKS.items())}) AS u(kind, task)""")
 register("p16_extracted", lambda s, d: P.extracted(extraction_replies(s, d)), rf"""
 SELECT conv_id * 1000 + turn AS doc_id, ['key_facts', 'entities', 'dates', 'obligations'][1 + turn % 4] AS kind,
        CASE turn % 4 WHEN 0 THEN list_filter([text, 'b'], lambda x: x != '') WHEN 1 THEN list_filter(list_transform(string_split(text, chr(10)), lambda x: {S.strip('x')}), lambda x: x != '')[1:50] ELSE [] END AS items FROM conversations""")
-register("p16_parse_list", lambda s, d: table(s, d, "conversations").select(*by, P.parse_list(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x ["), F.lit('"a", "b"'), F.lit("] y"))).otherwise("- a\n\n b")).alias("items")), "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ['a', 'b'] ELSE ['- a', 'b'] END AS items FROM conversations")
+register("p16_parse_list", lambda s, d: table(s, d, "conversations").select(*by, P.parse_list(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("here: "), F.to_json(F.split("text", " ")), F.lit(" end"))).otherwise(F.col("text"))).alias("items")), rf"""
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN list_filter(string_split(text, ' '), lambda x: x != '')
+    WHEN regexp_matches(text, '(?s)\[.*\]') THEN [] ELSE list_filter(list_transform(string_split(text, chr(10)), lambda x: {S.strip('x')}), lambda x: x != '')[1:50] END AS items FROM conversations""")
 register("p17_history", lambda s, d: P.history_text(messages(s, d)), "SELECT session_id, string_agg(role || ': ' || left(content, 600) || CASE WHEN length(content) > 600 THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY id) AS history FROM (SELECT * FROM msgs QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 5) GROUP BY 1")
 register("p17_full_history", lambda s, d: P.full_history_text(messages(s, d).withColumn("chunks", F.array(F.struct(F.col("id").cast("int").alias("chunk_index"), F.col("role").alias("content"))))),
          rf"SELECT session_id, 'Previous conversation:' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' || {S.strip('content')} ELSE 'Assistant: ' || {S.strip('content')} || chr(10) || '  [Chunk ' || id || ']: ' || role END, chr(10) ORDER BY id) AS history FROM msgs GROUP BY 1")
@@ -172,9 +235,9 @@ register("k03_documents_of_users", lambda s, d: K.documents_of_users(records(s,
          "SELECT o_custkey AS user_id, o_orderkey AS document_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey))::INT AS place FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
 register("k04_owned_by", lambda s, d: K.owned_by(sessions(s, d).select("id", "user_id", F.col("id").alias("document_id")), records(s, d).where("document_id % 2 = 0")), "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderkey AS document_id FROM orders WHERE o_orderkey % 2 = 0")
 register("k05_active_sessions", lambda s, d: K.active_sessions(sessions(s, d)).select("id", "place"), "SELECT id, (row_number() OVER (PARTITION BY user_id, document_id ORDER BY updated_at DESC, id))::INT AS place FROM sess WHERE NOT is_archived")
-register("k06_session_messages", lambda s, d: K.session_messages(messages(s, d).withColumn("created_at", F.col("id")), 4).select("session_id", "id", "place"), "SELECT session_id, id, (row_number() OVER (PARTITION BY session_id ORDER BY id))::INT AS place FROM msgs QUALIFY place <= 4")
-register("k07_messages_before", lambda s, d: K.messages_before(messages(s, d).groupBy("session_id").agg(F.max("id").alias("before_id")), messages(s, d), 3).select("session_id", "before_id", "id", "place"),
-         "SELECT session_id, before_id, id, (row_number() OVER (PARTITION BY session_id ORDER BY id))::INT AS place FROM (SELECT m.session_id, before_id, id FROM msgs m JOIN (SELECT session_id, max(id) AS before_id FROM msgs GROUP BY 1) r ON r.session_id = m.session_id AND id < before_id QUALIFY row_number() OVER (PARTITION BY m.session_id ORDER BY id DESC) <= 3)")
+register("k06_session_messages", lambda s, d: K.session_messages(messages(s, d).withColumn("created_at", F.col("id"))).select("session_id", "id", "place"), "SELECT session_id, id, (row_number() OVER (PARTITION BY session_id ORDER BY id))::INT AS place FROM msgs QUALIFY place <= 500")
+register("k07_messages_before", lambda s, d: K.messages_before(messages(s, d).groupBy("session_id").agg(F.max("id").alias("before_id")), messages(s, d)).select("session_id", "before_id", "id", "place"),
+         "SELECT session_id, before_id, id, (row_number() OVER (PARTITION BY session_id ORDER BY id))::INT AS place FROM (SELECT m.session_id, before_id, id FROM msgs m JOIN (SELECT session_id, max(id) AS before_id FROM msgs GROUP BY 1) r ON r.session_id = m.session_id AND id < before_id QUALIFY row_number() OVER (PARTITION BY m.session_id ORDER BY id DESC) <= 7)")
 
 
 def messages_with_chunks(s, d):

@@ -125,6 +125,19 @@ def test_tokenizer_slots(spark):
     assert out == {0: (None, None), 1: (0, ""), 2: (6, "abcde"), 3: (5, "bad text..."), 4: (52, "x" * 30 + "...."), 5: (20, "bad" * 10 + "...")}
 
 
+def test_limits_by_a_tokenizer(spark):
+    texts = ["short", "x" * 580, "One. Two\n" * 130, "y" * 3000, None, ""]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, content string")
+    tokens = T.tokens_by(lambda t: t + t)  # 2.6 a character: 1500 are exceeded from 577 characters on
+    fit = C.fit_tokens_by(lambda t: list(t + t), lambda ids: "".join(ids))
+    fitted = {r.doc_id: r.e for r in rows.select("doc_id", C.fit_embedding(F.col("content"), tokens, fit).alias("e")).collect()}
+    assert (fitted[0].text, fitted[0].truncated, fitted[0].tokens) == ("short", False, 13) and fitted[1].truncated and fitted[4].text is None and fitted[5].tokens == 0
+    cut = {r.doc_id: r.t for r in rows.select("doc_id", C.final_cut(F.col("content"), tokens).alias("t")).collect()}
+    assert cut[0] == "short" and cut[1] == "x" * 580 + "..." and cut[3] == "y" * 800 + "..." and cut[4] is None and len(cut[2]) == 803
+    stats = {r.doc_id: (r.total_chunks, r.truncated_chunks, r.llm_tokens) for r in C.chunk_statistics(rows, tokens, fit).collect()}
+    assert stats[0] == (1, 0, 13) and stats[1][1] == stats[2][1] == stats[3][1] == 1 and stats[3][2] == 7800
+
+
 def test_model_errors_stay_in_their_rows(spark):
     def model(prompt):
         if prompt == "bad":
