@@ -6,21 +6,49 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgraph.sources import schemas
+from docgraph.sources.shared import stored
 
 #: The preferred names of artifacts that come in several versions.
 UNIFIED, ALTERNATIVE = "unified", "enhanced"
 
 
+def _path():
+    """A file's path as it is written, without the escapes of an address."""
+    raw = F.col("_metadata.file_path")
+    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+
+
 def _folder(depth: int = 2):
     """The folder ``depth`` parts from the end of a file's path."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -depth)
+    return F.element_at(F.split(_path(), "/"), -depth)
+
+
+def listing(spark: SparkSession, root: str, pattern: str, depth: int = 2) -> DataFrame:
+    """doc_id, path, modified, length of files by name; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select(_folder(depth).alias("doc_id"), _path().alias("path"), F.col("modificationTime").alias("modified"), "length")
+
+
+def chosen_only(files: DataFrame, listed: DataFrame, chosen: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``files`` (with a column path) that are in ``chosen``, a part of ``listed``.
 
+    Most files are chosen as a rule, so what is left out is what goes to the tasks, if it isn't over ``broadcast_rows`` paths; nothing at all if there is none. So
+    contents aren't shuffled. Beyond that, they are, once, by their path.
+    """
+    out = stored(listed.select("path").join(chosen.select("path"), "path", "left_anti"), "left-out")
+    n = out.count()
+    return files if not n else files.join(F.broadcast(out) if n <= broadcast_rows else out, "path", "left_anti")
 
-def markdown_files(spark: SparkSession, root: str) -> DataFrame:
-    """doc_id, name, markdown: the first markdown file, by path, of each folder under ``root``."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), _folder().alias("doc_id"))
-    first = files.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))).where("k = 1")
-    return first.select("doc_id", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("markdown"))
+
+def markdown_files(spark: SparkSession, root: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, name, markdown: the first markdown file, by path, of each folder under ``root``.
+
+    Which file is first is settled on a listing of names; then the texts are read where they are.
+    """
+    listed = listing(spark, root, "*.md")
+    first = listed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))).where("k = 1")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select("value", _path().alias("path"), _folder().alias("doc_id"))
+    return chosen_only(files, listed, first, broadcast_rows).select("doc_id", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("markdown"))
 
 
 def _json(spark: SparkSession, root: str, pattern: str, schema: str, lines: bool = False) -> DataFrame:
@@ -79,7 +107,7 @@ def duplicate_reports(spark: SparkSession, root: str) -> DataFrame:
 
 
 def newest_artifacts(files: DataFrame, kinds: tuple[str, ...] = (UNIFIED, ALTERNATIVE)) -> DataFrame:
-    """(doc_id, kind, path, modified) -> the one of each document and kind: a preferred name first, then the latest."""
+    """(doc_id, kind, path, modified) -> the one of each document and kind: a preferred name first, in the order of ``kinds``, then the latest, then the first path."""
     name = F.element_at(F.split("path", "/"), -1)
     priority = F.lit(len(kinds))
     for k, word in reversed(list(enumerate(kinds))):
@@ -89,9 +117,22 @@ def newest_artifacts(files: DataFrame, kinds: tuple[str, ...] = (UNIFIED, ALTERN
 
 
 def artifact_files(spark: SparkSession, root: str, pattern: str, kind: str) -> DataFrame:
-    """doc_id, kind, path, modified of files by name, without reading them."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return rows.select(F.element_at(F.split("path", "/"), -2).alias("doc_id"), F.lit(kind).alias("kind"), "path", F.col("modificationTime").alias("modified"))
+    """doc_id, kind, path, modified of files by name, without opening them."""
+    return listing(spark, root, pattern).select("doc_id", F.lit(kind).alias("kind"), "path", "modified")
+
+
+def newest_graphs(spark: SparkSession, root: str, pattern: str = "*graph*.json") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each document's newest graph file; older ones are left out by their names and times."""
+    listed = artifact_files(spark, root, pattern, "graph")
+    rows = _json(spark, root, pattern, schemas.GRAPH).withColumn("path", _path())
+    kept = chosen_only(rows, listed, newest_artifacts(listed))
+    return kept.select("doc_id", F.inline("nodes")), kept.select("doc_id", F.inline("edges"))
+
+
+def newest_chunks(spark: SparkSession, root: str, pattern: str = "*chunks*.json") -> DataFrame:
+    """``stored_chunks`` of each document's newest file."""
+    listed = artifact_files(spark, root, pattern, "chunks")
+    return chosen_only(stored_chunks(spark, root, pattern).withColumn("path", _path()), listed, newest_artifacts(listed)).drop("path")
 
 
 def relational(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
