@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import cosine, normalize_page
+from docgraph.functions.text import normalize_page
+from docgraph.operators.vectors import alike_pairs
 from docgraph.sources.shared import stored
 
 
@@ -39,16 +40,11 @@ def cluster_members(pages: DataFrame, id_col: str) -> DataFrame:
 def near_pairs(pages: DataFrame, vectors: DataFrame, at_least: float = 0.9, page: str = "nonblank_page_no") -> DataFrame:
     """doc_id, first, second, score of page pairs of a document with lengths within a quarter and cosine of at least 0.9.
 
-    Pages (doc_id, page, text) and vectors (doc_id, page, vec). Exact pairs are among them; ``reconcile`` removes these.
-    Lengths within a quarter are in the same band of a logarithmic scale or in the next, so the join is on document and band.
+    Pages (doc_id, page, text) and vectors (doc_id, page, vec). Exact pairs are among them; ``reconcile`` removes these. A document's pages are
+    compared in tiles of bounded size (``vectors.alike_pairs``), which give out near pairs only.
     """
-    sized = pages.select("doc_id", page, F.length(normalize_page(F.col("text"))).alias("n")).join(vectors, ["doc_id", page])
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(1.26)).cast("int")  # a little wider than a quarter, for rounding
-    banded = sized.withColumn("band", band)
-    a, b = banded.alias("a"), banded.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("b")
-    ratio = F.col("a.n") / F.greatest(F.col("b.n"), F.lit(1))
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.band") == F.col("b.band")) & (F.col(f"a.{page}") < F.col(f"b.{page}")) & (ratio >= 0.8) & (ratio <= 1.25))
-    return pairs.select(F.col("a.doc_id").alias("doc_id"), F.col(f"a.{page}").alias("first"), F.col(f"b.{page}").alias("second"), cosine(F.col("a.vec"), F.col("b.vec")).alias("score")).where(F.col("score") >= at_least)
+    sized = pages.select("doc_id", page, F.length(normalize_page(F.col("text"))).alias("size")).join(vectors, ["doc_id", page])
+    return alike_pairs(stored(sized.select("doc_id", F.col(page).alias("id"), "size", "vec"), "pages"), at_least)
 
 
 def duplicate_report(pages: DataFrame, exact: DataFrame, near: DataFrame) -> DataFrame:

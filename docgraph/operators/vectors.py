@@ -89,22 +89,35 @@ def _matrix(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
     return np.stack(column.take(pa.array(rows)).to_numpy(zero_copy_only=False)).astype(np.float64)
 
 
+def _groups(queries: pa.Table, vectors: pa.Table, within: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of ``queries``, rows of ``vectors``, their matrices) of each group and width in a tile."""
+    groups: dict[tuple, tuple[list[int], list[int]]] = {}
+    for side, table in enumerate((queries, vectors)):
+        for row, (group, width) in enumerate(zip(table[within].to_pylist(), pc.list_value_length(table["vec"]).to_pylist(), strict=True)):
+            groups.setdefault((group, width), ([], []))[side].append(row)
+    for asked, there in groups.values():
+        if asked and there:
+            asked, there = np.array(asked), np.array(there)
+            yield asked, there, _matrix(queries["vec"], asked), _matrix(vectors["vec"], there)
+
+
+def _row_sums(pairs: int, products: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """Sums over the components of pairs, one after another as an aggregate adds them, some pairs at a time."""
+    parts = [np.empty(0)]
+    for at in range(0, pairs, 65536):
+        p = products(slice(at, at + 65536))
+        parts.append(np.cumsum(p, axis=1)[:, -1] if p.shape[1] else np.zeros(len(p)))
+    return np.concatenate(parts)
+
+
 def _nearest_in_tile(queries: pa.Table, vectors: pa.Table, within: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``queries``, row of ``vectors``, distance) of the nearest in one tile, each query with its group's vectors of its width.
 
     A matrix product gives distances that are near enough to leave most out; those that may be among the nearest are computed from the differences.
     """
-    groups: dict[tuple, tuple[list[int], list[int]]] = {}
-    for side, table in enumerate((queries, vectors)):
-        for row, (group, width) in enumerate(zip(table[within].to_pylist(), pc.list_value_length(table["vec"]).to_pylist(), strict=True)):
-            groups.setdefault((group, width), ([], []))[side].append(row)
     ids, most = vectors["id"].to_numpy(), queries["k"].to_numpy()
     found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
-    for asked, there in groups.values():
-        if not asked or not there:
-            continue
-        asked, there = np.array(asked), np.array(there)
-        q, v = _matrix(queries["vec"], asked), _matrix(vectors["vec"], there)
+    for asked, there, q, v in _groups(queries, vectors, within):
         k = most[asked]
         q_norm, v_norm = (q * q).sum(axis=1), (v * v).sum(axis=1)
         about = q_norm[:, None] + v_norm[None, :] - 2 * (q @ v.T)
@@ -112,7 +125,7 @@ def _nearest_in_tile(queries: pa.Table, vectors: pa.Table, within: str) -> tuple
         for limit in np.unique(k[k < len(v)]).tolist():
             line[k == limit] = np.partition(about[k == limit], limit - 1, axis=1)[:, limit - 1] if limit > 0 else -np.inf
         i, j = np.nonzero(~(about > (line + 1e-9 * (q_norm + v_norm.max()) + 1e-12)[:, None]))
-        exact = np.concatenate([np.cumsum((q[i[at : at + 65536]] - v[j[at : at + 65536]]) ** 2, axis=1)[:, -1] for at in range(0, len(i), 65536)]) if len(i) and q.shape[1] else np.zeros(len(i))
+        exact = _row_sums(len(i), lambda at, i=i, j=j, q=q, v=v: (q[i[at]] - v[j[at]]) ** 2)
         order = np.lexsort((ids[there[j]], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
@@ -145,6 +158,36 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | str, within: str =
     return ranked.where(F.col("rank") <= (F.col("k") if isinstance(k, str) else k)).drop("k")
 
 
+def alike_pairs(vectors: DataFrame, at_least: float, within: str = "doc_id", most_ratio: float = 1.25, tile_rows: int = 1024) -> DataFrame:
+    """within, first, second, score: pairs first < second of a group whose cosine is ``at_least``, and whose sizes are within ``most_ratio`` of each other.
+
+    vectors: (within, id, size, vec). Exact, in tiles as ``nearest``: a product of matrices leaves out nearly all pairs, and only those that may be alike enough are
+    computed one by one and given out. Vectors that are null, hold nulls or are all zeros, and pairs of unequal widths, take no part.
+    """
+    schema = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    known = vectors.where(usable(F.col("vec")) & F.exists("vec", lambda x: x != 0))
+    own = lambda key: known.select(F.col(within).alias(within), F.col("id").alias(key), F.col("size").cast("double").alias("size"), F.col("vec").alias("vec"))
+    q, v = in_tiles(own("query_id"), own("id"), within, tile_rows)
+
+    def tile(one: pa.Table, other: pa.Table) -> pa.Table:
+        first, second = one["query_id"].to_numpy(), other["id"].to_numpy()
+        size, other_size = one["size"].to_numpy(), np.maximum(other["size"].to_numpy(), 1)
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        for asked, there, a, b in _groups(one, other, within):
+            norms = [np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) for m in (a, b)]
+            about = (a / norms[0][:, None]) @ (b / norms[1][:, None]).T
+            ratio = size[asked][:, None] / other_size[there][None, :]
+            i, j = np.nonzero((about >= at_least - 1e-9) & (first[asked][:, None] < second[there][None, :]) & (ratio >= 1 / most_ratio) & (ratio <= most_ratio))
+            score = _row_sums(len(i), lambda at, i=i, j=j, a=a, b=b: a[i[at]] * b[j[at]]) / (norms[0][i] * norms[1][j])
+            kept = score >= at_least
+            found.append((asked[i[kept]], there[j[kept]], score[kept]))
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([one[within].take(pa.array(i)), one["query_id"].take(pa.array(i)), other["id"].take(pa.array(j)), pa.array(score)], names=[within, "first", "second", "score"])
+
+    key = ["bucket", "q_block", "v_block"]
+    return q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(tile, f"`{within}` {schema[within]}, first {schema['id']}, second {schema['id']}, score double")
+
+
 def rerank(seeds: DataFrame, candidates: DataFrame, vectors: DataFrame, k: int = 5, scale: float = 150.0, search: int = 64) -> DataFrame:
     """query_id, id, score, rank: a query's candidates by likeness to its seed's vector, those among the seed's nearest only.
 

@@ -70,3 +70,21 @@ def test_direct_recall_at_the_registered_parameters(spark):
     hit = shared([v[i], v[j]], planes, tables)
     assert len(i) > 500 and hit.mean() >= 0.95
     assert hit[scores[i, j] < 0.92].mean() >= 0.93
+
+
+@pytest.mark.parametrize("tile_rows", [1024, 16])
+def test_near_pairs_against_brute_force(spark, tile_rows):
+    rng = np.random.default_rng(8)
+    v = np.abs(rng.normal(size=(240, 26))) ** 3
+    v[200:] = v[:40] * (1 + 0.05 * rng.normal(size=(40, 26)))
+    v[7] = 0
+    sizes = rng.integers(0, 100, len(v))
+    rows = spark.createDataFrame([(k % 2, k, int(n), x.tolist()) for k, (n, x) in enumerate(zip(sizes, v, strict=True))] + [(0, 900, 5, None)], "doc_id int, id int, size int, vec array<double>")
+    with np.errstate(invalid="ignore"):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = np.nan_to_num(unit @ unit.T)
+    for least in (0.9, 0.97):
+        near = {(i % 2, i, j) for i in range(240) for j in range(i + 1, 240) if i % 2 == j % 2 and scores[i, j] >= least and 0.8 <= sizes[i] / max(1, sizes[j]) <= 1.25}
+        found = V.alike_pairs(rows, least, tile_rows=tile_rows).collect()
+        assert {(r.doc_id, r["first"], r.second) for r in found} == near != set() and len(found) == len(near)
+        assert all(abs(r.score - scores[r["first"], r.second]) < 1e-9 for r in found)
