@@ -8,27 +8,49 @@ from pyspark.sql import functions as F
 from docgraph.llm.common import materialize, words
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column], one_task: bool) -> DataFrame:
+    """``rows`` with what comes before each in ``order``, added up: of all rows in one window, or in two levels.
+
+    In two levels, rows are in ranges, written with their number; the ranges' own sums (a row each) are added up, and then the rows within a range.
+    """
+    before = lambda window: {name: F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for name, c in sums.items()}
+    if one_task:
+        return rows.withColumns(before(Window.orderBy(*order)))
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "source-ranges")
+    ranges = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = ranges.select("_range", *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
+    placed = ranged.withColumns(before(Window.partitionBy("_range").orderBy(*order))).join(F.broadcast(offsets), "_range")
+    return placed.select(*rows.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums])
+
+
+def _of_all(rows: DataFrame, sums: dict[str, Column], one_task: bool) -> dict[str, Column]:
+    """Sums over all rows: windows, or numbers worked out first."""
+    if one_task:
+        return {name: F.coalesce(F.sum(c).over(Window.partitionBy()), F.lit(0)) for name, c in sums.items()}
+    found = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()]).first()
+    return {name: F.lit(found[name]) for name in sums}
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, one_task: bool = True) -> DataFrame:
     """(source, source_size) -> (source, source_size, target).
 
     Sources in code-point order, null last, weigh ``weights``, repeating, and share
     ``percent`` of the total. A target stops at ``most`` times its source's size;
     the excess is shared again until none is above. In closed form: by rising size
     per weight, a source is capped while the level that the rest would get reaches
-    its cap. The table has a row per source, so its windows are small.
+    its cap. The table has a row per source; with ``one_task`` its running sums are plain windows, else they are in ranges.
+    An empty table gives no rows.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
-    level = weighed.withColumns({"cap": F.lit(most) * F.col("source_size"), "all_size": F.sum("source_size").over(everything), "all_weight": F.sum("weight").over(everything)}).withColumns(
-        {"cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0))}
-    )
+    by_source = [F.col("source").isNull(), F.col("source")]
+    numbered = running_sums(sizes, by_source, {"number": F.lit(1).cast("long")}, one_task)
+    weighed = numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("number", F.lit(len(weights))) + 1).cast("int")).cast("long")).withColumn("cap", F.lit(most) * F.col("source_size"))
+    by_level = [F.col("cap") / F.col("weight"), *by_source]
+    level = running_sums(weighed, by_level, {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, one_task)
+    level = level.withColumns(_of_all(level, {"all_size": F.col("source_size"), "all_weight": F.col("weight")}, one_task))
     capped = level.withColumn("capped", F.lit(100) * F.col("cap") * (F.col("all_weight") - F.col("weight_before")) <= F.col("weight") * (F.lit(percent) * F.col("all_size") - F.lit(100) * F.col("cap_before")))
-    rest = capped.withColumns(
-        {"cap_sum": F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0)), "free_weight": F.coalesce(F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything), F.lit(0))}
-    )
-    share = (F.col("weight") * (F.lit(percent) * F.col("all_size") - F.lit(100) * F.col("cap_sum"))).cast("double") / (F.lit(100) * F.col("free_weight")).cast("double")
+    rest = capped.withColumns(_of_all(capped, {"cap_sum": F.when(F.col("capped"), F.col("cap")), "free_weight": F.when(~F.col("capped"), F.col("weight"))}, one_task))
+    share = (F.col("weight") * (F.lit(percent) * F.col("all_size") - F.lit(100) * F.col("cap_sum"))).cast("double") / (F.lit(100) * F.nullif("free_weight", F.lit(0))).cast("double")
     return rest.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
@@ -39,6 +61,7 @@ def mix_sources(
     most: int = 2,
     seed: str = "mix",
     bucket_rows: int = 4_096,
+    one_task_sources: int = 10_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -54,7 +77,7 @@ def mix_sources(
     are taken of all, and the rest of the source's budget cuts the order at the
     exact word. Prefix sums are in two levels: the key's leading digits make ranges
     of about ``bucket_rows`` rows of the largest source, whose sums are added up
-    first, so a hot source is spread over all tasks.
+    first, so a hot source is spread over all tasks. Beyond ``one_task_sources`` sources, these are ranked and added up in ranges too.
 
     Null text or text without words has size 0 and takes nothing; a null source is a
     source; a null id has a key of its own; repeated rows count each and tie in any order;
@@ -63,7 +86,7 @@ def mix_sources(
     own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"), (F.size(words(F.col(text_col))) if size is None else size).cast("long").alias("size")]
     measured = materialize(docs.select(*own), "sizes")
     sources = measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    largest = sources.agg(F.max("n")).first()[0] or 0
+    largest, n_sources = sources.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
     digits = 0
     while largest > bucket_rows * 16**digits:
         digits += 1
@@ -75,7 +98,7 @@ def mix_sources(
     ranges = ranged(measured).groupBy("source", *by_range).agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    targets = source_targets(sources.select("source", "source_size"), weights, percent, most)
+    targets = source_targets(sources.select("source", "source_size"), weights, percent, most, n_sources <= one_task_sources)
     offsets = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(*by_range, "range_before", "source_size", "target")
 
     within = Window.partitionBy(*by_range).orderBy("mix_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)

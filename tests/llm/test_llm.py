@@ -214,11 +214,19 @@ def test_mixing(docs, none):
     again = mixing.mix_sources(docs.repartition(7), bucket_rows=50).collect()
     key = lambda r: (str(r.doc_id), r.size, r.taken)
     assert sorted(map(key, found)) == sorted(map(key, again))
-    assert mixing.mix_sources(none).count() == 0
+    assert mixing.mix_sources(none).count() == 0 == mixing.mix_sources(none, one_task_sources=-1).count()
+    rows = lambda df: sorted((str(r.doc_id), str(r.source), r.size, r.target, r.taken) for r in df.collect())
+    assert rows(mixing.mix_sources(docs, one_task_sources=0)) == rows(mixing.mix_sources(docs))
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0
 
 
+def test_targets_of_many_sources(spark):
+    sizes = spark.range(3_000).select(F.when(F.col("id") > 0, F.concat(F.lit("host"), F.col("id"))).alias("source"), (F.col("id") * 7919 % 1_000).alias("source_size"))
+    one, ranges = (sorted(map(str, mixing.source_targets(sizes.repartition(5), one_task=x).collect())) for x in (True, False))
+    assert one == ranges and len(one) == 3_000
+
+
 def test_quality_model(spark, docs, none):
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "of", "the", "and"]
