@@ -274,5 +274,5 @@ def stream(s, d, write):
     return s.read.parquet(f"{path}/out")
 
 
-register("z01_daily_rollup", lambda s, d: stream(s, d, lambda e, *to: Z.write_closed(Z.daily_rollup(e), *to)).drop("batch"), "SELECT ts::DATE AS day, event_type AS phase, event_type AS step, sum(floor(value))::BIGINT AS input_tokens, sum(floor(value))::BIGINT AS output_tokens, sum(floor(value))::BIGINT AS embedding_tokens, count(*) AS events FROM events GROUP BY 1, 2, 3 HAVING ts::DATE + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")
+register("z01_daily_rollup", lambda s, d: stream(s, d, lambda e, *to: Z.write_rollup(Z.daily_rollup(e), *to)), "SELECT ts::DATE AS day, event_type AS phase, event_type AS step, sum(floor(value))::BIGINT AS input_tokens, sum(floor(value))::BIGINT AS output_tokens, sum(floor(value))::BIGINT AS embedding_tokens, count(*) AS events FROM events GROUP BY 1, 2, 3")
 register("z03_latest_events", lambda s, d: stream(s, d, Z.write_latest).select("document_id", "event_id", "input_tokens", "output_tokens", "embedding_tokens"), "SELECT user_id AS document_id, event_id, floor(value)::BIGINT AS input_tokens, floor(value)::BIGINT AS output_tokens, floor(value)::BIGINT AS embedding_tokens FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

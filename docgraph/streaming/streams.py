@@ -50,6 +50,18 @@ def write_closed(result: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return result.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_rollup(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a whole rollup at ``path``, days that are still open too: each batch writes what the aggregate has by then in place of what was there.
+
+    In complete mode no event is too late. The state is the result's rows (days by phases and steps), which grow with the days and not with the events.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return result.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_latest(events: DataFrame, path: str, checkpoint: str, key: str = "document_id") -> StreamingQuery:
     """Keep the latest event of each key in the stored table at ``path``.
 
