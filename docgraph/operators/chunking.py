@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import functools
+import heapq
+import math
+from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import collapse, cut_at_sentence, is_markup_line, is_table_line, is_text_line, let, model_tokens, part, scan, strip
+from docgraph.functions.text import PAGE_BREAK, collapse, cut_at_sentence, is_markup_line, is_table_line, is_text_line, let, model_tokens, part, scan, strip
 from docgraph.operators.layout import HEADER, header_array, path_array
 from docgraph.sources.shared import stored
 
@@ -22,21 +28,47 @@ def chunk_size(total_chars: Column) -> Column:
     return F.least(F.lit(1000), F.greatest(F.lit(300), F.floor(total_chars / 8))).cast("int")
 
 
+def _regions_of(hs: Column, ls: Column, size: Column) -> Column:
+    """Regions of a document in order, of its headers, its lines and the size of its pieces; without a text line there is none."""
+
+    def region(h: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(hs, k + 1)["line"] - 1, F.size(ls))
+        own = part(ls, h["line"], end - h["line"])
+        text = let(own, lambda x: F.when(F.exists(x, is_text_line), F.concat(F.array_join(x, "\n"), F.lit("\n"))))
+        return F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), h["section_path"].alias("section_path"), size.alias("size"), text.alias("region"))
+
+    return F.filter(F.transform(hs, region), lambda r: r["region"].isNotNull()).cast("array<struct<line:int,level:int,title:string,section_path:string,size:int,region:string>>")
+
+
 def regions(md: DataFrame) -> DataFrame:
     """doc_id, line, level, title, section_path, size, region: the lines after each header up to the next; without a text line there is no region."""
-    own_type = "array<struct<line:int,level:int,title:string,section_path:string,size:int,region:string>>"
+    made = let(path_array(header_array(F.col("markdown"))), lambda hs: let(F.split("markdown", "\n", -1), lambda ls: let(chunk_size(F.length("markdown")), lambda size: _regions_of(hs, ls, size))))
+    return md.select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")  # all is in the exploded array, so no row holds the text
+
 
-    def parted(hs: Column, ls: Column, size: Column) -> Column:
-        def region(h: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(hs, k + 1)["line"] - 1, F.size(ls))
-            own = part(ls, h["line"], end - h["line"])
-            text = let(own, lambda x: F.when(F.exists(x, is_text_line), F.concat(F.array_join(x, "\n"), F.lit("\n"))))
-            return F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), h["section_path"].alias("section_path"), size.alias("size"), text.alias("region"))
+def _pieces(region: Column, size: Column) -> Column:
+    """Pieces of ``size`` characters of a region, each with the line feeds before it: array of (content, before)."""
+    pieces = F.regexp_extract_all(region, F.concat(F.lit("(?s).{1,"), size, F.lit("}")), F.lit(0))
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    return scan(pieces, F.lit(0), "int", "struct<content:string,before:int>", lambda before, x: F.struct((before + feeds(x)).alias("state"), F.struct(x.alias("content"), before.alias("before")).alias("out")))
 
-        return F.filter(F.transform(hs, region), lambda r: r["region"].isNotNull()).cast(own_type)
 
-    made = let(path_array(header_array(F.col("markdown"))), lambda hs: let(F.split("markdown", "\n", -1), lambda ls: let(chunk_size(F.length("markdown")), lambda size: parted(hs, ls, size))))
-    return md.select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")  # all is in the exploded array, so no row holds the text
+def filled_slices(markdown: Column) -> Column:
+    """What ``slices`` of ``regions`` gives, with page_number, as an array of a document's row, without empty pieces: all of it is computed from the document's text, so nothing is shuffled."""
+
+    def of_region(r: Column, pages: Column) -> Column:
+        return F.transform(
+            _pieces(r["region"], r["size"]),
+            lambda x: let(r["line"] + 1 + x["before"], lambda at: F.struct(r["level"].alias("level"), r["title"].alias("title"), r["section_path"].alias("section_path"), x["content"].alias("content"), at.alias("start_line"), F.get(pages, at - 1).alias("page_number"))),
+        )
+
+    def of_document(ls: Column) -> Column:
+        pages = scan(ls, F.lit(1), "int", "int", lambda page, x: F.struct((page + x.contains(PAGE_BREAK).cast("int")).alias("state"), page.alias("out")))
+        cut = lambda hs: let(chunk_size(F.length(markdown)), lambda size: let(pages, lambda ps: F.flatten(F.transform(_regions_of(hs, ls, size), lambda r: of_region(r, ps)))))
+        return let(path_array(header_array(markdown)), cut)
+
+    every = let(F.split(markdown, "\n", -1), of_document)
+    return F.filter(F.transform(every, lambda c, i: F.struct(i.alias("position"), *[c[x].alias(x) for x in ("level", "title", "section_path", "content", "start_line", "page_number")])), lambda c: ~is_empty_chunk(c["content"]))
 
 
 def slices(regions_df: DataFrame) -> DataFrame:
@@ -45,10 +77,7 @@ def slices(regions_df: DataFrame) -> DataFrame:
     Slice k starts k sizes into the region, and its line is the header's, plus one, plus the line feeds before it. A region is gone through once:
     it is cut by a pattern of so many characters, and the line feeds of the pieces are added up from one to the next.
     """
-    pieces = F.regexp_extract_all("region", F.concat(F.lit("(?s).{1,"), F.col("size"), F.lit("}")), F.lit(0))
-    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    counted = scan(pieces, F.lit(0), "int", "struct<content:string,before:int>", lambda before, x: F.struct((before + feeds(x)).alias("state"), F.struct(x.alias("content"), before.alias("before")).alias("out")))
-    cut = regions_df.select("doc_id", "line", "level", "title", "section_path", "size", F.posexplode(counted).alias("k", "piece"))
+    cut = regions_df.select("doc_id", "line", "level", "title", "section_path", "size", F.posexplode(_pieces(F.col("region"), F.col("size"))).alias("k", "piece"))
     made = cut.select("doc_id", "line", "level", "title", "section_path", "size", "k", F.col("piece.content").alias("content"), (F.col("line") + 1 + F.col("piece.before")).alias("start_line"))
     return made.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k")) - 1)
 
@@ -102,16 +131,57 @@ def _near(a: Column, b: Column, at_least: float) -> Column:
     return F.coalesce(F.when(F.least(n, m) / F.greatest(n, m) >= at_least, alike), F.lit(False))
 
 
-def kept_by_fold(sets: DataFrame, at_least: float = 0.9) -> DataFrame:
-    """(doc_id, position, words) -> doc_id, position of what stays; a document's sets are one value."""
-    kept_type = "array<struct<position:int,words:array<string>>>"
+def first_of_near(sets: list[list[int]], at_least: float) -> list[int]:
+    """Places of the sets that stay, in order: those not near one kept before; empty ones always stay.
+
+    Two near sets share at least ``at_least`` of either, so with words in order of rarity they share one of their first few, and only what shares these is compared.
+    """
+    often = Counter(w for words in sets for w in words)
+    kept: list[int] = []
+    by_word: dict[int, list[frozenset[int]]] = {}
+    for place, words in enumerate(sets):
+        n, own = len(words), frozenset(words)
+        few = heapq.nsmallest(n - math.ceil(n * at_least - 1e-9) + 1, words, key=lambda w: (often[w], w)) if n else []
+
+        def near(other: frozenset[int], n: int = n, own: frozenset[int] = own) -> bool:
+            if min(n, len(other)) / max(n, len(other)) < at_least:
+                return False
+            both = len(own & other)
+            return both / (n + len(other) - both) >= at_least
+
+        if any(near(other) for other in {id(x): x for w in few for x in by_word.get(w, ())}.values()):
+            continue
+        kept.append(place)
+        for w in few:
+            by_word.setdefault(w, []).append(own)
+    return kept
+
+
+def kept_places(sets: Column, at_least: float) -> Column:
+    """``first_of_near`` of a column of documents' sets of words."""
+
+    @F.arrow_udf("array<int>")
+    def run(documents: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(documents), 64):
+            some = documents.slice(at, 64)
+            per_doc, lists = pc.list_value_length(some).fill_null(0).to_pylist(), some.flatten()
+            ends = np.cumsum([0, *pc.list_value_length(lists).fill_null(0).to_pylist()]).tolist()
+            codes = lists.flatten().dictionary_encode().indices.to_pylist()
+            each = [codes[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            first = 0
+            for n in per_doc:
+                found.append(first_of_near(each[first : first + n], at_least))
+                first += n
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return run(sets)
 
-    def keep(acc: Column, c: Column) -> Column:
-        repeated = (F.size(c["words"]) > 0) & F.exists(acc, lambda k: (F.size(k["words"]) > 0) & _near(c["words"], k["words"], at_least))
-        return F.when(repeated, acc).otherwise(F.concat(acc, F.array(c)))
 
-    kept = sets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "words"))).alias("all"))
-    return kept.select("doc_id", F.explode(F.aggregate("all", F.array().cast(kept_type), keep)["position"]).alias("position"))
+def kept_by_fold(sets: DataFrame, at_least: float = 0.9) -> DataFrame:
+    """(doc_id, position, words) -> doc_id, position of what stays; a document's sets are one value."""
+    every = sets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "words"))).alias("all")).withColumn("kept", kept_places(F.col("all.words"), at_least))
+    return every.select("doc_id", F.explode(F.transform("kept", lambda k: F.get(F.col("all.position"), k))).alias("position"))
 
 
 def near_pairs_of_sets(sets: DataFrame, at_least: float = 0.9) -> DataFrame:
@@ -175,18 +245,36 @@ def with_pages(chunks: DataFrame, paged_lines: DataFrame) -> DataFrame:
     return chunks.join(paged_lines.select("doc_id", F.col("line_no").alias("start_line"), "page_number"), ["doc_id", "start_line"], "left")
 
 
-def chunk_documents(md: DataFrame) -> DataFrame:
-    """All of the above but pages: doc_id, chunk_index, content, heading, section and table columns, neighbours."""
-    cut = slices(regions(md))
-    cut = with_table_flags(cut.where(~is_empty_chunk(F.col("content"))))
-    kept = with_neighbours(drop_near_repeats(cut))
+def paged_chunks(md: DataFrame, at_least: float = 0.9, fold_chunks: int = 256) -> DataFrame:
+    """doc_id, chunk_index, content, heading, section and table columns, neighbours, page_number: regions, slices, flags and near repeats of whole documents.
+
+    Of documents of up to ``fold_chunks`` chunks all is computed within their row, and the chunks are written once; nothing is shuffled. The chunks of longer ones are
+    written with them, and go on by joins and rounds (``drop_near_repeats``).
+    """
+    cut = md.select("doc_id", filled_slices(F.col("markdown")).alias("cs"))
+    short = F.when(F.size("cs") <= fold_chunks, F.transform("cs", lambda c: preview_words(c["content"])))
+    cut = cut.withColumn("short", short).withColumn("kept", F.when(F.col("short").isNotNull(), kept_places(F.col("short"), at_least)))
+    own = F.transform("kept", lambda at, k: F.struct(k.alias("chunk_index"), F.size("kept").alias("n"), F.get("cs", at).alias("c")))
+    rest = F.transform("cs", lambda c: F.struct(F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("int").alias("n"), c.alias("c")))
+    every = stored(cut.select("doc_id", F.explode(F.when(F.col("kept").isNotNull(), own).otherwise(rest)).alias("x")).select("doc_id", "x.chunk_index", "x.n", "x.c.*"), "chunks")
+    i, n = F.col("chunk_index"), F.col("n")
+    neighbours = {"prev_chunk_ids": F.filter(F.array(i - 2, i - 1), lambda x: x >= 0), "next_chunk_ids": F.filter(F.array(i + 1, i + 2), lambda x: x < n), "sequential_position": i}
+    kept = every.where("chunk_index IS NOT NULL").withColumns(neighbours).drop("n")
+    long = every.where("chunk_index IS NULL").drop("chunk_index", "n")
+    if not long.isEmpty():
+        kept = kept.unionByName(with_neighbours(drop_near_repeats(long, at_least, fold_chunks)))
     heading = chunk_heading(F.col("title"), F.col("content"), F.col("section_path"), F.col("position"))
-    return kept.select(
+    return with_table_flags(kept).select(
         "doc_id", "chunk_index", "content", F.length("content").alias("chunk_size"), heading.alias("heading"), "section_path", F.col("title").alias("section_title"), F.col("level").alias("section_level"),
-        "chunk_type", "table_context", "start_line", "has_table", "prev_chunk_ids", "next_chunk_ids", "sequential_position",
+        "chunk_type", "table_context", "start_line", "has_table", "prev_chunk_ids", "next_chunk_ids", "sequential_position", "page_number",
     )
 
 
+def chunk_documents(md: DataFrame) -> DataFrame:
+    """``paged_chunks`` without the pages."""
+    return paged_chunks(md).drop("page_number")
+
+
 def fit_embedding(text: Column, tokens: Callable[[Column], Column] = model_tokens, fit: Callable[[Column, int], Column] | None = None) -> Column:
     """struct(text, truncated, tokens): cut to 1000 characters, and where that still exceeds the token limit to 90 % of it; a shorter text to 85 %.
 

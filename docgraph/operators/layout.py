@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import IMAGE, PAGE_BREAK, is_table_line, scan, strip
+from docgraph.functions.text import IMAGE, PAGE_BREAK, is_table_line, let, scan, strip
 
 HEADER = r"^(#+)\s+(.+)$"
 
@@ -69,10 +69,8 @@ def split_pages(md: DataFrame) -> DataFrame:
 
 def header_array(markdown: Column) -> Column:
     """Headers of a text in order, with their place: array of (line, level, title)."""
-    found = F.transform(
-        F.split(markdown, "\n", -1),
-        lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(strip(x), HEADER, 1)).alias("level"), F.regexp_extract(strip(x), HEADER, 2).alias("title")),
-    )
+    at = lambda x, i: let(strip(x), lambda s: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(s, HEADER, 1)).alias("level"), F.regexp_extract(s, HEADER, 2).alias("title")))
+    found = F.transform(F.split(markdown, "\n", -1), lambda x, i: F.when(x.contains("#"), at(x, i)))  # other lines need no pattern
     return F.filter(found, lambda h: h["level"] > 0)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
+from docgraph.operators import chunking as C
 from docgraph.operators import dedup as D
 from docgraph.operators import graph as G
 from docgraph.operators import grounding as N
@@ -18,7 +19,7 @@ from docgraph.operators import vectors as V
 from docgraph.plans import flows
 from docgraph.plans import sql as S
 from docgraph.plans.adapters import markdown, table
-from docgraph.plans.layout_queries import chunks, paged
+from docgraph.plans.layout_queries import chunks
 from docgraph.sources.shared import stored
 
 QUERIES, SQL = {}, {}
@@ -79,18 +80,17 @@ def summaries(s, d):
 
 
 def doc_graph(s, d):
-    c = D_pages(s, d)
-    heads = L.headers(markdown(s, d))
-    sections = G.section_nodes(heads)
+    """The texts are written once, and so are their chunks, headers and sections, as the graph reads each of them several times."""
+    md = stored(markdown(s, d), "markdown")
+    c = C.paged_chunks(md)
+    sections = stored(G.section_nodes(stored(L.headers(md), "headers")), "sections")
     nodes = G.all_nodes(sections, G.chunk_nodes(c), G.page_nodes(c))
     edges = G.section_edges(sections).unionByName(G.containment_edges(c)).unionByName(G.page_edges(c)).unionByName(G.follow_edges(c))
     return nodes, edges
 
 
 def D_pages(s, d):
-    from docgraph.operators.chunking import with_pages
-
-    return with_pages(chunks(s, d), paged(s, d))
+    return C.paged_chunks(markdown(s, d))
 
 
 S.CTES |= {
