@@ -158,6 +158,32 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | str, within: str =
     return ranked.where(F.col("rank") <= (F.col("k") if isinstance(k, str) else k)).drop("k")
 
 
+def all_scores(queries: DataFrame, vectors: DataFrame, within: str = "doc_id", tile_rows: int = 1024) -> DataFrame:
+    """query_id, id, distance (squared L2), cosine of every query (query_id, within, vec) with every vector (within, id, vec) of its group.
+
+    The rows are as many as the pairs; they are made in tiles of bounded size, some at a time, each sum in the order of the components. Vectors that are null or hold
+    nulls, and pairs of unequal widths, take no part. The cosine with a vector of zeros is 0.
+    """
+    schema = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
+    own = lambda *names: [F.col(c).alias(c) for c in names]
+    q, v = in_tiles(queries.where(usable(F.col("vec"))).select(*own("query_id", within, "vec")), vectors.where(usable(F.col("vec"))).select(*own(within, "id", "vec")), within, tile_rows)
+
+    def tile(asked: pa.Table, there: pa.Table) -> pa.Table:
+        found = [pa.table([asked["query_id"].slice(0, 0), there["id"].slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["query_id", "id", "distance", "cosine"])]
+        for rows, others, a, b in _groups(asked, there, within):
+            sums = lambda p: np.cumsum(p, axis=1)[:, -1] if p.shape[1] else np.zeros(len(p))
+            one, other = np.sqrt(sums(a * a)), np.sqrt(sums(b * b))
+            ids = there["id"].take(pa.array(others))
+            for k, row in enumerate(rows.tolist()):
+                norm, dot = one[k] * other, sums(a[k] * b)
+                cosine = np.divide(dot, norm, out=np.zeros(len(b)), where=norm > 0)
+                found.append(pa.table([asked["query_id"].take(pa.array(np.full(len(b), row))), ids, pa.array(sums((a[k] - b) ** 2)), pa.array(cosine)], names=["query_id", "id", "distance", "cosine"]))
+        return pa.concat_tables(found)
+
+    key = ["bucket", "q_block", "v_block"]
+    return q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(tile, f"query_id {schema['query_id']}, id {schema['id']}, distance double, cosine double")
+
+
 def alike_pairs(vectors: DataFrame, at_least: float, within: str = "doc_id", most_ratio: float = 1.25, tile_rows: int = 1024) -> DataFrame:
     """within, first, second, score: pairs first < second of a group whose cosine is ``at_least``, and whose sizes are within ``most_ratio`` of each other.
 

@@ -268,7 +268,7 @@ SELECT doc_id, id, CASE WHEN length(name) > 30 THEN left(name, 27) || '...' ELSE
 
 register("v01_hashed_words", lambda s, d: V.hashed_words(table(s, d, "documents").select("doc_id", "text"), width=16).select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec")))
 register("v02_nearest", lambda s, d: rounded(V.nearest(query_rows(s, d), vector_ids(s, d), 5), "distance"), "SELECT query_id, doc_id, id, round(distance, 6) AS distance, rank FROM qrank WHERE rank <= 5")
-register("v03_v04_scores", lambda s, d: query_rows(s, d).select("query_id", "doc_id", F.col("vec").alias("q")).join(vectors(s, d), "doc_id").select("query_id", "chunk_index", F.round(T.distance_to_similarity(T.squared_distance(F.col("q"), F.col("vec"))), 6).alias("similarity"), F.round(T.cosine(F.col("q"), F.col("vec")), 5).alias("cosine")),
+register("v03_v04_scores", lambda s, d: V.all_scores(query_rows(s, d), vector_ids(s, d)).select("query_id", F.col("id").alias("chunk_index"), F.round(T.distance_to_similarity(F.col("distance")), 6).alias("similarity"), F.round("cosine", 5).alias("cosine")),
          "SELECT query_id, chunk_index, round(1 / (1 + list_sum(list_transform(list_zip(q.vec, vc.vec), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ^ 2)) / 150.0::DOUBLE), 6) AS similarity, round(list_cosine_similarity(q.vec::DOUBLE[], vc.vec::DOUBLE[]), 5) AS cosine FROM q JOIN vc ON q.doc_id = vc.doc_id")
 register("v05_rerank", lambda s, d: rounded(R.seed_expansions(R.seeds(query_rows(s, d), vector_ids(s, d)), vector_edges(s, d), vector_ids(s, d)), "score"), "SELECT query_id, seed_rank, id, round(score, 6) AS score, rank FROM reranked")
 register("v06_score_summary", lambda s, d: rounded(V.score_summary(R.seeds(query_rows(s, d), vector_ids(s, d))), "avg_score", "max_score", "min_score"), "SELECT query_id, count(*) AS n, round(avg(score), 6) AS avg_score, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score FROM seeds GROUP BY 1")
