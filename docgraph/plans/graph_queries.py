@@ -162,18 +162,21 @@ def pages_nb(s, d):
     return L.split_pages(markdown(s, d))
 
 
-def page_vectors(s, d):
+def page_vectors(pages):
     """A page's letter counts as its vector, which SQL can make too."""
     norm = T.normalize_page(F.col("text"))
-    return pages_nb(s, d).select("doc_id", "nonblank_page_no", F.array(*[(F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit("")))).cast("double") for c in string.ascii_lowercase]).alias("vec"))
+    return pages.select("doc_id", "nonblank_page_no", F.array(*[(F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit("")))).cast("double") for c in string.ascii_lowercase]).alias("vec"))
 
 
-def near_pages(s, d):
-    return rounded(D.near_pairs(pages_nb(s, d), page_vectors(s, d)), "score")
+def near_pages(s, d, pages=None):
+    """The pages are written once and read for their sizes and their vectors."""
+    pages = stored(pages_nb(s, d), "texts") if pages is None else pages
+    return rounded(D.near_pairs(pages, page_vectors(pages)), "score")
 
 
 def duplicate_entries(s, d):
-    report = D.duplicate_report(pages_nb(s, d), D.exact_clusters(pages_nb(s, d)), near_pages(s, d))
+    pages = stored(pages_nb(s, d), "texts")
+    report = D.duplicate_report(pages, D.exact_clusters(pages), near_pages(s, d, pages))
     return report.select("doc_id", "total_pages", F.explode_outer("duplicates").alias("e")).select("doc_id", "total_pages", "e.pages", "e.score")
 
 
