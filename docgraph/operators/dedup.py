@@ -70,93 +70,239 @@ def reconcile(entries: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first", "second")))
 
 
-def lsh_shape(n: int, at_least: float, recall: float, bucket_rows: int = 32) -> tuple[int, int]:
+def lsh_shape(n: int, at_least: float, recall: float, bucket_rows: int = 512) -> tuple[int, int]:
     """(planes, tables) for ``n`` vectors: enough planes for buckets of about ``bucket_rows`` unlike ones, and enough tables for the recall asked.
 
     A random plane parts two vectors with a probability of their angle over pi, so two that are just ``at_least`` alike share all signs of a table with
     the power of the rest to the number of planes, and miss each other in all tables with the power of the complement to the number of these. Liker ones do so less.
+    A bucket's pairs are matrix products, which cost less than sending its rows once more, so buckets are large and tables few.
     """
     planes = min(24, max(8, math.ceil(math.log2(max(n, 1) / bucket_rows))))
     same = (1 - math.acos(max(-1.0, min(1.0, at_least))) / math.pi) ** planes
     return planes, 1 if same >= recall else math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, recall: float = 0.95, seed: int = 1, id_col: str = "id", block_rows: int = 8192, planes: int | None = None, tables: int | None = None) -> DataFrame:
+def near_pages_lsh(vectors: DataFrame, at_least: float = 0.9, recall: float = 0.95, seed: int = 1, id_col: str = "id", block_rows: int = 65536, planes: int | None = None, tables: int | None = None, n_hubs: int = 1024) -> DataFrame:
     """(first, second, score) links over the corpus: sign hashes of random planes give buckets, whose members are compared with each other.
 
-    Equal vectors are one class: each member has a link to the class's least id, and only that is hashed. All members of a
-    bucket are compared; one of more than ``block_rows`` is dealt into blocks, and each pair of blocks is a task. A task gives a
-    forest of links that connects what its pairs of ``at_least`` connect, so many near copies don't give all their pairs, and
+    Equal vectors are one class: each member has a link to the class's least id, and only that is hashed. Classes near one of
+    ``n_hubs`` hubs (chosen by a hash of the id) are linked to it first, and to one hub of each other group of hubs that they are near to; whatever is joined
+    so is not compared again. All other pairs of a bucket are compared; one of more than ``block_rows`` is dealt into blocks (``in_tasks``), and each pair of
+    blocks is a task. A task gives a forest of links that connects what its pairs of ``at_least`` connect, so many near copies don't give all their pairs, and
     documents joined by near pairs are reached along links. Pairs that share a hash in no table are not compared: planes and tables are chosen
     (``lsh_shape``) so that a pair just ``at_least`` alike shares one with a probability of ``recall``, at any size of the corpus; the
     tests measure it.
     Null vectors and vectors with null or NaN in them have no links.
     """
-    usable = vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x)) AND exists(vec, x -> x != 0)")
-    usable = stored(usable, "vectors")
+    spark = vectors.sparkSession
+    given = stored(vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec")), "vectors")  # stored before the filter, which would have the vectors made twice
+    usable = given.where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x)) AND exists(vec, x -> x != 0)")
     classes = stored(usable.groupBy("vec").agg(F.min("id").alias("id")), "classes")
     shape = lsh_shape(classes.count(), at_least, recall)
     planes, tables = planes or shape[0], tables or shape[1]
     copies = usable.join(classes.withColumnRenamed("id", "first"), "vec").where("id != first").select("first", F.col("id").alias("second"), F.lit(1.0).alias("score"))
 
     kind = usable.schema["id"].dataType.simpleString()
-    keyed = classes.select("id", "vec").mapInArrow(lambda batches: _buckets(batches, planes, tables, seed), f"id {kind}, bucket long")
-    parts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.when(F.col("n") > block_rows, F.ceil(F.col("n") * 2 / block_rows)).otherwise(1).cast("int").alias("parts"))
-    own, other = F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")).cast("int"), F.col("other")
-    dealt = keyed.join(parts, "bucket").withColumn("own", own)
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("own")))
-    tasks = dealt.withColumn("other", F.explode(others)).select("id", F.xxhash64("bucket", F.least("own", other), F.greatest("own", other)).alias("task"))
-    members = tasks.join(classes, "id").select("task", "id", "vec").repartition("task").sortWithinPartitions("task", "id")
+    chosen = classes.orderBy(F.xxhash64("id"), "id").limit(n_hubs).collect()
+    hubs, group, links = _hub_groups([r.vec for r in chosen], at_least)
+    found = stored(classes.mapInArrow(lambda batches: _near_hubs(batches, hubs, group, at_least), f"id {kind}, vec array<double>, hubs array<int>, scores array<double>, groups array<int>"), "hubs")
+    pairs = found.where(F.size("groups") > 1).select(F.col("groups")[0].alias("a"), F.explode(F.slice("groups", 2, n_hubs)).alias("b")).distinct().collect()  # at most a pair of hubs each
+    group_of = _joined(len(chosen), [(r.a, r.b) for r in pairs])
+    names = F.broadcast(spark.createDataFrame([(k, r.id) for k, r in enumerate(chosen)], f"hub int, hub_id {kind}"))
+    to_hubs = found.select("id", F.explode(F.arrays_zip("hubs", "scores")).alias("x")).select("id", F.col("x.hubs").alias("hub"), "x.scores").join(names, "hub").where("id != hub_id").select(F.least("id", "hub_id").alias("first"), F.greatest("id", "hub_id").alias("second"), F.col("scores").alias("score"))
+    between = spark.createDataFrame([(*sorted((chosen[a].id, chosen[b].id)), score) for a, b, score in links], f"first {kind}, second {kind}, score double")
+
+    own = found.select("id", "vec", F.when(F.size("groups") > 0, F.element_at(F.lit(group_of.tolist() or [0]), F.col("groups")[0] + 1)).otherwise(-1).cast("int").alias("group"))
+    keyed = lambda vecs: own.mapInArrow(lambda batches: _buckets(batches, planes, tables, seed, vecs), f"id {kind}, group int, {'vec array<double>, ' if vecs else ''}bucket long")
+    members = in_tasks(keyed(True), keyed(False), block_rows).repartition("task").sortWithinPartitions("task", "side", "id")
     near = members.mapInArrow(lambda batches: _links(batches, at_least), f"first {kind}, second {kind}, score double")
-    return near.groupBy("first", "second").agg(F.max("score").alias("score")).unionByName(copies)
+    return near.unionByName(to_hubs).unionByName(between).groupBy("first", "second").agg(F.max("score").alias("score")).unionByName(copies)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], planes: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(id, vec) -> id, bucket: one row per table, the signs of its planes as bits after the vector's width and the table's number."""
+def in_tasks(rows: DataFrame, keys: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (id, group, bucket, ..) with the tasks that they belong to: task, side (0 or 1), inside (whether the side's own pairs are this task's).
+
+    ``keys`` are the same rows, or their group and bucket. A bucket of up to ``block_rows`` is a task. In a larger one the largest group is joined within itself already,
+    so its blocks meet those of the other rows only, and these meet all: the rows dealt grow with the bucket, times the blocks of rows outside that group.
+    """
+    by_group = keys.groupBy("bucket", "group").agg(F.count("*").alias("n"))
+    sizes = by_group.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.when(F.col("group") >= 0, F.struct("n", "group"))).alias("top")).where(F.col("n") > block_rows)
+    blocks = lambda n: F.ceil(n * 2 / block_rows).cast("int")
+    top = F.coalesce("top.n", F.lit(0))
+    large = sizes.select("bucket", F.col("top.group").alias("top"), blocks(F.col("n") - top).alias("rest"), blocks(top).alias("most"))
+    dealt = rows.join(F.broadcast(large), "bucket", "left")
+    in_top = F.coalesce(F.col("group") == F.col("top"), F.lit(False))
+    turn = lambda n: F.pmod(F.xxhash64("id", F.lit(11)), F.greatest(n, F.lit(1))).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("rest").isNull(), 0).when(in_top, F.col("rest") + turn(F.col("most"))).otherwise(turn(F.col("rest"))))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.when(F.col("rest").isNull(), F.array(F.lit(0))).when(in_top, upto(F.col("rest"))).otherwise(F.array_except(upto(F.col("rest") + F.col("most")), F.array("own")))
+    other, parts = F.col("other"), F.col("rest") + F.col("most")
+    inside = F.when(F.col("rest").isNull(), True).when(in_top, False).otherwise(other == F.pmod(F.col("own") + 1, parts))
+    columns = [c for c in rows.columns if c != "bucket"]
+    return dealt.withColumn("other", F.explode(others)).select(*columns, F.xxhash64("bucket", F.least("own", other), F.greatest("own", other)).alias("task"), (F.col("own") > other).cast("int").alias("side"), inside.alias("inside"))
+
+
+def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) of each width in a column of lists."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for width in np.unique(sizes):
+        rows = np.flatnonzero(sizes == width)
+        yield rows, column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), int(width))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], planes: int, tables: int, seed: int, vecs: bool = False) -> Iterator[pa.RecordBatch]:
+    """(id, .., vec) -> id, .., bucket, with the vectors if ``vecs``: one row per table, the signs of its planes as bits after the vector's width and the table's number."""
     normals: dict[int, np.ndarray] = {}
     for batch in batches:
-        ids, vecs = batch.column("id"), batch.column("vec")
-        sizes = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
-        for width in map(int, np.unique(sizes)):
-            own = pa.array(np.flatnonzero(sizes == width))
-            v = vecs.take(own).flatten().to_numpy(zero_copy_only=False).reshape(len(own), width)
+        names = [c for c in batch.schema.names if c != "vec"] + ["vec"] * vecs
+        for own, v in _vectors(batch.column("vec")):
+            width = v.shape[1]
             if width not in normals:
                 normals[width] = np.random.default_rng([seed, width]).normal(size=(width, tables * planes))
             signs = (v @ normals[width] > 0).reshape(len(own), tables, planes)
             bits = signs @ (1 << np.arange(planes, dtype=np.int64))
-            bucket = ((width * tables + np.arange(tables, dtype=np.int64)) << planes) + bits
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(own.to_numpy(), tables))), pa.array(bucket.ravel())], names=["id", "bucket"])
-
-
-def _forest(v: np.ndarray, at_least: float, most: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, row, score) links that connect the unit rows whose product is ``at_least`` or more: a search from each row not reached yet."""
-    left, reached = np.arange(len(v)), np.empty(0, dtype=np.int64)
-    while len(left):
-        if not len(reached):
-            reached, left = left[:1], left[1:]
-        now, reached = reached[:most], reached[most:]
-        scores = v[left] @ v[now].T
-        if not scores.size:
-            continue
-        best = scores.argmax(axis=1)
-        score = scores[np.arange(len(left)), best]
-        hit = score >= at_least
-        yield now[best[hit]], left[hit], score[hit]
-        reached, left = np.append(reached, left[hit]), left[~hit]
+            kept = [batch.column(c).take(pa.array(own)) for c in names]
+            for table in range(tables):
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(((width * tables + table) << planes) + bits[:, table])], names=[*names, "bucket"])
+
+
+def _joined(n: int, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """The least number that each of ``n`` numbers is joined with by ``pairs``."""
+    root = np.arange(n)
+    for a, b in pairs:
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def _hub_groups(vecs: list[list[float]], at_least: float) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, list[tuple[int, int, float]]]:
+    """Hubs by width (numbers, unit vectors), the group of each, the links that make these groups."""
+    hubs, links = {}, []
+    for width in {len(x) for x in vecs}:
+        numbers = np.array([k for k, x in enumerate(vecs) if len(x) == width])
+        v = _unit(np.array([vecs[k] for k in numbers]))
+        hubs[width] = numbers, v
+        links += [(int(numbers[a]), int(numbers[b]), float(score)) for a, b, score in zip(*_forest(v, at_least), strict=True)]
+    return hubs, _joined(len(vecs), [x[:2] for x in links]), links
+
+
+def _near_hubs(batches: Iterator[pa.RecordBatch], hubs: dict[int, tuple[np.ndarray, np.ndarray]], group: np.ndarray, at_least: float, tile_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """(id, vec) -> id, vec, and the nearest hub of each group with one of ``at_least``: hubs, scores, groups."""
+    sorted_hubs = {}
+    for width, (numbers, v) in hubs.items():
+        order = np.argsort(group[numbers], kind="stable")
+        sorted_hubs[width] = numbers[order], np.ascontiguousarray(v[order].T), np.flatnonzero(np.append(True, np.diff(group[numbers[order]]) != 0))
+    for batch in batches:
+        for own, v in _vectors(batch.column("vec")):
+            for at in range(0, len(own), tile_rows):
+                rows = own[at : at + tile_rows]
+                row, hub, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+                if v.shape[1] in sorted_hubs:
+                    numbers, h, starts = sorted_hubs[v.shape[1]]
+                    scores = _unit(v[at : at + tile_rows]) @ h
+                    row, part = np.nonzero(np.maximum.reduceat(scores, starts, axis=1) >= at_least)
+                    column, ends = np.empty(len(row), dtype=np.int64), np.append(starts[1:], len(numbers))
+                    for k in np.unique(part):
+                        hit = part == k
+                        column[hit] = starts[k] + scores[row[hit], starts[k] : ends[k]].argmax(axis=1)
+                    hub, score = numbers[column], np.minimum(scores[row, column], 1.0)
+                ends = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(hub, pa.int32()), pa.array(score, pa.float64()), pa.array(group[hub], pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("id", "vec")), *lists], names=["id", "vec", "hubs", "scores", "groups"])
+
+
+def _forest(v: np.ndarray, at_least: float, group: np.ndarray | None = None, side: np.ndarray | None = None, inside: tuple[bool, bool] = (True, True), tile_rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, score) links that connect the unit rows whose product is ``at_least`` or more, where ``group`` (-1: none) doesn't connect them already.
+
+    Rows between two sides, and those of a side if ``inside``, are compared in tiles by single-precision products; what may be near is computed in double precision. Rows spread over all come first:
+    they join dense parts, and a tile of rows that are joined leaves out all others that are joined with them.
+    """
+    group = np.full(len(v), -1) if group is None else group
+    side = np.zeros(len(v), dtype=np.int64) if side is None else side
+    known, at = np.unique(group, return_inverse=True)
+    comp = np.where(group < 0, len(known) + np.arange(len(v)), at)
+    root = np.arange(len(known) + len(v))
+    low, line, links = v.astype(np.float32), at_least - 1e-5, []
+
+    def top(a: int) -> int:
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal comp, root
+        for at in range(0, len(i), 65536):
+            a, b = i[at : at + 65536], j[at : at + 65536]
+            apart = comp[a] != comp[b]
+            a, b = a[apart], b[apart]
+            score = np.einsum("ij,ij->i", v[a], v[b])
+            a, b, score = (x[score >= at_least] for x in (a, b, score))
+            one, two = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+            first = np.unique(one * len(root) + two, return_index=True)[1]
+            for k in first.tolist():
+                x, y = top(one[k]), top(two[k])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((a[k], b[k], score[k]))
+            if len(first):
+                while (root[root] != root).any():
+                    root = root[root]
+                comp = root[comp]
+
+    def compare(rows: np.ndarray, columns: np.ndarray | slice) -> None:
+        numbers = np.arange(len(v))[columns]
+        scores = low[rows] @ low[columns].T
+        hit = np.flatnonzero(scores.ravel() >= line)
+        if len(hit) > 4 * len(numbers):
+            best = scores.argmax(axis=0)
+            near = np.flatnonzero(scores[best, np.arange(len(numbers))] >= line)
+            join(rows[best[near]], numbers[near])
+        i, j = rows[hit // len(numbers)], numbers[hit % len(numbers)]
+        apart = comp[i] != comp[j]
+        join(i[apart], j[apart])
+
+    compare(np.unique(np.linspace(0, len(v) - 1, min(tile_rows, len(v))).astype(np.int64)), slice(None))
+    order = np.lexsort((comp, side))
+    if len(v) > tile_rows:
+        v, low, comp, side = v[order], low[order], comp[order], side[order]
+        of_first, found, links = int((side == 0).sum()), links, []
+        for begin, end, own in ((0, of_first, inside[0]), (of_first, len(v), inside[1])):
+            for at in range(begin, end, tile_rows):
+                rows = np.arange(at, min(end, at + tile_rows))
+                start = at if own else of_first if begin == 0 else len(v)
+                columns = slice(start, None)
+                if (comp[rows] == comp[at]).all():
+                    columns = start + np.flatnonzero(comp[start:] != comp[at])
+                if start < len(v) and (isinstance(columns, slice) or len(columns)):
+                    compare(rows, columns)
+        links = found + [(order[a], order[b], score) for a, b, score in links]
+    a, b, score = zip(*links, strict=True) if links else ((), (), ())
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(score, dtype=np.float64)
 
 
 def _links(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.RecordBatch]:
-    """Links among the members (task, id, vec), sorted by task and id, of each task."""
+    """Links among the members (task, side, inside, id, group, vec), sorted by task, of each task."""
 
     def link(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         if len(rows) < 2:
             return
-        v = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = _unit(rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+        group, side, inside = (rows.column(c).to_numpy() for c in ("group", "side", "inside"))
+        a, b, score = _forest(v, at_least, group, side, (bool(inside[side == 0].any()), bool(inside[side == 1].any())))
         ids = rows.column("id").combine_chunks()
-        for a, b, score in _forest(v, at_least):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.minimum(a, b))), ids.take(pa.array(np.maximum(a, b))), pa.array(np.minimum(score, 1.0))], names=["first", "second", "score"])
+        one, two = ids.take(pa.array(a)), ids.take(pa.array(b))
+        ordered = pc.less(one, two)
+        yield pa.RecordBatch.from_arrays([pc.if_else(ordered, one, two), pc.if_else(ordered, two, one), pa.array(np.minimum(score, 1.0))], names=["first", "second", "score"])
 
     held: list[pa.RecordBatch] = []
     last = None
