@@ -151,7 +151,8 @@ def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(v / np.sqrt((v * v).sum(axis=1, keepdims=True)))  # infinite ones are near nothing
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], planes: int, tables: int, seed: int, vecs: bool = False) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def _near_hubs(batches: Iterator[pa.RecordBatch], hubs: dict[int, tuple[np.ndarr
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("id", "vec")), *lists], names=["id", "vec", "hubs", "scores", "groups"])
 
 
-def _forest(v: np.ndarray, at_least: float, group: np.ndarray | None = None, side: np.ndarray | None = None, inside: tuple[bool, bool] = (True, True), tile_rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _forest(v: np.ndarray, at_least: float, group: np.ndarray | None = None, side: np.ndarray | None = None, inside: tuple[bool, bool] = (True, True), tile_rows: int = 512, tile_columns: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, row, score) links that connect the unit rows whose product is ``at_least`` or more, where ``group`` (-1: none) doesn't connect them already.
 
     Rows between two sides, and those of a side if ``inside``, are compared in tiles by single-precision products; what may be near is computed in double precision. Rows spread over all come first:
@@ -259,16 +260,24 @@ def _forest(v: np.ndarray, at_least: float, group: np.ndarray | None = None, sid
                 comp = root[comp]
 
     def compare(rows: np.ndarray, columns: np.ndarray | slice) -> None:
-        numbers = np.arange(len(v))[columns]
-        scores = low[rows] @ low[columns].T
-        hit = np.flatnonzero(scores.ravel() >= line)
-        if len(hit) > 4 * len(numbers):
-            best = scores.argmax(axis=0)
-            near = np.flatnonzero(scores[best, np.arange(len(numbers))] >= line)
-            join(rows[best[near]], numbers[near])
-        i, j = rows[hit // len(numbers)], numbers[hit % len(numbers)]
-        apart = comp[i] != comp[j]
-        join(i[apart], j[apart])
+        numbers, left = np.arange(len(v))[columns], [(rows[:0], rows[:0])]
+        for at in range(0, len(numbers), tile_columns):  # products that stay in the cache
+            part = numbers[at : at + tile_columns]
+            scores = low[rows] @ low[part[0] : part[-1] + 1].T if isinstance(columns, slice) else low[rows] @ low[part].T
+            if not scores.max() >= line:
+                continue
+            hit = np.flatnonzero(scores.ravel() >= line)
+            if len(hit) > 4 * len(part):
+                best = scores.argmax(axis=0)
+                near = np.flatnonzero(scores[best, np.arange(len(part))] >= line)
+                join(rows[best[near]], part[near])
+            i, j = rows[hit // len(part)], part[hit % len(part)]
+            apart = comp[i] != comp[j]
+            left.append((i[apart], j[apart]))
+            if sum(len(x) for x, _ in left) > 1 << 20:
+                join(*map(np.concatenate, zip(*left)))
+                left = left[:1]
+        join(*map(np.concatenate, zip(*left)))
 
     compare(np.unique(np.linspace(0, len(v) - 1, min(tile_rows, len(v))).astype(np.int64)), slice(None))
     order = np.lexsort((comp, side))
