@@ -20,18 +20,24 @@ def price_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "provider string, model string, kind string, usd_per_million double")
 
 
+def total_usd(components: Column) -> Column:
+    """What the components of a price add up to, unrounded: embeddings and the sum of the other two; null where there are none."""
+    embeddings, given, made = (F.try_element_at(components, F.lit(name)) for name in ("embeddings_usd", "llm_input_usd", "llm_output_usd"))
+    usd = lambda c: F.coalesce(c, F.lit(0.0))
+    return F.when(F.coalesce(embeddings, given, made).isNotNull(), usd(embeddings) + (usd(given) + usd(made)))
+
+
 def price(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds components (map of USD), cost_estimate_usd (8 digits, null where nothing is billed) and cost_display, by provider, embedding_model and llm_model.
+    """Adds components (map of USD of what is billed, null where its tokens are), cost_estimate_usd (8 digits, null where nothing is billed) and cost_display, by provider, embedding_model and llm_model.
 
     The price table is one broadcast row: a map from provider, model and kind.
     """
     book = F.broadcast(prices.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "provider", "model", "kind"), F.col("usd_per_million") / 1_000_000))).alias("book")))
     rate = lambda model, kind: F.try_element_at("book", F.concat_ws("|", "provider", model, F.lit(kind)))
-    parts = [("embeddings_usd", F.col("embedding_tokens") * rate("embedding_model", "embedding")), ("llm_input_usd", F.col("input_tokens") * rate("llm_model", "input")), ("llm_output_usd", F.col("output_tokens") * rate("llm_model", "output"))]
-    listed = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in parts]), lambda x: x["value"].isNotNull())
-    made = events.crossJoin(book).withColumn("components", F.map_from_entries(listed))
-    total = F.aggregate(F.map_values("components"), F.lit(0.0), lambda a, x: a + x)
-    cost = F.when(F.size("components") > 0, total)
+    parts = [("embeddings_usd", "embedding_tokens", rate("embedding_model", "embedding")), ("llm_input_usd", "input_tokens", rate("llm_model", "input")), ("llm_output_usd", "output_tokens", rate("llm_model", "output"))]
+    billed = F.array_compact(F.array(*[F.when(usd.isNotNull(), F.struct(F.lit(n).alias("key"), (F.col(tokens) * usd).alias("value"))) for n, tokens, usd in parts]))
+    made = events.crossJoin(book).withColumn("components", F.map_from_entries(billed))
+    cost = total_usd(F.col("components"))
     return made.withColumns({"cost_estimate_usd": F.round(cost, 8), "cost_display": F.coalesce(F.when(cost.isNotNull(), F.format_string("%.6f", cost)), F.lit("N.A"))}).drop("book")
 
 

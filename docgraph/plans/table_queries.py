@@ -32,7 +32,7 @@ def usage_events(s, d):
     v = F.floor(F.col("value")).cast("long")
     return table(s, d, "events").select(
         "event_id", "ts", F.when(F.col("user_id") % 3 == 0, "pdf_upload").when(F.col("user_id") % 3 == 1, "vectorization").otherwise(F.col("event_type")).alias("step"), F.col("event_type").alias("phase"), F.col("user_id").alias("document_id"),
-        v.alias("input_tokens"), F.floor(v / 2).cast("long").alias("output_tokens"), (v * 3).alias("embedding_tokens"),
+        v.alias("input_tokens"), F.call_function("div", v, F.lit(2)).alias("output_tokens"), (v * 3).alias("embedding_tokens"),
         F.when(F.col("event_id") % 4 == 0, "ollama").otherwise("openai").alias("provider"), F.when(F.col("event_id") % 3 == 0, "text-embedding-3-large").otherwise("other").alias("embedding_model"), F.lit("gpt-4o-mini").alias("llm_model"),
         F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(F.col("event_type")).alias("model"), F.when(F.col("event_id") % 7 != 0, F.round(F.col("value") / 1000, 6)).alias("cost_estimate_usd"),
         F.struct((F.col("event_id") % 9).cast("int").alias("total_pages"), v.cast("int").alias("total_words"), F.lit(1).alias("total_chunks"), v.alias("total_tokens"), (F.col("value") / 2).alias("duration_seconds"), F.col("event_type").alias("filename"), (v * 4096).alias("file_size_bytes")).alias("extra"),
@@ -206,8 +206,9 @@ register("p17_full_history", lambda s, d: P.full_history_text(messages(s, d).wit
          rf"SELECT session_id, 'Previous conversation:' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' || {S.strip('content')} ELSE 'Assistant: ' || {S.strip('content')} || chr(10) || '  [Chunk ' || id || ']: ' || role END, chr(10) ORDER BY id) AS history FROM msgs GROUP BY 1")
 
 register("u01_billed_tokens", lambda s, d: table(s, d, "documents").select("doc_id", T.billed_tokens(F.col("text")).alias("tokens")), rf"SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE greatest(1, length({S.strip('text')}) // 4) END::BIGINT AS tokens FROM documents")
+# the cost is rounded once, scaled first as DuckDB rounds: what lies next to a half goes the same way
 COST = "CASE WHEN event_id % 4 != 0 THEN input_tokens * (0.15::DOUBLE / 1000000) + output_tokens * (0.6::DOUBLE / 1000000) + CASE WHEN event_id % 3 = 0 THEN embedding_tokens * (0.13::DOUBLE / 1000000) ELSE 0 END END"
-register("u02_price", lambda s, d: U.price(usage_events(s, d), U.price_table(s)).select("event_id", F.round("cost_estimate_usd", 5).alias("cost"), F.size("components").alias("n")), f"SELECT event_id, round({COST}, 5) AS cost, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 3 ELSE 2 END::INT AS n FROM ue")
+register("u02_price", lambda s, d: U.price(usage_events(s, d), U.price_table(s)).select("event_id", (F.round(U.total_usd(F.col("components")) * 1e5) / 1e5).alias("cost"), F.size("components").alias("n")), f"SELECT event_id, round({COST}, 5) AS cost, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 3 ELSE 2 END::INT AS n FROM ue")
 register("u03_enrich", lambda s, d: U.enrich(usage_events(s, d), U.price_table(s)).select("event_id", "total_tokens", "model"), "SELECT event_id, input_tokens + output_tokens + embedding_tokens AS total_tokens, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE event_type END AS model FROM ue")
 register("u04_query_totals", lambda s, d: U.query_totals(usage_events(s, d).withColumn("query_id", F.col("document_id"))), "SELECT document_id AS query_id, step, input_tokens, output_tokens, embedding_tokens, NULL::BIGINT AS sub_steps FROM ue UNION ALL SELECT document_id, 'query_total', sum(input_tokens)::BIGINT, sum(output_tokens)::BIGINT, sum(embedding_tokens)::BIGINT, count(*) FROM ue GROUP BY 1")
 register("u05_daily_summary", lambda s, d: U.daily_summary(usage_events(s, d)), """SELECT ts::DATE AS date, CASE WHEN grouping(phase) = 1 AND grouping(step) = 1 THEN 'day' WHEN grouping(step) = 1 THEN 'phase' ELSE 'step' END AS level, phase, step, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
